@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
+from sentrylake.llm.near_join import near_components
 from sentrylake.llm.sharding import uniform_shards
 
 
@@ -29,7 +30,11 @@ def op9_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op7_bpe_token_counts, op9_digest_index_dedup)}
+def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op7_bpe_token_counts, op9_digest_index_dedup, op10_parity_sketch_join)}
 
 ORACLES = {
     "op9_digest_index_dedup": r"""

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrylake.llm import decontaminate, quality
 from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
 from sentrylake.llm.near_join import near_components
@@ -19,6 +20,19 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards(narrow, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    found = quality.scored(docs, model).drop("text")
+    return found.select("doc_id", F.coalesce(quality.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.KEPT).cast("int").alias("predicted"))
+
+
+def op4_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it covers to half or more; clean documents have none."""
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
+
+
 def op7_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,7 +48,17 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op7_bpe_token_counts, op9_digest_index_dedup, op10_parity_sketch_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hypergeometric_shards,
+        op3_subword_quality,
+        op4_string_tiling_decontamination,
+        op7_bpe_token_counts,
+        op9_digest_index_dedup,
+        op10_parity_sketch_join,
+    )
+}
 
 ORACLES = {
     "op9_digest_index_dedup": r"""

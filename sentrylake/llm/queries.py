@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import decontaminate, quality
+from sentrylake.llm import decontaminate, mixing, quality
 from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
 from sentrylake.llm.near_join import near_components
@@ -33,6 +33,13 @@ def op4_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
 
 
+def op6_min_cost_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    members = mixing.by_source(docs)
+    found = mixing.mixed(docs, mixing.plan_mix(docs, members, mixing.weighted_targets), members)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +61,7 @@ QUERIES = {
         op1_hypergeometric_shards,
         op3_subword_quality,
         op4_string_tiling_decontamination,
+        op6_min_cost_flow_mix,
         op7_bpe_token_counts,
         op9_digest_index_dedup,
         op10_parity_sketch_join,

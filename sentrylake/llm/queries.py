@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import decontaminate, mixing, quality
+from sentrylake.llm import decontaminate, language, mixing, quality
 from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
 from sentrylake.llm.near_join import near_components
@@ -33,6 +33,12 @@ def op4_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
 
 
+def op5_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identified(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_min_cost_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     members = mixing.by_source(docs)
@@ -61,6 +67,7 @@ QUERIES = {
         op1_hypergeometric_shards,
         op3_subword_quality,
         op4_string_tiling_decontamination,
+        op5_script_viterbi_language,
         op6_min_cost_flow_mix,
         op7_bpe_token_counts,
         op9_digest_index_dedup,

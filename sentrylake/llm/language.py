@@ -221,7 +221,7 @@ def identified(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch], at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, score, found = shared.value.predict(batch.column(at), spans)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), *[pa.array(found, pa.string())] * spans], [*batch.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), *([pa.array(found, pa.string())] if spans else [])], [*batch.schema.names, *new])
 
     kinds = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.mapInArrow(run, kinds.add("spans", StringType()) if spans else kinds)

@@ -1,9 +1,11 @@
 """The queries opN_<name>: each applies one operator, with production parameters, to the whole of its table."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import decontaminate, language, mixing, quality
+from sentrylake.llm import decontaminate, language, mixing, quality, secrets
 from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
 from sentrylake.llm.near_join import near_components
@@ -52,6 +54,16 @@ def op7_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(x["kind"] == kind, x["kind"])
+
+
+def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.array_compact(F.transform("base", _is(kind)))).cast("long").alias(f"n_{kind}") for kind, *_ in secrets.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
+
+
 def op9_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicate(_table(spark, sf_dir, "documents"), DigestIndex(spark))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -70,6 +82,7 @@ QUERIES = {
         op5_script_viterbi_language,
         op6_min_cost_flow_mix,
         op7_bpe_token_counts,
+        op8_entropy_secrets,
         op9_digest_index_dedup,
         op10_parity_sketch_join,
     )

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import decontaminate, language, mixing, quality, secrets
+from sentrylake.llm import decontaminate, language, lm, mixing, quality, secrets
 from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
 from sentrylake.llm.near_join import near_components
@@ -22,6 +22,13 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards(narrow, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trie = lm.fit(docs.where(lm.training(F.col("doc_id"))))
+    found = lm.scored(docs, trie)
+    return found.select("doc_id", (~lm.training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -77,6 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_hypergeometric_shards,
+        op2_elias_fano_lm,
         op3_subword_quality,
         op4_string_tiling_decontamination,
         op5_script_viterbi_language,

@@ -10,11 +10,12 @@ each shingle is a segment of its own). A set that could link to one of the next
 
 Pigeonhole join. All segments have one global order: more set bits first, then by key. Of k - d equal segments, the first
 d + 1 + l of each of the two sketches share 1 + l at least. Those are what a document emits; the join groups them by key. Keys
-of more than HOT documents are hot and make no pairs; as long as one document of a pair has l hot keys or fewer, the pair
-still meets in another key. Documents with more go on: their neighbours are compared to one member of each hot group, which
-joins up families of near copies; those that have hot keys still shared with other components emit all their shingles one by
-one, and what is left after that, documents nearly all of whose shingles are in many others, is compared pair by pair with
-members of other components that share a hot key.
+of more than HOT documents are hot and make no pairs. So two linked documents, of which the one has h hot keys and the other
+no fewer, meet in 1 + l - h other keys or more, and pairs that meet in fewer are passed over. Pairs are lost only where both
+have more than l hot keys. Such crowded documents are first compared to one member of each hot group that they share several
+keys with, which joins up families of near copies; those in hot groups that still span components emit all their shingles one
+by one, and what is left after that, documents nearly all of whose shingles are in many others, meets other components in the
+rarest quarter of its hot keys.
 
 Every candidate is verified on the sets themselves. Shingles are 52-bit hashes there: for two documents of a thousand
 shingles the chance that any two of them collide is below one in a billion.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,7 +35,9 @@ from sentrylake.llm.work import ship, written
 
 WIDTH = 5
 #: Documents that share one key, above which the key makes no pairs.
-HOT = 50
+HOT = 20
+#: Hot keys that a document must share with a group's first member to be compared to it straight away.
+ALIKE = 4
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +60,7 @@ def _set_keys(doc: np.ndarray, shingle: np.ndarray, docs: int) -> tuple[np.ndarr
 
 
 def band_segments(band: np.ndarray) -> np.ndarray:
-    return np.where(band < 6, 1 << 16, np.left_shift(1, np.minimum(band, 40)))
+    return np.where(band < 6, 1 << 30, np.left_shift(1, np.minimum(band, 40)))
 
 
 def spare(band: np.ndarray) -> np.ndarray:
@@ -159,9 +162,21 @@ def _shared(keys: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 24
 
 
+def _room(n: Column) -> Column:
+    """Hot keys that a set of n shingles may have without losing a pair: l, or what the d + 1 leave of the smallest set that
+    could link to it."""
+    band = F.floor(F.log2(n.cast("double")) + 1e-9)
+    l = F.lit(2) + F.floor(F.pow(F.lit(2.0), band) / 14)
+    return F.least(l, _single_room(F.ceil(3 * n / 4))).cast("long")
+
+
+def _single_room(n: Column) -> Column:
+    """The same where each shingle is a key of its own and all are emitted."""
+    return n - F.floor((n + F.floor(4 * n / 3)) / 7) - 1
+
+
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """set_key, n_shingles, room, single_room, text: one row for each needed set. room: hot keys that the set may have
-    without losing a pair."""
+    """set_key, n_shingles, text: one row for each needed set."""
     bit = F.pmod("set_key", F.lit(FILTER_BITS)) + 1
     bitmap = needed.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     held = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -174,23 +189,15 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
         seen, bits = set(), shared.value
         for batch in batches:
             for i, j, data, offsets in tokens.chunks(batch.column(0)):
-                doc, shingle = _sets(data, offsets)
-                n, own = _set_keys(doc, shingle, j - i)
+                n, own = _set_keys(*_sets(data, offsets), j - i)
                 slot = own % FILTER_BITS
-                hit = (bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1
-                keep = (n > 0) & (hit > 0)
+                keep = (n > 0) & ((bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 > 0)
                 keep[keep] = _once(own[keep], seen)
-                doc, shingle = _only(doc, shingle, keep)
-                _, _, sketch, d, count = _emitted(doc, shingle, j - i, False)
-                room = np.full(j - i, 1 << 30)
-                np.minimum.at(room, sketch, count - d - 1)
                 rows = pa.array(np.flatnonzero(keep))
-                single = n - (n + 4 * n // 3) // 7 - 1
-                yield pa.RecordBatch.from_arrays([pa.array(own).take(rows), pa.array(n).take(rows), pa.array(room).take(rows), pa.array(single).take(rows), batch.column(0).slice(i, j - i).take(rows)], ["set_key", "n_shingles", "room", "single_room", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(own).take(rows), pa.array(n).take(rows), batch.column(0).slice(i, j - i).take(rows)], ["set_key", "n_shingles", "text"])
 
-    rows = docs.select("text").mapInArrow(run, "set_key long, n_shingles long, room long, single_room long, text string")
-    some = rows.join(needed, "set_key", "left_semi")
-    return some.groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("n_shingles", "room", "single_room", "text")))
+    rows = docs.select("text").mapInArrow(run, "set_key long, n_shingles long, text string")
+    return rows.join(needed, "set_key", "left_semi").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -217,19 +224,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: i
     return rows.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Those of rows whose key joins different components, with comp, the component of set_key over links."""
-    found = components(links).select(F.col("node").alias("set_key"), F.col("component").alias("comp"))
-    named = rows.join(found, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    across = Window.partitionBy("seg")
-    return named.withColumns({"lo": F.min("comp").over(across), "hi": F.max("comp").over(across)}).where("lo <> hi").drop("lo", "hi")
+def _labels(links: DataFrame) -> DataFrame:
+    """set_key, comp: the component of each set that has a link."""
+    return written(components(links).select(F.col("node").alias("set_key"), F.col("component").alias("comp")), "labels")
+
+
+def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of rows whose key joins different components, with comp, the component of set_key."""
+    named = rows.join(labels, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
+    same = Window.partitionBy("seg")
+    return named.withColumns({"lo": F.min("comp").over(same), "hi": F.max("comp").over(same)}).where("lo <> hi").drop("lo", "hi")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of sets of different components that share a key."""
-    left = rows.select("seg", F.col("set_key").alias("a"), F.col("comp").alias("ca"))
-    right = rows.select("seg", F.col("set_key").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, "seg").where("a < b AND ca <> cb").select("a", "b").distinct()
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    named = pairs.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """a, b, met: in how many of the keys each pair of sets meets."""
+    left, right = rows.select("seg", F.col("set_key").alias("a")), rows.select("seg", F.col("set_key").alias("b"))
+    return left.join(right, "seg").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
+
+
+def _enough(met: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs that meet as often as linked ones must. sizes: set_key, room, hot, n_shingles."""
+    own = sizes.select("set_key", F.struct("room", "hot", "n_shingles").alias("x"))
+    both = met.join(own.toDF("a", "xa"), "a").join(own.toDF("b", "xb"), "b")
+    small, large = F.least("xa.n_shingles", "xb.n_shingles"), F.greatest("xa.n_shingles", "xb.n_shingles")
+    return both.where((F.col("met") >= 1 + F.least("xa.room", "xb.room") - F.least("xa.hot", "xb.hot")) & (4 * small >= 3 * large)).select("a", "b")
+
+
+def _crowding(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sizes with hot, the number of hot keys of each set."""
+    hot = shared.where(F.col("n") > HOT).groupBy("set_key").agg(F.count("*").alias("hot"))
+    return sizes.join(hot, "set_key", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
 
 
 def near_components(docs: DataFrame, numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -247,7 +277,7 @@ def near_components(docs: DataFrame, numerator: int = 75, denominator: int = 100
         raise ValueError("the sketches need a threshold of 3/4 or more")
     ship(docs.sparkSession)
     sets = written(_doc_sets(docs), "sets")
-    links = _links(docs, numerator, denominator)
+    links = _links(docs, sets, numerator, denominator)
     named = components(links).select(F.col("node").alias("set_key"), F.col("component").alias("comp"))
     least = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     smallest = least.join(named, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
@@ -256,33 +286,55 @@ def near_components(docs: DataFrame, numerator: int = 75, denominator: int = 100
     return sets.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links (a, b) of set keys that join the same sets as all links do."""
 
     def check(pairs: DataFrame) -> DataFrame:
         return written(_verified(pairs, texts, numerator, denominator), "links")
 
     shared = written(_shared(_keys(docs, False)), "shared")
-    texts = written(_texts(docs, shared.select("set_key").distinct()), "texts")
-    # one member of each group first: most near copies are joined by that
+    some = shared.select("set_key").distinct()
+    n = F.col("n_shingles")
+    sizes = sets.join(some, "set_key", "left_semi").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles")).withColumns({"room": _room(n), "single_room": _single_room(n)})
+    sizes = written(_crowding(shared, sizes), "sizes")
+    pairs = written(_enough(_met(shared.where(F.col("n") <= HOT)), sizes), "pairs")
+    crowded = sizes.where("hot > room").select("set_key")
     pivot = F.min("set_key").over(Window.partitionBy("seg"))
-    links = check(shared.select(pivot.alias("a"), F.col("set_key").alias("b")).where("a <> b").distinct())
-    rest = written(_labelled(shared, links), "rest")
-    links = links.union(check(_pairs(rest.where(F.col("n") <= HOT))))
-    # sets with more hot keys than they can do without, where those keys still lie in different components
-    crowded = shared.where(F.col("n") > HOT).groupBy("set_key").agg(F.count("*").alias("hot"))
-    crowded = crowded.join(texts.select("set_key", "room"), "set_key").where("hot > room").select("set_key")
-    crowded = written(crowded.join(rest.where(F.col("n") > HOT), "set_key", "left_semi"), "crowded")
+    families = shared.where(F.col("n") > HOT).select(pivot.alias("a"), F.col("set_key").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    families = written(families.where(F.col("met") >= ALIKE).join(crowded.toDF("b"), "b", "left_semi").select("a", "b"), "families")
+    firsts = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(families).distinct()
+    needed = pairs.select("a").union(pairs.select("b")).union(families.select("a")).union(crowded).distinct().toDF("set_key")
+    texts = written(_texts(docs, needed), "texts")
+    # one partner of each first: that joins up most
+    links = check(firsts)
+    links = links.union(check(_apart(pairs, _labels(links))))
+    # crowded sets in hot groups that still span components
+    labels = _labels(links)
+    rest = _across(shared.where(F.col("n") > HOT).join(crowded, "set_key", "left_semi"), labels)
+    crowded = written(rest.select("set_key").distinct(), "crowded")
     if crowded.isEmpty():
         return links
-    few = texts.join(crowded, "set_key", "left_semi")
-    single = written(_shared(_keys(few, True)), "single")
-    rest = written(_labelled(single, links), "rest")
-    links = links.union(check(_pairs(rest.where(F.col("n") <= HOT))))
-    still = single.where(F.col("n") > HOT).groupBy("set_key").agg(F.count("*").alias("hot"))
-    still = still.join(texts.select("set_key", "single_room"), "set_key").where("hot > single_room").select("set_key")
-    last = written(_labelled(single.where(F.col("n") > HOT).join(still, "set_key", "left_semi"), links), "rest")
-    return links if last.isEmpty() else links.union(check(_pairs(last)))
+    single = written(_shared(_keys(texts.join(crowded, "set_key", "left_semi"), True)), "single")
+    sizes = written(_crowding(single, sizes.join(crowded, "set_key", "left_semi").drop("hot", "room").withColumnRenamed("single_room", "room")), "sizes")
+    links = links.union(check(_apart(_enough(_met(single.where(F.col("n") <= HOT)), sizes), labels)))
+    left = sizes.where("hot > room").select("set_key")
+    last = written(_across(single.where(F.col("n") > HOT).join(left, "set_key", "left_semi"), _labels(links)), "rest")
+    if last.isEmpty():
+        return links
+    return links.union(check(_close(last, sizes)))
+
+
+def _close(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of sets that may be linked, from their hot keys. All but a quarter of a set's shingles are in any linked one, so
+    among the first n // 4 + 1 of its hot keys, in one order for all, there is the first key that both have. Keys of few
+    components come first. The keys of a set meet each other component once, not each of its members."""
+    spans = rows.groupBy("seg").agg(F.count_distinct("comp").alias("comps"))
+    nth = F.row_number().over(Window.partitionBy("set_key").orderBy("comps", "seg"))
+    first = rows.join(spans, "seg").join(sizes.select("set_key", "n_shingles"), "set_key").withColumn("nth", nth).where(F.col("nth") <= F.floor(F.col("n_shingles") / 4) + 1)
+    other = first.select("seg", F.col("comp").alias("other")).distinct()
+    meets = first.join(other, "seg").where("comp <> other").select("set_key", "comp", "other").distinct()
+    back = meets.select(F.col("set_key").alias("b"), F.col("other").alias("comp"), F.col("comp").alias("other"))
+    return meets.withColumnRenamed("set_key", "a").join(back, ["comp", "other"]).where("a < b").select("a", "b")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

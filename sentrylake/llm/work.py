@@ -1,41 +1,12 @@
 """Shared work folder, and how executors find this package."""
 
-import tempfile
-import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from sentrylake.work import drop, new_path, work_folder, written
 
-def work_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpus-work-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base if "://" in base or base.startswith("file:") else f"file://{base}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of the shared folder: lineage ends there, and lost executors cost nothing that was written."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by written(), once no lazy result reads it any more."""
-    jvm, files = df.sparkSession._jvm, df.inputFiles()
-    if files:
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["drop", "new_path", "ship", "work_folder", "written"]
 
 
 def ship(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sentrylake.functions import catalogue as C
 
@@ -65,7 +66,7 @@ def owner_of(domain: Column) -> Column:
     return first_of(top + [(domain.isin([d for d, k in C.OFFICIAL if k == key]), key) for key, *_ in C.BRANDS])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(hosts: pd.Series) -> pd.Series:
     """Punycode labels as text; labels that aren't valid stay."""
 
@@ -80,7 +81,7 @@ def _decoded(hosts: pd.Series) -> pd.Series:
     return hosts.map(lambda h: None if h is None else ".".join(map(label, h.split("."))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(hosts: pd.Series) -> pd.Series:
     """Without accents and other combining marks."""
     return hosts.map(lambda h: None if h is None else "".join(c for c in unicodedata.normalize("NFKD", h.lower()) if not unicodedata.combining(c)))

@@ -116,6 +116,8 @@ class Model:
     def predict(self, texts: pa.Array, want_spans: bool = False) -> tuple[list[str], np.ndarray, list[str] | None]:
         """Language, score and, if wanted, spans (language:start:end in code points, comma-joined) of each text."""
         n, parts = len(texts), []
+        if not self.langs:
+            return [UNKNOWN] * n, np.zeros(n), [""] * n if want_spans else None
         for i, _, data, offsets in tokens.chunks(texts):
             points, at = _points(data, offsets)
             doc, start, letters, kind, found = _word_features(points, at)
@@ -127,11 +129,11 @@ class Model:
             score[letters == 0] = 0
             parts.append((doc + i, start - at[doc] if want_spans else None, letters, score))
         doc, letters, score = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 2, 3))
-        label = viterbi(doc, score.reshape(len(doc), -1), n)
-        held = np.bincount(doc * len(self.langs) + label, letters, n * len(self.langs)).reshape(n, -1) if self.langs else np.zeros((n, 1))
+        label = viterbi(doc, score.reshape(len(doc), len(self.langs)), n)
+        held = np.bincount(doc * len(self.langs) + label, letters, n * len(self.langs)).reshape(n, len(self.langs))
         total = held.sum(1)
         best = held.argmax(1)
-        names = [self.langs[b] if t and self.langs else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)]
+        names = [self.langs[b] if t else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)]
         spans = None
         if want_spans:
             start = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)

@@ -326,13 +326,16 @@ def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -
 
 def _close(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs of sets that may be linked, from their hot keys. All but a quarter of a set's shingles are in any linked one, so
-    among the first n // 4 + 1 of its hot keys, in one order for all, there is the first key that both have. Keys of few
-    components come first. The keys of a set meet each other component once, not each of its members."""
+    among the first n // 4 + 1 of its shingles, in one order for all, there is the first that both have. Keys of few
+    components come first; those that join no components, cold ones among them, come before these and are done with, so a
+    set emits what they leave of its first quarter, and one with more of them than that emits nothing. The keys of a set
+    meet each other component of sets of a fitting size once, not each of its members."""
     spans = rows.groupBy("seg").agg(F.count_distinct("comp").alias("comps"))
-    nth = F.row_number().over(Window.partitionBy("set_key").orderBy("comps", "seg"))
-    first = rows.join(spans, "seg").join(sizes.select("set_key", "n_shingles"), "set_key").withColumn("nth", nth).where(F.col("nth") <= F.floor(F.col("n_shingles") / 4) + 1)
-    other = first.select("seg", F.col("comp").alias("other")).distinct()
-    meets = first.join(other, "seg").where("comp <> other").select("set_key", "comp", "other").distinct()
+    own = Window.partitionBy("set_key")
+    ranked = rows.select("seg", "set_key", "comp").join(sizes.select("set_key", F.col("n_shingles").alias("n")), "set_key").withColumn("open", F.count("*").over(own) - F.ceil(3 * F.col("n") / 4) + 1)
+    first = ranked.where("open > 0").join(spans, "seg").withColumn("nth", F.row_number().over(own.orderBy("comps", "seg"))).where("nth <= open")
+    other = first.groupBy("seg", F.col("comp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    meets = first.join(other, "seg").where("comp <> other AND 4 * n >= 3 * least AND 3 * n <= 4 * most").select("set_key", "comp", "other").distinct()
     back = meets.select(F.col("set_key").alias("b"), F.col("other").alias("comp"), F.col("comp").alias("other"))
     return meets.withColumnRenamed("set_key", "a").join(back, ["comp", "other"]).where("a < b").select("a", "b")
 

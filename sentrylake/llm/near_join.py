@@ -12,10 +12,10 @@ Pigeonhole join. All segments have one global order: more set bits first, then b
 d + 1 + l of each of the two sketches share 1 + l at least. Those are what a document emits; the join groups them by key. Keys
 of more than HOT documents are hot and make no pairs. So two linked documents, of which the one has h hot keys and the other
 no fewer, meet in 1 + l - h other keys or more, and pairs that meet in fewer are passed over. Pairs are lost only where both
-have more than l hot keys. Such crowded documents are first compared to one member of each hot group that they share several
+have more than l hot keys. Such crowded documents are first compared to the least edited member of each hot group that they share several
 keys with, which joins up families of near copies; those in hot groups that still span components emit all their shingles one
 by one, and what is left after that, documents nearly all of whose shingles are in many others, meets other components in the
-rarest quarter of its hot keys.
+rarest of its hot keys, by the bounds of prefix filters.
 
 Every candidate is verified on the sets themselves. Shingles are 52-bit hashes there: for two documents of a thousand
 shingles the chance that any two of them collide is below one in a billion.
@@ -299,8 +299,7 @@ def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -
     sizes = written(_crowding(shared, sizes), "sizes")
     pairs = written(_enough(_met(shared.where(F.col("n") <= HOT)), sizes), "pairs")
     crowded = sizes.where("hot > room").select("set_key")
-    pivot = F.min("set_key").over(Window.partitionBy("seg"))
-    families = shared.where(F.col("n") > HOT).select(pivot.alias("a"), F.col("set_key").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    families = _stars(shared.where(F.col("n") > HOT), sizes).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
     families = written(families.where(F.col("met") >= ALIKE).join(crowded.toDF("b"), "b", "left_semi").select("a", "b"), "families")
     firsts = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(families).distinct()
     needed = pairs.select("a").union(pairs.select("b")).union(families.select("a")).union(crowded).distinct().toDF("set_key")
@@ -318,24 +317,38 @@ def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -
     sizes = written(_crowding(single, sizes.join(crowded, "set_key", "left_semi").drop("hot", "room").withColumnRenamed("single_room", "room")), "sizes")
     links = links.union(check(_apart(_enough(_met(single.where(F.col("n") <= HOT)), sizes), labels)))
     left = sizes.where("hot > room").select("set_key")
-    last = written(_across(single.where(F.col("n") > HOT).join(left, "set_key", "left_semi"), _labels(links)), "rest")
+    crowd = single.where(F.col("n") > HOT).join(left, "set_key", "left_semi")
+    labels = _labels(links)
+    stars = _stars(_across(crowd, labels), sizes).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    links = links.union(check(_apart(stars.where(F.col("met") >= ALIKE).select("a", "b"), labels)))
+    last = written(_across(crowd, _labels(links)), "rest")
     if last.isEmpty():
         return links
     return links.union(check(_close(last, sizes)))
 
 
+def _stars(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a, b for each key: the set with the largest share of hot keys, which of near copies is the least edited one, and each
+    set of the key."""
+    share = F.struct((F.col("hot") / F.col("n_shingles")).alias("share"), "set_key")
+    first = rows.select("seg", "set_key").join(sizes.select("set_key", "hot", "n_shingles"), "set_key").groupBy("seg").agg(F.max(share).alias("x")).select("seg", F.col("x.set_key").alias("a"))
+    return rows.select("seg", F.col("set_key").alias("b")).join(first, "seg").select("a", "b")
+
+
 def _close(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of sets that may be linked, from their hot keys. All but a quarter of a set's shingles are in any linked one, so
-    among the first n // 4 + 1 of its shingles, in one order for all, there is the first that both have. Keys of few
-    components come first; those that join no components, cold ones among them, come before these and are done with, so a
-    set emits what they leave of its first quarter, and one with more of them than that emits nothing. The keys of a set
-    meet each other component of sets of a fitting size once, not each of its members."""
+    """Pairs of sets that may be linked, from their hot keys. Let all sets list their shingles in one order: those first that
+    join no components, cold ones among them, then keys of few components, then others. Sets of n and m shingles that are
+    linked have 3 (n + m) / 7 in common or more, so where the first of these is the i-th of the one and the j-th of the
+    other, 4 n - 7 (i - 1) >= 3 m and 4 m - 7 (j - 1) >= 3 n. That bounds what a set emits, n // 4 + 1 at most; and what
+    joins no components is done with, so sets with much of it emit little or nothing. The keys of a set meet each other
+    component that these bounds allow once, not each of its members."""
     spans = rows.groupBy("seg").agg(F.count_distinct("comp").alias("comps"))
     own = Window.partitionBy("set_key")
-    ranked = rows.select("seg", "set_key", "comp").join(sizes.select("set_key", F.col("n_shingles").alias("n")), "set_key").withColumn("open", F.count("*").over(own) - F.ceil(3 * F.col("n") / 4) + 1)
-    first = ranked.where("open > 0").join(spans, "seg").withColumn("nth", F.row_number().over(own.orderBy("comps", "seg"))).where("nth <= open")
-    other = first.groupBy("seg", F.col("comp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    meets = first.join(other, "seg").where("comp <> other AND 4 * n >= 3 * least AND 3 * n <= 4 * most").select("set_key", "comp", "other").distinct()
+    ranked = rows.select("seg", "set_key", "comp").join(sizes.select("set_key", F.col("n_shingles").alias("n")), "set_key").withColumn("done", F.col("n") - F.count("*").over(own))
+    ranked = ranked.where("done <= n div 4").join(spans, "seg").withColumn("at", F.col("done") + F.row_number().over(own.orderBy("comps", "seg")) - 1)
+    first = ranked.where("at <= n div 4").withColumn("reach", 4 * F.col("n") - 7 * F.col("at"))
+    other = first.groupBy("seg", F.col("comp").alias("other")).agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    meets = first.join(other, "seg").where("comp <> other AND reach >= 3 * least AND most >= 3 * n").select("set_key", "comp", "other").distinct()
     back = meets.select(F.col("set_key").alias("b"), F.col("other").alias("comp"), F.col("comp").alias("other"))
     return meets.withColumnRenamed("set_key", "a").join(back, ["comp", "other"]).where("a < b").select("a", "b")
 

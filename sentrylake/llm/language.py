@@ -200,8 +200,11 @@ def train(texts: list[str], langs: list[str]) -> Model:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 4, held: int = 2) -> Model:
     """A model from at most fit_rows documents of each language outside the held-out fold, the first by a hash of their id."""
     known = docs.where("lang is not null AND doc_id is not null AND text is not null").where(fold(F.col("doc_id"), folds) != held)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id"))
-    chosen = F.broadcast(known.select("doc_id", "lang").withColumn("nth", rank).where(F.col("nth") <= fit_rows).select("doc_id", "lang").distinct())
+    order = F.xxhash64(F.lit(5), "doc_id"), "doc_id"
+    # first in each of 64 groups of a language, so that a language of very many rows is ranked by many tasks
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(64)).alias("slot"))
+    few = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "slot").orderBy(*order))).where(F.col("nth") <= fit_rows)
+    chosen = F.broadcast(few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= fit_rows).select("doc_id", "lang").distinct())
     rows = known.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"], "left_semi").collect()  # fit_rows for each language
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -68,9 +68,8 @@ def test_what_links_campaigns(spark):
 
 
 def test_upsert_keeps_first_id_and_last_score(spark):
-    kind = "url_key string, id long, seq long, seen timestamp_ntz, score double, visual double, entities array<struct<type:string,value:string>>"
-    rows = spark.sql("SELECT * FROM VALUES ('k', 1L, 1L, TIMESTAMP_NTZ '2024-01-02', 0.5D, 0.9D, array(struct('ip', 'a'))), ('k', 2L, 2L, TIMESTAMP_NTZ '2024-01-01', 0.3D, CAST(NULL AS DOUBLE), array(struct('ip', 'b'), struct('ip', 'a'))) AS t(url_key, id, seq, seen, score, visual, entities)")
-    rows = rows.select(*[F.col(c).cast(rows.schema[c].dataType) for c in rows.columns]).to(spark.createDataFrame([], kind).schema)
+    e = lambda v: f"named_struct('type', 'ip', 'value', '{v}')"
+    rows = spark.sql(f"SELECT * FROM VALUES ('k', 1L, 1L, TIMESTAMP_NTZ '2024-01-02', 0.5D, 0.9D, array({e('a')})), ('k', 2L, 2L, TIMESTAMP_NTZ '2024-01-01', 0.3D, CAST(NULL AS DOUBLE), array({e('b')}, {e('a')})) AS t(url_key, id, seq, seen, score, visual, entities)")
     r = ST.upserted(rows).first()
     assert (r["id"], r["score"], r["visual"], r["sightings"]) == (1, 0.3, 0.9, 2)
     assert [tuple(e) for e in r["entities"]] == [("ip", "b"), ("ip", "a")] and r["first_seen"] < r["last_seen"]

@@ -1,13 +1,19 @@
-"""Language-model scores from a two-level n-gram trie in Elias-Fano form.
+"""Language-model scores from a three-level n-gram trie in Elias-Fano form.
 
 Level 1 holds the words, sorted by hash (their place is their id), with counts and pointers to their successors. Level 2 holds
 the successors: for each word, in the order of ids, the ids of the words that follow it, each relative to its context's base,
-with probabilities quantised to 256 values. Both are monotone sequences, cut into parts by ranges of the contexts' hashes; each
-part is a file of the shared folder that tasks map into memory, so no task holds the model and no one gathers it.
+with probabilities quantised to 256 values, and the pairs' counts. Level 3 holds the same for pairs: for each pair, in the order
+of their places in level 2 (a pair's place is its id), the ids of the words that follow it, with quantised shares. All are monotone
+sequences, cut into parts by ranges of the contexts' hashes, level 3 by ranges of pair ids; each part is a file of the shared
+folder that tasks map into memory, so no task holds the model and no one gathers it.
 
 The probability of a word w after h is (c(h, w) + MASS * p(w)) / (c(h) + MASS), with p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)),
 c a count of the training texts, N all tokens and V distinct ones. The end of a text is a token; it's also the context of the
 first word. A word that never occurred has p of a count of zero, and as a context leaves p(w) as it is.
+
+The probability after the pair (g, h) is (c(g, h, w) + MASS * p(w after h)) / (c(g, h) + MASS), of which level 3 holds
+c(g, h, w) / (c(g, h) + MASS). A pair that never occurred leaves p(w after h) as it is, and so does the first word of a text, which
+has only the end before it.
 """
 
 from collections.abc import Callable, Iterator
@@ -63,6 +69,8 @@ class Trie:
     bits: int
     total: int
     offsets: np.ndarray  # of the words of each part
+    pairs: np.ndarray | None = None  # of the pairs of each part
+    span: int = 1  # pair ids of a part of level 3
 
     @property
     def words(self) -> int:
@@ -98,14 +106,28 @@ class Reader:
             counts[a:b] = np.where(hit, own["counts"][np.maximum(at, 0)], 0)
         return ids, counts
 
-    def follow(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probability of each pair of ids, sorted by context; nan where it didn't occur."""
-        out = np.full(len(context), np.nan)
+    def follow(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id (-1: didn't occur), log10 probability (nan) and count of each pair of ids, sorted by context."""
+        ids, value, counts = np.full(len(context), -1, np.int64), np.full(len(context), np.nan), np.zeros(len(context), np.int64)
         for k, a, b in _slices(np.searchsorted(self.trie.offsets, context, "right") - 1):
             own = self.part(k, 2)
-            base = (context[a:b] - self.trie.offsets[k]).astype(np.uint64) * np.uint64(self.trie.words)
-            at = own["ef"].find(base + word[a:b].astype(np.uint64))
-            out[a:b] = np.where(at >= 0, own["book"][own["codes"][np.maximum(at, 0)]] if len(own["codes"]) else np.nan, np.nan)
+            at = own["ef"].find(_values(context[a:b] - self.trie.offsets[k], word[a:b], self.trie))
+            hit = np.flatnonzero(at >= 0)
+            at = at[hit]
+            count = own["counts"][at].astype(np.int64)
+            large = count == 255
+            count[large] = own["large"][np.searchsorted(own["large_at"], at[large])]
+            ids[a:b][hit], value[a:b][hit], counts[a:b][hit] = at + self.trie.pairs[k], own["book"][own["codes"][at]], count
+        return ids, value, counts
+
+    def third(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Share of each word after a pair, both as ids, sorted by pair; 0 where it didn't occur."""
+        out = np.zeros(len(pair))
+        for k, a, b in _slices(pair // self.trie.span):
+            own = self.part(k, 3)
+            at = own["ef"].find(_values(pair[a:b] - k * self.trie.span, word[a:b], self.trie))
+            hit = np.flatnonzero(at >= 0)
+            out[a:b][hit] = 10.0 ** own["book"][own["codes"][at[hit]]].astype(np.float64)
         return out
 
     def successors(self, word: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +139,11 @@ class Reader:
         return (own["ef"].access(at) - np.uint64(local * self.trie.words)).astype(np.int64), own["book"][own["codes"][at]]
 
 
+def _values(context: np.ndarray, word: np.ndarray, trie: Trie) -> np.ndarray:
+    """What a part of level 2 or 3 holds for a word after a context of that part."""
+    return context.astype(np.uint64) * np.uint64(trie.words) + word.astype(np.uint64)
+
+
 def _unigram(count: np.ndarray, trie: Trie) -> np.ndarray:
     return (count + ADDED) / (trie.total + ADDED * (trie.words + 1))
 
@@ -152,20 +179,21 @@ def _arrays(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _small(count: np.ndarray) -> list[np.ndarray]:
-    """Counts as bytes, and apart those over 254."""
-    return [np.minimum(count, 255).astype(np.uint8), count[count > 254].astype(np.uint64)]
+def _small(count: np.ndarray, kind: type = np.uint8) -> list[np.ndarray]:
+    """Counts as bytes, and apart those over 254; or so for another kind."""
+    top = np.iinfo(kind).max
+    return [np.minimum(count, top).astype(kind), count[count >= top].astype(np.uint64)]
 
 
 def _full(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     count = small.astype(np.int64)
-    count[small == 255] = large
+    count[small == np.iinfo(small.dtype).max] = large
     return count
 
 
 def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
-    """The trie of all texts of docs. Two passes: words and their counts, then pairs of words, each added up within tasks,
-    sent to the part that they belong to and merged there."""
+    """The trie of all texts of docs. Three passes: words and their counts, then pairs of words, then pairs with the word after
+    them, each added up within tasks, sent to the part that they belong to and merged there."""
     ship(docs.sparkSession)
     path = new_path(docs.sparkSession, "trie")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -224,12 +252,48 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
         for j, a, b in _slices(np.searchsorted(trie.offsets, some, "right") - 1):
             of_word[a:b] = reader.part(j, 1)["counts"][some[a:b] - trie.offsets[j]]
         code, book = _quantised(np.log10((count + MASS * _unigram(of_word, trie)[back]) / (of_context + MASS)))
+        small, large = _small(count)
         starts = np.searchsorted(context, np.arange(int(sizes[k]) + 1)).astype(np.uint64)
-        save(f"{path}/level2-{k}", {f"ef.{x}": y for x, y in encode(value).items()} | {f"pointers.{x}": y for x, y in encode(starts).items()} | {"codes": code, "book": book})
+        save(f"{path}/level2-{k}", {f"ef.{x}": y for x, y in encode(value).items()} | {f"pointers.{x}": y for x, y in encode(starts).items()} | {"codes": code, "book": book, "counts": small, "large": large, "large_at": np.flatnonzero(small == 255)})
         return pd.DataFrame({"part": [k], "n": [len(value)], "total": [int(count.sum())]})
 
-    if trie.words:
-        _shuffled(docs, gather_pairs, write_pairs)
+    if not trie.words:
+        return trie
+    pairs = np.zeros(1 << bits, np.int64)
+    for r in _shuffled(docs, gather_pairs, write_pairs):
+        pairs[r["part"]] = r["n"]
+    trie.pairs = np.concatenate([[0], np.cumsum(pairs)])
+    trie.span = max(1, -(-int(trie.pairs[-1]) // min(2 << bits, MOST_PARTS)))
+
+    def gather_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = trie.open()
+        for held in _flushes(batches, lambda doc, h: h):
+            doc = np.cumsum(held == END) - (held == END)
+            known, at = np.unique(held, return_inverse=True)
+            own, n = reader.look_up(known)[0], len(known)
+            pair, back = np.unique(_contexts(doc, at, np.searchsorted(known, END)) * n + at, return_inverse=True)
+            pair = reader.follow(own[pair // n], own[pair % n])[0]
+            before = _contexts(doc, back, -1)
+            later = before >= 0
+            triple, count = np.unique(before[later] * n + at[later], return_counts=True)
+            before, word, out = pair[triple // n], own[triple % n], []
+            for k, a, b in _slices(before // trie.span):
+                heads = np.flatnonzero(np.concatenate([[True], before[a + 1 : b] != before[a : b - 1]]))
+                steps = np.diff(before[a:b][heads], prepend=k * trie.span)
+                out.append((k, _blob(*_small(steps, np.uint16), *_small(np.diff(np.append(heads, b - a))), word[a:b].astype(ids), *_small(count[a:b]))))
+            yield _sent(out)
+
+    def write_triples(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        blobs = [_arrays(b, np.uint16, np.uint64, np.uint8, np.uint64, ids, np.uint8, np.uint64) for b in pdf["blob"]]
+        before = np.concatenate([np.repeat(np.cumsum(_full(b[0], b[1])), _full(b[2], b[3])) for b in blobs])
+        value, at = np.unique(_values(before, np.concatenate([b[4] for b in blobs]), trie), return_inverse=True)
+        count = np.bincount(at, np.concatenate([_full(b[5], b[6]) for b in blobs]), len(value))
+        pair = (value // np.uint64(trie.words)).astype(np.int64)
+        code, book = _quantised(np.log10(count / (np.bincount(pair, count)[pair] + MASS)))
+        save(f"{path}/level3-{key[0]}", {f"ef.{x}": y for x, y in encode(value).items()} | {"codes": code, "book": book})
+        return pd.DataFrame({"part": [key[0]], "n": [len(value)], "total": [int(count.sum())]})
+
+    _shuffled(docs, gather_triples, write_triples)
     return trie
 
 
@@ -248,7 +312,8 @@ def _flushes(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[np.n
 
 
 def scored(docs: DataFrame, trie: Trie) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score (log10 probability of words and end) of each whole text.
+    """doc_id, n_tokens, n_known, base_score, score and trigram_score of each whole text: log10 probability of words and end by
+    words alone, after one word, and after two.
 
     A null or empty text is the end token alone. Equal texts get equal scores. Null ids are carried; other columns aren't
     read. A trie of no texts knows no word: every token has probability 1 then (V is 0, N is 0). No rows in, no rows out. No
@@ -260,7 +325,7 @@ def scored(docs: DataFrame, trie: Trie) -> DataFrame:
         reader = trie.open()
         for batch in batches:
             rows = batch.num_rows
-            outs = [np.zeros(rows) for _ in range(4)]
+            outs = [np.zeros(rows) for _ in range(5)]
             held, size = [], 0
             for i, j, doc, h in _stream(batch.column(1)):
                 held.append((doc + i, h))
@@ -269,10 +334,10 @@ def scored(docs: DataFrame, trie: Trie) -> DataFrame:
                     for out, x in zip(outs, _scores(reader, trie, *(np.concatenate(y) for y in zip(*held, strict=True)), rows), strict=True):
                         out += x
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(outs[0].astype(np.int64)), pa.array(outs[1].astype(np.int64)), pa.array(outs[2]), pa.array(outs[3])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(outs[0].astype(np.int64)), pa.array(outs[1].astype(np.int64)), *map(pa.array, outs[2:])], ["doc_id", "n_tokens", "n_known", "base_score", "score", "trigram_score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, trigram_score double")
 
 
 def _scores(reader: Reader, trie: Trie, doc: np.ndarray, h: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -284,9 +349,17 @@ def _scores(reader: Reader, trie: Trie, doc: np.ndarray, h: np.ndarray, rows: in
     first, second = pair // len(known), pair % len(known)
     value = base[second] + np.where(ids[first] >= 0, np.log10(MASS / (counts[first] + MASS)), 0.0)
     both = np.flatnonzero((ids[first] >= 0) & (ids[second] >= 0))
-    found = reader.follow(ids[first[both]], ids[second[both]])
+    own, n_own = np.full(len(pair), -1, np.int64), np.zeros(len(pair), np.int64)
+    own[both], found, n_own[both] = reader.follow(ids[first[both]], ids[second[both]])
     value[both] = np.where(np.isnan(found), value[both], found)
-    return [np.bincount(doc, x, rows) for x in (np.ones(len(doc)), counts[word] > 0, base[word], value[back])]
+    triple, some, again = np.unique((_contexts(doc, back, -1) + 1) * len(known) + word, return_index=True, return_inverse=True)
+    before, last, longer = triple // len(known) - 1, triple % len(known), value[back[some]]
+    after = np.flatnonzero((before >= 0) & (own[before] >= 0))
+    share = np.zeros(len(after))
+    seen = np.flatnonzero(ids[last[after]] >= 0)
+    share[seen] = reader.third(own[before[after[seen]]], ids[last[after[seen]]])
+    longer[after] = np.log10(share + MASS / (n_own[before[after]] + MASS) * 10.0 ** longer[after])
+    return [np.bincount(doc, x, rows) for x in (np.ones(len(doc)), counts[word] > 0, base[word], value[back], longer[again])]
 
 
 def training(doc_id: Column) -> Column:

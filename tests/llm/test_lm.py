@@ -55,6 +55,38 @@ def test_query(spark):
     assert np.mean(better) > 0.9
 
 
+def test_trigrams(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = {i for i in docs if crc32(str(i).encode()) % 10 == 0}
+    one, two = _model(t for i, t in docs.items() if i not in held)
+    three, before = Counter(), Counter()
+    for w in ([None, *words(t), None] for i, t in docs.items() if i not in held):
+        three.update(zip(w, w[1:], w[2:]))
+        before.update(zip(w, w[1:-1]))
+    total, distinct = sum(one.values()), len(one)
+    p = {w: (one[w] + 0.1) / (total + 0.1 * (distinct + 1)) for w in [*one, ""]}
+
+    def after(h, x):
+        return (two[h, x] + lm.MASS * p.get(x, p[""])) / (one[h] + lm.MASS) if one[h] else p.get(x, p[""])
+
+    gains = []
+    for r in op2_elias_fano_lm(spark, SF).collect():
+        w = [None, *words(docs[r["doc_id"]]), None]
+        want = log10(after(w[0], w[1])) + sum(log10((three[g, h, x] + lm.MASS * after(h, x)) / (before[g, h] + lm.MASS)) for g, h, x in zip(w, w[1:], w[2:]))
+        assert abs(r["trigram_score"] - want) < 0.02 * len(w) + 1e-6
+        gains.append(r["trigram_score"] - r["score"])
+    assert max(map(abs, gains)) > 1
+
+
+def test_two_words_decide(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["a x b", "c x d"] * 300)] + [(1000, "a x b"), (1001, "a x d")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.scored(df.where("doc_id >= 1000"), lm.fit(df.where("doc_id < 1000"), part_bytes=1 << 6)).collect()}
+    assert got[1000]["score"] == pytest.approx(got[1001]["score"], abs=0.02)
+    # after "a x" b came 300 times of 300, d never
+    b, d = (300 + 30 * 300 / 600) / 330, 30 * 300 / 600 / 330
+    assert got[1000]["trigram_score"] - got[1001]["trigram_score"] == pytest.approx(log10(b / d), abs=0.1)
+
+
 def test_successors(spark):
     trie = lm.fit(spark.createDataFrame([("a b a c",), ("a b",), (None,)], "text string"))
     reader = trie.open()

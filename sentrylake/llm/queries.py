@@ -16,10 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _digested(row: Column) -> Column:
+    size = (F.coalesce(F.octet_length(row["text"]), F.lit(0)) + 16).cast("long")
+    crc = F.crc32(F.coalesce(row["text"], F.lit("")).cast("binary"))
+    return F.struct(row["doc_id"].alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), row["shard"].alias("shard"), row["slot"].alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    return uniform_shards(narrow, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    put = uniform_shards(_table(spark, sf_dir, "documents"), 40)
+    # digests of whole rows, so that no column of a document is pruned before the exchanges
+    row = F.transform(F.array(F.struct(*put.columns)), _digested)[0]
+    return put.select(row.alias("row")).select("row.*")
 
 
 def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

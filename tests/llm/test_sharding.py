@@ -1,5 +1,6 @@
 """Shards: exact sizes, gapless slots, all rows, the right distribution."""
 
+import re
 from collections import Counter
 from math import comb
 from zlib import crc32
@@ -24,6 +25,14 @@ def test_query(spark):
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 16, crc32(data), "rows", None)
 
 
+def test_query_shuffles_whole_documents(spark):
+    plan = op1_hypergeometric_shards(spark, SF2)._jdf.queryExecution().optimizedPlan().toString()
+    columns = spark.read.parquet(f"{SF2}/documents.parquet").columns
+    rows = re.findall(r"(?:named_)?struct\(([^()]*)\) AS row#", plan)
+    assert any(all(re.search(rf"\b{c}#", x) for c in columns) for x in rows)
+    assert "_extract_" not in plan
+
+
 def test_partitions_do_not_matter(spark):
     df = spark.range(500).selectExpr("id AS doc_id", "repeat('x', id % 7) AS text")
     a = {r["doc_id"]: (r["shard"], r["slot"]) for r in uniform_shards(df.repartition(1), 7).collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.llm.work import new_path, written
 
-#: From this share of all rows, and this many rows, a digest counts as hot; so there are at most 10,000 hot ones.
+#: From this share of a batch's rows, and this many of them, a digest counts as hot; so there are at most 10,000 hot ones.
 HOT_SHARE, HOT_ROWS = 1e-4, 1000
 
 
@@ -48,6 +48,12 @@ class DigestIndex:
         return batch
 
 
+def hot_rows(digests: DataFrame, seen: DataFrame, least: float) -> DataFrame:
+    """The index's rows of the digests that at least so many rows of this batch have."""
+    often = digests.groupBy("digest").count().where(F.col("count") >= least).select("digest")
+    return seen.join(F.broadcast(often), "digest", "left_semi")
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, known.
 
@@ -57,16 +63,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     text are kept as well: nothing tells them apart. Other columns are not looked at. No rows in, no rows out.
 
     The text is read once, into a narrow table of ids and digests. Groups are pre-aggregated before their shuffle. Digests
-    of very large groups, at most 10,000 by their definition, are joined by broadcast, all others by sort-merge.
+    that very many rows of this batch have, at most 10,000 by their definition, are joined by broadcast, all others by sort-merge.
     """
     digests = written(docs.select(F.col("doc_id").cast("long"), digest(F.col("text")).alias("digest")), "docdigests")
     rows = digests.count()
     batch = index.append(digests)
     seen = index.rows()
     least = max(HOT_ROWS, rows * HOT_SHARE)
-    hot = F.broadcast(seen.where(F.col("group_size") >= least).withColumn("hot", F.lit(True)))
+    hot = F.broadcast(hot_rows(digests, seen, least).withColumn("hot", F.lit(True)))
     tagged = digests.join(hot, "digest", "left")
-    rare = tagged.where("hot is null").select("digest", "doc_id").hint("merge").join(seen.where(F.col("group_size") < least), "digest")
+    rare = tagged.where("hot is null").select("digest", "doc_id").hint("merge").join(seen, "digest")
     named = tagged.where("hot").select("digest", "doc_id", "keep_id", "group_size", "batch").unionByName(rare.select("digest", "doc_id", "keep_id", "group_size", "batch"))
     known = F.col("batch") != batch
     return named.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~known).alias("kept"), F.col("digest").alias("text_sha256"), known.alias("known"))

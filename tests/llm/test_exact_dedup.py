@@ -2,6 +2,7 @@
 
 import uuid
 
+from sentrylake.llm import exact_dedup
 from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
 from sentrylake.llm.queries import ORACLES, op9_digest_index_dedup
 from tests.compare import assert_same, views
@@ -23,6 +24,18 @@ def test_batches(spark, tmp_path):
     assert DigestIndex(spark, path, 4).rows().count() == 3
 
 
+def test_hot_by_the_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    found = []
+    monkeypatch.setattr(exact_dedup, "hot_rows", lambda *a, f=exact_dedup.hot_rows: found.append(f(*a)) or found[-1])
+    index = DigestIndex(spark, f"file://{tmp_path}/{uuid.uuid4().hex}", 4)
+    deduplicate(spark.createDataFrame([(k, "old") for k in range(5)] + [(9, "x")], "doc_id long, text string"), index)
+    two = spark.createDataFrame([(k, "x") for k in range(20, 24)] + [(30, "old"), (31, "new")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["known"]) for r in deduplicate(two, index).collect()}
+    assert got == {k: (9, 1, False, True) for k in range(20, 24)} | {30: (0, 5, False, True), 31: (31, 1, True, False)}
+    assert [(r["keep_id"], r["group_size"]) for r in found[-1].collect()] == [(9, 1)]  # not the 5 rows of the older batch
+
+
 def test_hard_rows(spark):
     df = spark.createDataFrame([(None, "x", 1), (None, "y", 1), (2, "y", 1), (2, "y", 1), (7, "l" * 500_000, 1)], "doc_id long, text string, digest int")
     got = sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["kept"]) for r in deduplicate(df, DigestIndex(spark)).collect())

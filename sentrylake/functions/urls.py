@@ -6,7 +6,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from sentrylake.functions import catalogue as C
 
@@ -66,43 +66,53 @@ def owner_of(domain: Column) -> Column:
     return first_of(top + [(domain.isin([d for d, k in C.OFFICIAL if k == key]), key) for key, *_ in C.BRANDS])
 
 
-@F.pandas_udf(StringType())
-def _decoded(hosts: pd.Series) -> pd.Series:
-    """Punycode labels as text; labels that aren't valid stay."""
+@F.pandas_udf(StructType().add("decoded", ArrayType(StringType())).add("folded", ArrayType(StringType())))
+def _labels(hosts: pd.Series) -> pd.DataFrame:
+    """Labels of hosts that aren't plain: punycode as text (labels that aren't valid stay), and that without combining marks."""
 
-    def label(x: str) -> str:
-        if not x.startswith("xn--"):
-            return x
+    def text(x: str) -> str:
         try:
-            return x.encode("ascii").decode("idna")
+            return x.encode("ascii").decode("idna") if x.startswith("xn--") else x
         except (UnicodeError, ValueError):
             return x
 
-    return hosts.map(lambda h: None if h is None else ".".join(map(label, h.split("."))))
+    def folded(x: str) -> str:
+        return "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c))
 
+    decoded = hosts.map(lambda h: None if h is None else [text(x) for x in h.split(".")])
+    return pd.DataFrame({"decoded": decoded, "folded": decoded.map(lambda d: None if d is None else [folded(x) for x in d])})
 
-@F.pandas_udf(StringType())
-def _folded(hosts: pd.Series) -> pd.Series:
-    """Without accents and other combining marks."""
-    return hosts.map(lambda h: None if h is None else "".join(c for c in unicodedata.normalize("NFKD", h.lower()) if not unicodedata.combining(c)))
 
+def labels(host: Column) -> Column:
+    """struct of two arrays, the host's labels decoded and without marks; null for a host that is plain ASCII. Python sees no
+    others."""
+    odd = host.rlike(r"[^\x00-\x7F]|(^|\.)xn--")
+    return F.when(odd, _labels(F.when(odd, host)))
 
-def decode_idn(host: Column) -> Column:
-    coded = host.rlike(r"(^|\.)xn--")
-    return F.when(coded, _decoded(F.when(coded, host))).otherwise(host)
 
+def decoded_labels(host: Column, odd: Column) -> Column:
+    """odd is labels(host), which a query that needs several of these should hold as a column."""
+    return F.coalesce(odd["decoded"], F.split(host, r"\."))
 
-def skeleton(host: Column) -> Column:
-    """Latin look of a host: decoded, without accents, look-alikes and digits as letters, rn as m, vv as w. Python sees only
-    hosts that aren't plain ASCII."""
-    text = decode_idn(host)
-    odd = text.rlike(r"[^\x00-\x7F]")
-    plain = F.translate(F.translate(F.when(odd, _folded(F.when(odd, text))).otherwise(F.lower(text)), *C.CONFUSABLES), *C.DIGIT_LETTERS)
+
+def skeleton_labels(host: Column, odd: Column) -> Column:
+    return F.transform(F.coalesce(odd["folded"], F.split(F.lower(host), r"\.")), plain_look)
+
+
+def plain_look(label: Column) -> Column:
+    """Look-alikes and digits as letters, rn as m, vv as w."""
+    plain = F.translate(F.translate(label, *C.CONFUSABLES), *C.DIGIT_LETTERS)
     return F.replace(F.replace(plain, F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
 
 
-def mixed_scripts(host: Column) -> Column:
-    return F.exists(F.split(decode_idn(host), r"\."), lambda x: x.rlike(r"\p{IsLatin}") & x.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"))
+def skeleton(host: Column) -> Column:
+    """Latin look of a host: decoded, without accents, look-alikes and digits as letters, rn as m, vv as w."""
+    return F.array_join(skeleton_labels(host, labels(host)), ".")
+
+
+def mixed_scripts(host: Column, odd: Column | None = None) -> Column:
+    own = decoded_labels(host, labels(host) if odd is None else odd)
+    return F.exists(own, lambda x: x.rlike(r"\p{IsLatin}") & x.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"))
 
 
 def is_shortener(host: Column) -> Column:
@@ -126,19 +136,28 @@ def segment_pattern(keyword: str) -> str:
     return f"(?:^|[^a-z0-9]){side}{keyword}{side}(?:$|[^a-z0-9])"
 
 
-def keyword_in(keyword: str, skel: Column) -> Column:
-    """Long keywords anywhere; short ones as words of a label, or at the start of a label on a free hosting platform."""
+def user_part(skel: Column) -> Column:
+    """What the customer of a free hosting platform chose of a host; empty elsewhere."""
+    ends = "|".join(s.replace(".", r"\.") for s in C.FREE_HOSTING)
+    return F.regexp_extract(skel, rf"^(.*?)(?:^|\.)(?:{ends})$", 1)
+
+
+def keyword_in(keyword: str, skel: Column, user: Column | None = None) -> Column:
+    """Long keywords anywhere; short ones as words of a label, or at the start of a label on a free hosting platform. user is
+    user_part(skel). Few hosts hold the letters of a short keyword at all, so the patterns run on those only."""
+    held = F.contains(skel, F.lit(keyword))
     if len(keyword) >= 5:
-        return F.contains(skel, F.lit(keyword))
-    platform = hosting_platform(skel)
-    user = F.when(platform.isNotNull(), F.substr(skel, F.lit(1), F.length(skel) - F.length(platform))).otherwise("")
-    return user.rlike(f"(^|[^a-z0-9]){keyword}") | skel.rlike(segment_pattern(keyword))
+        return held
+    return held & (skel.rlike(segment_pattern(keyword)) | (user_part(skel) if user is None else user).rlike(f"(^|[^a-z0-9]){keyword}"))
 
 
-def one_edit(a: Column, b: Column) -> Column:
-    """At most one insertion, deletion, substitution or swap of neighbours apart."""
-    swap = F.exists(F.sequence(F.lit(1), F.greatest(F.length(b) - 1, F.lit(1))), lambda i: F.concat(F.substr(b, F.lit(1), i - 1), F.substr(b, i + 1, F.lit(1)), F.substr(b, i, F.lit(1)), F.substr(b, i + 2, F.length(b))) == a)
-    return F.levenshtein(a, b, 1).isin(0, 1) | ((F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & swap)
+def near_pattern(keyword: str) -> str:
+    """What begins like the keyword and is one insertion, deletion (of seven letters or more), substitution or swap of
+    neighbours away from it."""
+    k, n = keyword, len(keyword)
+    forms = [f"{k[1:i]}.{k[i + 1 :]}" for i in range(1, n)] + [f"{k[1:i]}.{k[i:]}" for i in range(1, n)]
+    forms += [k[1:i] + k[i + 1 :] for i in range(1, n) if n >= 7] + [k[1:i] + k[i + 1] + k[i] + k[i + 2 :] for i in range(1, n - 1)]
+    return f"{k[0]}(?:{'|'.join(dict.fromkeys(forms))})"
 
 
 def flat_of(skel: Column) -> Column:
@@ -147,24 +166,8 @@ def flat_of(skel: Column) -> Column:
 
 
 def typosquat(flat: Column) -> Column:
-    """The first keyword that the host has within one edit but not itself, or null. flat is a column of flat_of, not an
-    expression: it's looked at for each window."""
-    cases = []
-    for keyword in [k for k, _ in C.KEYWORDS if len(k) >= 5]:
-        sizes = range(len(keyword) - (len(keyword) >= 7), len(keyword) + 2)
-        hit = F.lit(False)
-        for size in sizes:
-            hit = hit | ((F.length(flat) >= size) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(flat) - size + 1, F.lit(1))), _near(flat, size, keyword)))
-        cases.append((~F.contains(flat, F.lit(keyword)) & hit, keyword))
-    return first_of(cases)
-
-
-def _near(flat: Column, size: int, keyword: str):
-    def test(i: Column) -> Column:
-        window = F.substr(flat, i, F.lit(size))
-        return F.startswith(window, F.lit(keyword[0])) & one_edit(window, F.lit(keyword))
-
-    return test
+    """The first keyword that the host has within one edit but not itself, or null. flat is a column of flat_of."""
+    return first_of([(~F.contains(flat, F.lit(k)) & flat.rlike(near_pattern(k)), k) for k, _ in C.KEYWORDS if len(k) >= 5])
 
 
 def domain_in_path(url: Column) -> Column:
@@ -184,58 +187,61 @@ def _signal(name: str, points: int, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(name).alias("name"), F.lit(points).alias("points")))
 
 
+def any_of(words: list[str]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
 def lexical(df, url: str = "url"):
     """df with host, registered, skel, owner, keyword, brand, signals (array of name and points), score (hundredths, 100 at
-    most) and verdict of each URL. A null URL has an empty host and no brand."""
+    most) and verdict of each URL. A null URL has an empty host and no brand.
+
+    The one call of Python is made first, on the host; what follows is native and stands in layers, so that no layer repeats
+    another's expressions.
+    """
     text = F.coalesce(F.col(url), F.lit(""))
-    out = df.withColumn("host", host_of(text)).withColumn("registered", registered_domain(F.col("host"))).withColumn("skel", skeleton(F.col("host"))).withColumn("decoded", decode_idn(F.col("host")))
-    out = out.withColumn("owner", owner_of(F.col("registered"))).withColumn("platform", hosting_platform(F.col("host")))
-    out = out.withColumn("keyword", F.when(F.col("owner").isNull(), first_of([(keyword_in(k, F.col("skel")), k) for k, _ in C.KEYWORDS])))
+    out = df.withColumn("host", host_of(text)).withColumn("odd", labels(F.col("host")))
+    out = out.withColumns({"registered": registered_domain(F.col("host")), "decoded": decoded_labels(F.col("host"), F.col("odd")), "looks": skeleton_labels(F.col("host"), F.col("odd"))})
+    deep = F.greatest(F.size("looks") - F.size(F.split("registered", r"\.")), F.lit(0))
+    within = F.endswith("host", F.col("registered"))
+    own = F.slice("looks", F.lit(1), deep)
+    rest = F.slice("looks", deep + 1, F.greatest(F.size("looks"), F.lit(1)))
+    out = out.withColumns({"owner": owner_of(F.col("registered")), "platform": hosting_platform(F.col("host")), "skel": F.array_join("looks", "."), "skel_sub": F.when(within, F.array_join(own, ".")).otherwise(""), "skel_reg": F.array_join(rest, ".")})
+    out = out.withColumns({f"user{x}": user_part(F.col(f"skel{x}")) for x in ("", "_sub", "_reg")})
+    out = out.withColumn("keyword", F.when(F.col("owner").isNull(), first_of([(keyword_in(k, F.col("skel"), F.col("user")), k) for k, _ in C.KEYWORDS])))
     free = F.col("owner").isNull() & F.col("keyword").isNull()
-    out = out.withColumn("flat", flat_of(F.col("skel"))).withColumn("squatted", F.when(free, typosquat(F.col("flat"))))
+    out = out.withColumn("squatted", F.when(free, typosquat(flat_of(F.col("skel")))))
     out = out.withColumn("in_path", F.when(free & F.col("squatted").isNull(), domain_in_path(text)))
     of_keyword, of_domain = F.create_map(*[F.lit(x) for p in C.KEYWORDS for x in p]), F.create_map(*[F.lit(x) for p in dict(reversed(C.OFFICIAL)).items() for x in p])
-    out = out.withColumn("brand", F.coalesce(of_keyword[F.col("keyword")], of_keyword[F.col("squatted")], F.when(F.substring_index("in_path", ".", -1).isin(*C.BRAND_TLDS), F.substring_index("in_path", ".", -1)), of_domain[F.col("in_path")]))
-
-    has = F.col("keyword").isNotNull()
-    sub = F.when(F.endswith("host", F.col("registered")), F.regexp_replace(F.substr("host", F.lit(1), F.length("host") - F.length("registered")), r"\.+$", "")).otherwise("")
+    top = F.substring_index("in_path", ".", -1)
+    subdomain = first_of([(F.col("keyword") == k, keyword_in(k, F.col("skel_sub"), F.col("user_sub")) & ~keyword_in(k, F.col("skel_reg"), F.col("user_reg"))) for k, _ in C.KEYWORDS], False)
+    # an owned domain as registered one has an owner, and so no keyword
+    embedded = first_of([(F.col("keyword").isin([k for k, b in C.KEYWORDS if b == key]), F.col("host").rlike(rf"(^|\.)(?:{any_of(domains)})\.")) for key, _, _, domains, _ in C.BRANDS], False)
+    name = F.array_join("decoded", ".")
     flat = F.concat(F.replace("host", F.lit("-"), F.lit("")), F.lit(" "), F.replace("skel", F.lit("-"), F.lit("")))
-    subdomains, prefixes = [], []
-    for k, key in C.KEYWORDS:
-        own = next(domains for b, _, _, domains, _ in C.BRANDS if b == key)
-        subdomains.append((F.col("keyword") == k, keyword_in(k, F.col("skel_sub")) & ~keyword_in(k, F.col("skel_reg"))))
-        prefix = F.lit(False)
-        for d in own:
-            prefix = prefix | ((F.col("registered") != d) & (F.startswith("host", F.lit(d + ".")) | F.contains("host", F.lit(f".{d}."))))
-        prefixes.append((F.col("keyword") == k, prefix))
-    subdomain, embedded = first_of(subdomains, False), first_of(prefixes, False)
-    terms = F.lit(False)
-    for t in C.BANKING_TERMS:
-        terms = terms | F.contains(flat, F.lit(t))
-    lures = F.lit(False)
-    for w in C.LURE_WORDS:
-        lures = lures | F.contains(F.lower(text), F.lit(w))
-    hyphens = F.length("decoded") - F.length(F.replace("decoded", F.lit("-"), F.lit("")))
-    out = out.withColumn("sub", sub).withColumn("skel_sub", skeleton(F.col("sub"))).withColumn("skel_reg", skeleton(F.col("registered")))
+    has = F.col("keyword").isNotNull()
     signals = F.array_compact(
         F.array(
             _signal("brand_in_unofficial_domain", 50, has),
-            _signal("homoglyph_obfuscation", 20, has & ~F.contains("decoded", F.col("keyword"))),
-            _signal("brand_in_subdomain", 20, has & (F.col("sub") != "") & subdomain),
-            _signal("brand_with_banking_terms", 20, has & terms),
+            _signal("homoglyph_obfuscation", 20, has & ~F.contains(name, F.col("keyword"))),
+            _signal("brand_in_subdomain", 20, has & (F.col("skel_sub") != "") & subdomain),
+            _signal("brand_with_banking_terms", 20, has & flat.rlike(any_of(C.BANKING_TERMS))),
             _signal("official_domain_in_subdomain", 20, has & embedded),
             _signal("typosquatting", 45, F.col("squatted").isNotNull()),
-            _signal("idn_homograph", 30, mixed_scripts(F.col("host"))),
+            _signal("idn_homograph", 30, mixed_scripts(F.col("host"), F.col("odd"))),
             _signal("url_shortener", 10, is_shortener(F.col("host"))),
             _signal("free_hosting_platform", 20, F.col("platform").isNotNull()),
             _signal("brand_in_url_path", 30, F.col("in_path").isNotNull()),
             _signal("suspicious_tld", 20, F.substring_index("host", ".", -1).isin(C.SUSPICIOUS_TLDS)),
             _signal("punycode", 20, F.col("host").rlike(r"(^|\.)xn--")),
-            _signal("many_hyphens", 10, hyphens >= 2),
-            _signal("lure_keywords", 20, lures),
+            _signal("many_hyphens", 10, F.length(name) - F.length(F.replace(name, F.lit("-"), F.lit(""))) >= 2),
+            _signal("lure_keywords", 20, F.lower(text).rlike(any_of(C.LURE_WORDS))),
             _signal("long_host", 5, F.length("host") > 40),
             _signal("ip_host", 30, is_ip(F.col("host"))),
         )
     )
-    out = out.withColumn("signals", signals).drop("sub", "skel_sub", "skel_reg", "decoded", "squatted", "in_path", "platform", "flat")
-    return out.withColumn("score", F.least(F.lit(100), F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"]))).withColumn("verdict", verdict(F.col("score")))
+    out = out.withColumns({"brand": F.coalesce(of_keyword[F.col("keyword")], of_keyword[F.col("squatted")], F.when(top.isin(*C.BRAND_TLDS), top), of_domain[F.col("in_path")]), "signals": signals})
+    out = out.withColumn("score", F.least(F.lit(100), F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"]))).withColumn("verdict", verdict(F.col("score")))
+    return out.select(*[c for c in df.columns if c not in LEXICAL], *LEXICAL)
+
+
+LEXICAL = ["host", "registered", "skel", "owner", "keyword", "brand", "signals", "score", "verdict"]

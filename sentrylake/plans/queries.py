@@ -76,11 +76,11 @@ def _url_sql(tail: str) -> str:
 _SEGMENT = {k: U.segment_pattern(k).replace("'", "''") for k, _ in C.KEYWORDS if len(k) < 5}
 
 
-def _keyword_sql(k: str) -> str:
+def _keyword_sql(k: str, skel: str = "skel", platform: str = "skel_platform") -> str:
     if len(k) >= 5:
-        return f"contains(skel, '{k}')"
-    user = "CASE WHEN skel_platform IS NULL THEN '' ELSE substr(skel, 1, length(skel) - length(skel_platform)) END"
-    return f"(regexp_matches({user}, '(^|[^a-z0-9]){k}') OR regexp_matches(skel, '{_SEGMENT[k]}'))"
+        return f"contains({skel}, '{k}')"
+    user = f"CASE WHEN {platform} IS NULL THEN '' ELSE substr({skel}, 1, length({skel}) - length({platform})) END"
+    return f"(contains({skel}, '{k}') AND (regexp_matches({user}, '(^|[^a-z0-9]){k}') OR regexp_matches({skel}, '{_SEGMENT[k]}')))"
 
 
 def _typo_sql() -> str:
@@ -94,6 +94,40 @@ def _typo_sql() -> str:
     return f"SELECT *, CASE {' '.join(cases)} END AS squat FROM (SELECT *, {flat} AS flat FROM o)"
 
 
+def _listed(cases: list[tuple[str, int, str]]) -> tuple[str, str]:
+    """SQL of the names of the cases that hold, comma-joined, and of the sum of their points."""
+    names = ", ".join(f"CASE WHEN {when} THEN '{name}' END" for name, _, when in cases)
+    return f"array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ',')", " + ".join(f"CASE WHEN {when} THEN {points} ELSE 0 END" for _, points, when in cases)
+
+
+_BRAND_OF = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{b}'" for k, b in C.KEYWORDS) + " END"
+_VERDICT = "CASE WHEN score >= 70 THEN 'malicious' WHEN score >= 40 THEN 'suspicious' ELSE 'benign' END"
+
+
+def _lexical_sql(rows: str, tail: str) -> str:
+    """SQL of the lexical score over rows (with id and url); it has no means to decode punycode, which these rows lack."""
+    keyword = "CASE " + " ".join(f"WHEN {_keyword_sql(k)} THEN '{k}'" for k, _ in C.KEYWORDS) + " END"
+    deeper = "CASE keyword " + " ".join(f"WHEN '{k}' THEN {_keyword_sql(k, 'skel_sub', 'sub_platform')} AND NOT {_keyword_sql(k, 'skel_reg', 'reg_platform')}" for k, _ in C.KEYWORDS) + " END"
+    embedded = "CASE keyword " + " ".join("WHEN '{}' THEN len(list_filter([{}], lambda d: registered <> d AND (starts_with(host, d || '.') OR contains(host, '.' || d || '.')))) > 0".format(k, _quoted(next(d for b, _, _, d, _ in C.BRANDS if b == key))) for k, key in C.KEYWORDS) + " END"
+    contains = lambda x, words: f"len(list_filter([{_quoted(words)}], lambda w: contains({x}, w))) > 0"
+    names, points = _listed([
+        ("brand_in_unofficial_domain", 50, "keyword IS NOT NULL"), ("homoglyph_obfuscation", 20, "keyword IS NOT NULL AND NOT contains(host, keyword)"), ("brand_in_subdomain", 20, f"keyword IS NOT NULL AND skel_sub <> '' AND {deeper}"),
+        ("brand_with_banking_terms", 20, "keyword IS NOT NULL AND " + contains("replace(host, '-', '') || ' ' || replace(skel, '-', '')", C.BANKING_TERMS)), ("official_domain_in_subdomain", 20, f"keyword IS NOT NULL AND {embedded}"),
+        ("typosquatting", 45, "squat IS NOT NULL"), ("idn_homograph", 30, "len(list_filter(string_split(host, '.'), lambda x: regexp_matches(x, '\\p{Latin}') AND regexp_matches(x, '[\\p{Cyrillic}\\p{Greek}]'))) > 0"),
+        ("url_shortener", 10, f"regexp_replace(host, '^www\\.', '') IN ({_quoted(C.SHORTENERS)})"), ("free_hosting_platform", 20, "platform IS NOT NULL"), ("brand_in_url_path", 30, "in_path IS NOT NULL"),
+        ("suspicious_tld", 20, f"string_split(host, '.')[-1] IN ({_quoted(C.SUSPICIOUS_TLDS)})"), ("punycode", 20, "starts_with(host, 'xn--') OR contains(host, '.xn--')"), ("many_hyphens", 10, "length(host) - length(replace(host, '-', '')) >= 2"),
+        ("lure_keywords", 20, contains("lower(url)", C.LURE_WORDS)), ("long_host", 5, "length(host) > 40"), ("ip_host", 30, "regexp_full_match(host, '[0-9]{1,3}(\\.[0-9]{1,3}){3}')"),
+    ])
+    paths = f"list_min(list_filter([{_quoted([d for d, _ in C.OFFICIAL])}], lambda d: regexp_matches(rest, '(^|[^a-z0-9-])' || replace(d, '.', '\\.') || '($|[^a-z0-9-])') AND NOT contains(rest, '@' || d)))"
+    return f"""WITH u AS ({rows}), h AS (SELECT *, {_HOST.format(u="url")} AS host, lower(regexp_extract({_FULL.format(u="url")}, '^[^:/?#]*://[^/?#]*([^#]*)', 1)) AS rest FROM u),
+        r AS (SELECT *, {_REG.format(h="host")} AS registered, {_SKEL.format(h="host")} AS skel FROM h), v AS (SELECT *, {_SKEL.format(h="registered")} AS skel_reg, CASE WHEN ends_with(host, registered) THEN {_SKEL.format(h="regexp_replace(substr(host, 1, length(host) - length(registered)), '[.]+$', '')")} ELSE '' END AS skel_sub FROM r),
+        w AS (SELECT *, {_OWNER.format(r="registered")} AS owner, {_PLATFORM.format(h="host")} AS platform, {_PLATFORM.format(h="skel")} AS skel_platform, {_PLATFORM.format(h="skel_sub")} AS sub_platform, {_PLATFORM.format(h="skel_reg")} AS reg_platform FROM v),
+        k AS (SELECT *, CASE WHEN owner IS NULL THEN {keyword} END AS keyword FROM w), o AS (SELECT * FROM k), t AS (SELECT * REPLACE (CASE WHEN owner IS NULL AND keyword IS NULL THEN squat END AS squat) FROM ({_typo_sql()})),
+        i AS (SELECT *, CASE WHEN owner IS NULL AND keyword IS NULL AND squat IS NULL THEN {paths} END AS in_path FROM t),
+        f AS (SELECT *, coalesce({_BRAND_OF.format("keyword")}, {_BRAND_OF.format("squat")}, {_OWNER.format(r="in_path")}) AS brand, {names} AS signals, least(100, {points}) AS score FROM i),
+        x AS (SELECT *, {_VERDICT} AS verdict FROM f) {tail}"""
+
+
 @query(f"SELECT page_id, {_HOST.format(u='url')} AS host, {_REG.format(h=_HOST.format(u='url'))} AS registered FROM pages")
 def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = U.host_of(F.col("url"))
@@ -136,12 +170,12 @@ def url_typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", U.typosquat(F.col("flat")).alias("squat"))
 
 
-@query()
+@query(_lexical_sql(B.URL_ROWS, "SELECT id, brand, signals, score, verdict FROM x"))
 def url_lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.lexical(_urls(spark, sf_dir)).select("id", "brand", F.array_join(F.transform("signals", lambda s: s["name"]), ",").alias("signals"), "score", "verdict")
 
 
-@query()
+@query(_lexical_sql("SELECT page_id AS id, url FROM pages", "SELECT host, verdict, count(*) AS n, max(score) AS score FROM x GROUP BY host, verdict"))
 def url_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.lexical(_table(spark, sf_dir, "pages").select("url")).groupBy("host", "verdict").agg(F.count("*").alias("n"), F.max("score").alias("score"))
 
@@ -182,7 +216,24 @@ def message_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.scored_messages(_texts(spark, sf_dir)).select("id", *(F.array_contains(names, n).alias(n) for n, _, _ in C.MESSAGE_RULES))
 
 
-@query()
+def _message_sql() -> str:
+    fold = lambda x: f"replace(replace(translate({x}, '{C.DIGIT_LETTERS[0]}', '{C.DIGIT_LETTERS[1]}'), 'rn', 'm'), 'vv', 'w')"
+    named = "CASE " + " ".join("WHEN regexp_matches(low, '(^|[^a-z0-9])({})($|[^a-z0-9])') THEN '{}'".format("|".join([display.lower(), *words]), key) for key, display, words, *_ in C.BRANDS) + " END"
+    handled = "CASE " + " ".join(f"WHEN contains(handle, '{k}') THEN '{b}'" for k, b in C.KEYWORDS) + " END"
+    rules = [(n, w, "regexp_matches(text, '(?i){}')".format(p.replace("'", "''"))) for n, w, p in C.MESSAGE_RULES]
+    names, points = _listed([
+        ("brand_mentioned", 25, "named IS NOT NULL"), ("brand_impersonating_upi_handle", 35, "handle IS NOT NULL"), *rules, ("payment_request_to_upi", 25, f"len(upi) > 0 AND regexp_matches(text, '(?i){C.PAYMENT_REQUEST}')"),
+        ("callback_number", 10, f"regexp_matches(text, '(^|[^0-9])([+]?91[-\\s]?)?[6-9][0-9]{{9}}($|[^0-9])') AND regexp_matches(text, '(?i){C.CALLBACK}')"),
+        ("telegram_contact", 10, "regexp_matches(text, '(?i)t(elegram)?[.]me/[+]?[a-z0-9_]{3,}') OR regexp_matches(text, '(^|[^a-zA-Z0-9@._-])@[a-zA-Z][a-zA-Z0-9_]{4,31}\\b')"),
+    ])
+    return f"""WITH t AS ({B.TEXT_ROWS}), a AS (SELECT *, {_SKEL.format(h="text")} AS low, regexp_extract_all(text, '\\b[a-zA-Z0-9.\\-_]{{2,}}@[a-zA-Z]{{2,}}\\b') AS upi FROM t),
+        b AS (SELECT *, list_filter(list_transform(upi, lambda u: {fold("lower(string_split(u, '@')[1])")}), lambda h: regexp_matches(h, '{"|".join(k for k, _ in C.KEYWORDS)}'))[1] AS handle, {named} AS named FROM a),
+        c AS (SELECT *, {names} AS signals, {points} AS points, coalesce(named, {handled}) AS brand FROM b),
+        d AS (SELECT *, least(100, CASE WHEN brand IS NULL AND NOT regexp_matches(signals, 'payment_request_to_upi|credential_request') THEN least(60, points) ELSE points END) AS score FROM c)
+        SELECT id, brand, signals, score, {_VERDICT} AS verdict, 'message://' || substr(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 1, 24) AS url FROM d"""
+
+
+@query(_message_sql())
 def message_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.scored_messages(_texts(spark, sf_dir)).select("id", "brand", F.array_join(F.transform("signals", lambda s: s["name"]), ",").alias("signals"), "score", "verdict", "url")
 

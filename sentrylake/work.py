@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one of our own only where that is unset."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a folder of this machine serves a local master, as in tests; a
+    cluster needs the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = "file://" + tempfile.mkdtemp(prefix="work-")
         spark.sparkContext.setCheckpointDir(base)
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
@@ -31,7 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete a table made by written(), once no lazy result reads it any more."""
-    jvm, files = df.sparkSession._jvm, df.inputFiles()
+    files = df.inputFiles()
     if files:
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_path(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentrylake.llm import tokens
-from sentrylake.llm.graph import components
-from sentrylake.llm.work import ship, written
+from sentrylake.operators.components import components
+from sentrylake.llm.work import ship
+from sentrylake.work import written
 
 WIDTH = 5
 #: Documents that share one key, above which the key makes no pairs.

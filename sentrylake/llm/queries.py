@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.llm import decontaminate, language, lm, mixing, quality, secrets
 from sentrylake.llm.bpe_count import count_tokens
-from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
+from sentrylake.llm.exact_dedup import DigestIndex, buckets_for, deduplicate
 from sentrylake.llm.near_join import near_components
 from sentrylake.llm.sharding import uniform_shards
 
@@ -79,7 +79,10 @@ def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicate(_table(spark, sf_dir, "documents"), DigestIndex(spark))
+    docs = _table(spark, sf_dir, "documents")
+    index = DigestIndex(spark, buckets=buckets_for(docs.count()))
+    found = deduplicate(docs, index)
+    index.drop()  # the answer is settled, and no later batch comes
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

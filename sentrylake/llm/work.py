@@ -1,13 +1,9 @@
-"""Shared work folder, and how executors find this package."""
+"""How executors find this package."""
 
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from sentrylake.work import drop, new_path, work_folder, written
-
-__all__ = ["drop", "new_path", "ship", "work_folder", "written"]
-
 
 def ship(spark: SparkSession) -> None:
     """Python workers started from now on can import this package, wherever the driver's own path has it from."""

@@ -1,5 +1,6 @@
 """The digest index against the SQL, and over several batches."""
 
+import hashlib
 import uuid
 
 from sentrylake.llm import exact_dedup
@@ -9,6 +10,10 @@ from tests.compare import assert_same, views
 from tests.llm.brute import SF2
 
 
+def exact_dedup_digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_query(spark):
     assert_same(op9_digest_index_dedup(spark, SF2), views(SF2), ORACLES["op9_digest_index_dedup"])
 
@@ -36,6 +41,41 @@ def test_hot_by_the_batch(spark, tmp_path, monkeypatch):
     assert [(r["keep_id"], r["group_size"]) for r in found[-1].collect()] == [(9, 1)]  # not the 5 rows of the older batch
 
 
+def _answer(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_a_batch_again(spark, tmp_path):
+    """A job that runs again after its batch has reached the index, wholly or in part, gives the same answer."""
+    index = DigestIndex(spark, f"file://{tmp_path}/{uuid.uuid4().hex}", 4)
+    deduplicate(spark.createDataFrame([(50, "old"), (51, "older")], "doc_id long, text string"), index)
+    df = spark.createDataFrame([(5, "a"), (3, "a"), (4, None), (9, "old"), (10, "new")], "doc_id long, text string")
+    first = _answer(deduplicate(df, index, "b"))
+    assert [r[0] for r in first if r[3]] == [10, 3, 4]
+    assert _answer(deduplicate(df, index, "b")) == first and index.rows().count() == 5
+    assert _answer(deduplicate(df, index, "c")) != first  # another batch of the same rows knows them all
+
+
+def test_a_crash_between(spark, tmp_path):
+    index = DigestIndex(spark, f"file://{tmp_path}/{uuid.uuid4().hex}", 4)
+    df = spark.createDataFrame([(k, f"t{k % 7}") for k in range(20)], "doc_id long, text string")
+    half = spark.createDataFrame([(exact_dedup_digest(f"t{k}"), k, n) for k, n in ((0, 3), (1, 3), (2, 3))], "digest string, keep_id long, group_size long")
+    index.append(half, "b")  # what an attempt left behind
+    want = _answer(deduplicate(df, DigestIndex(spark, None, 4), "b"))
+    assert _answer(deduplicate(df, index, "b")) == want and index.rows().count() == 7
+    named = _answer(deduplicate(df, DigestIndex(spark, f"file://{tmp_path}/{uuid.uuid4().hex}", 4)))
+    assert named == want
+
+
+def test_small_batch_on_large_groups(spark, tmp_path, monkeypatch):
+    """Large groups of older batches aren't hot for a small one; ids may be strings."""
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    index = DigestIndex(spark, f"file://{tmp_path}/{uuid.uuid4().hex}", 4, "STRING")
+    deduplicate(spark.createDataFrame([(f"i{k:03}", f"t{k % 5}") for k in range(200)], "doc_id string, text string"), index)
+    got = deduplicate(spark.createDataFrame([("x", "t1"), ("y", "t2"), ("z", "fresh")], "doc_id string, text string"), index).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["known"]) for r in got} == {"x": ("i001", 40, False, True), "y": ("i002", 40, False, True), "z": ("z", 1, True, False)}
+
+
 def test_hard_rows(spark):
     df = spark.createDataFrame([(None, "x", 1), (None, "y", 1), (2, "y", 1), (2, "y", 1), (7, "l" * 500_000, 1)], "doc_id long, text string, digest int")
     got = sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["kept"]) for r in deduplicate(df, DigestIndex(spark)).collect())

@@ -76,7 +76,7 @@ MESSAGE_RULES = [
 PAYMENT_REQUEST = r"(?:\b(?:pay|send|transfer|deposit)\b|₹|\brs\.? ?\d|\binr\b)"
 CALLBACK = r"\b(call|whatsapp|contact|helpline|customer care|support)\b"
 # Patterns of indicators in text.
-URL = r"(?:[hH][tT][tT][pP][sS]?://|[wW][wW][wW]\.)[^\s<>\"']+"
+URL = r"(?i)(?:https?://|www\.)[^\s<>\"']+"
 UPI = r"\b[a-zA-Z0-9.\-_]{2,}@[a-zA-Z]{2,}\b"
 PHONE = r"(?<!\d)(?:\+?91[\-\s]?)?[6-9]\d{9}(?!\d)"
 TELEGRAM_LINK = r"(?i)(?:https?://)?(?:www\.)?t(?:elegram)?\.me/(\+?[a-zA-Z0-9_]{3,})"
@@ -87,6 +87,82 @@ OFFLINE_MARKERS = [
     "page not found", "404 not found", "no such app", "there isn't a github pages site here", "this site can't be reached", "domain has expired", "this domain is parked", "web site currently not available",
 ]
 CHALLENGE_MARKERS = ["just a moment", "attention required", "checking your browser", "verify you are human", "cf-challenge", "challenges.cloudflare.com", "g-recaptcha", "hcaptcha.com/1/api.js", "ddos-guard", "captcha-delivery"]
+# Words that name fields for credentials, those of them that weigh most, and prompts for credentials.
+SENSITIVE_FIELDS = "upi_pin upipin mpin upi-pin otp one_time onetime cvv card cardnumber cardno expiry password passwd pwd pin atm".split()
+STRONG_FIELDS = "upi_pin upipin mpin otp cvv".split()
+HARVEST_PROMPTS = [
+    "enter your upi pin", "enter upi pin", "enter otp", "verify otp", "enter your otp", "enter card number", "enter your card number", "enter cvv", "enter your cvv", "net banking password", "enter your password",
+    "atm pin", "enter your aadhaar", "update your kyc", "complete your kyc", "complete kyc", "verify your account", "account will be blocked", "account has been blocked", "account will be suspended",
+]
+# Patterns of scripts that hide what they do, with their labels.
+OBFUSCATION = [
+    (r"\beval\s*\(", "eval("), (r"\batob\s*\(", "atob("), (r"\bunescape\s*\(", "unescape("), (r"\bescape\s*\(", "escape("), (r"document\.write\s*\(", "document.write("),
+    (r"String\.fromCharCode\s*\(", "String.fromCharCode("), (r"\bFunction\s*\(\s*['\"]", 'Function("...")'), (r"[A-Za-z0-9+/]{120,}={0,2}", "long base64 blob"),
+]
+# What genuine pages of a brand show: words of the title, vocabulary, markers.
+LOOKS = [
+    ("phonepe", ["phonepe"], "phonepe upi pay wallet payment secure money transaction".split(), ["phonepe", "upi"]),
+    ("gpay", ["google", "pay", "gpay"], "google pay gpay upi payment secure money wallet".split(), ["google pay", "gpay", "upi"]),
+    ("paytm", ["paytm"], "paytm wallet upi pay recharge payment secure money".split(), ["paytm", "upi"]),
+    ("bhim", ["bhim", "upi"], "bhim upi npci pay payment secure money vpa".split(), ["bhim", "upi", "npci"]),
+    ("sbi", ["sbi", "state", "bank"], "sbi state bank india login netbanking account secure upi".split(), ["onlinesbi", "state bank", "sbi"]),
+    ("hdfc", ["hdfc", "bank"], "hdfc bank netbanking login account secure customer upi".split(), ["hdfc", "netbanking"]),
+    ("icici", ["icici", "bank"], "icici bank netbanking login account secure customer upi".split(), ["icici", "netbanking"]),
+    ("axisbank", ["axis", "bank"], "axis bank netbanking login account secure customer upi".split(), ["axis", "netbanking"]),
+]
+# Similarities from which a screenshot matches or resembles, an icon matches, an app's icon matches.
+SCREENSHOT_MATCH, SCREENSHOT_LIKE, ICON_LOOK, APP_ICON = 0.85, 0.75, 0.90, 0.88
+# Networks whose addresses front many unrelated customers.
+SHARED_NETWORKS = "AS13335 AS209242 AS20940 AS16625 AS54113 AS15169 AS396982 AS16509 AS14618 AS8075 AS36459 AS47583 AS26496 AS22612 AS46606 AS19527 AS32934 AS60068 AS21859".split()
+# Hosts that come with development kits and messengers; their registered domains identify no campaign.
+PLATFORM_HOSTS = """android.com google.com googleapis.com gstatic.com googleusercontent.com google-analytics.com
+googlesyndication.com doubleclick.net firebaseio.com firebase.com crashlytics.com facebook.com fb.com fbcdn.net apache.org w3.org
+xml.org xmlpull.org json.org github.com jetbrains.com kotlinlang.org schemas.microsoft.com adobe.com mozilla.org example.com
+localhost play.google.com youtube.com gradle.org squareup.com okhttp3 appsflyer.com branch.io adjust.com onesignal.com sentry.io
+bugsnag.com amazonaws.com t.me telegram.me telegram.org wa.me whatsapp.com whatsapp.net""".split()
+# Official app packages; names of the companies behind the brands.
+PACKAGES = {
+    "phonepe": ["com.phonepe.app"], "gpay": ["com.google.android.apps.nbu.paisa.user"], "paytm": ["net.one97.paytm"], "bhim": ["in.org.npci.upiapp"], "sbi": ["com.sbi.lotusintouch", "com.sbi.SBIFreedomPlus"],
+    "hdfc": ["com.hdfcbank.android.now", "com.snapwork.hdfc", "com.hdfcbank.payzapp"], "icici": ["com.csam.icici.bank.imobile"], "axisbank": ["com.axis.mobile"],
+}
+LEGAL_NAMES = {
+    "phonepe": ["phonepe private limited", "phonepe limited"], "gpay": ["google llc"], "paytm": ["one 97 communications limited", "paytm payments bank limited", "paytm money limited", "paytm payments services limited"],
+    "bhim": ["national payments corporation of india"], "sbi": ["state bank of india"], "hdfc": ["hdfc bank limited"], "icici": ["icici bank limited"], "axisbank": ["axis bank limited"],
+}
+# Permissions of apps with their signal and hundredths; of two that give one signal the first counts.
+RISKY_PERMISSIONS = [
+    ("android.permission.RECEIVE_SMS", "sms_interception", 30), ("android.permission.READ_SMS", "sms_interception", 30), ("android.permission.SEND_SMS", "sms_sending", 15),
+    ("android.permission.BIND_ACCESSIBILITY_SERVICE", "accessibility_abuse", 25), ("android.permission.SYSTEM_ALERT_WINDOW", "overlay_capability", 10),
+    ("android.permission.BIND_NOTIFICATION_LISTENER_SERVICE", "notification_access", 15), ("android.permission.REQUEST_INSTALL_PACKAGES", "package_installation", 10),
+    ("android.permission.CALL_PHONE", "call_control", 5), ("android.permission.CALL_FORWARDING", "call_control", 15), ("android.permission.READ_CALL_LOG", "call_log_access", 5),
+    ("android.permission.READ_CONTACTS", "contacts_access", 5), ("android.permission.QUERY_ALL_PACKAGES", "app_inventory", 5),
+]
+# Patterns of indicators in the strings of apps, and wording beside which a number is a phone.
+BOT_TOKEN = r"\b(\d{8,11}):AA[A-Za-z0-9_-]{30,40}\b"
+APP_TELEGRAM = r"(?i)(?:t\.me|telegram\.me)/([A-Za-z0-9_]{5,32})"
+APP_URL = r"(?i)https?://[A-Za-z0-9.-]+(?::\d+)?(?:/[^\s\"'<>]*)?"
+PHONE_STRING = r"(?i)^\s*(?:tel:|https?://wa\.me/)?(?:\+?91[\s-]?)?[6-9]\d{9}\s*$"
+PHONE_CONTEXT = r"(?i)\b(call|whatsapp|contact|helpline|customer care|sms to|number)\b"
+# Endings of file names that look like domains.
+FILE_ENDINGS = "apk pdf jpg jpeg png gif txt doc docx xls xlsx zip exe html htm php js json xml csv mp4 mp3".split()
+# First lines of reports by recipient, heading of what matters to it, and types of entities that do.
+INTROS = {
+    "registrar": "Please suspend the domains listed below, which impersonate a payment brand to defraud users.",
+    "hosting": "Please disable hosting for the sites listed below, which are phishing pages for UPI/payment fraud.",
+    "bank": "The sites below impersonate your brand. Please initiate takedown and block the linked payment handles.",
+    "npci": "Please review and block the UPI handles listed below, which collect payments through fraudulent pages.",
+    "cert_in": "Reporting a coordinated phishing campaign impersonating Indian payment brands.",
+    "safe_browsing": "Please add the URLs below to the phishing blocklist.",
+    "app_store": "Please remove the Android applications below and flag them in Google Play Protect. They impersonate payment brands to steal UPI credentials and OTPs.",
+    "cybercrime_portal": "Complaint regarding an organised online financial fraud campaign that impersonates Indian payment brands through the websites, apps and payment handles listed below.",
+    "telecom": "The phone numbers below are advertised on fraudulent payment pages as contact numbers. Please investigate and disconnect them.",
+}
+CONTEXTS = {
+    "registrar": ("Registrar / domain context", ["registrar"]), "hosting": ("Hosting / network context", ["ip", "asn", "cert_fingerprint"]), "bank": ("Payment handle context", ["upi_id", "phone"]),
+    "npci": ("UPI handle context", ["upi_id", "phone"]), "cert_in": ("Infrastructure context", ["ip", "asn", "registrar", "upi_id", "phone"]), "safe_browsing": ("URLs to blocklist", []),
+    "app_store": ("Application context", ["signing_cert", "package_name", "domain"]), "cybercrime_portal": ("Payment and contact identifiers", ["upi_id", "phone", "telegram", "ip"]), "telecom": ("Fraud phone numbers", ["phone"]),
+}
+WANTS_DOMAINS = ["registrar", "cert_in", "cybercrime_portal"]
 
 KEYWORDS = [(k, key) for key, _, keywords, _, _ in BRANDS for k in keywords]
 OFFICIAL = [(d, key) for key, _, _, domains, _ in BRANDS for d in domains]

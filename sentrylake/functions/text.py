@@ -16,6 +16,33 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.transform(cut, lambda u: F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("http://"), u))))
 
 
+#: A host without a scheme, and what follows it, that isn't part of an address, a name or another host.
+BARE = r"(?i)(?<![@\w.:/-])((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24})(/[^\s<>\"']*)?(?![\w@-])"
+
+
+def bare_domains(text: Column, known: Column) -> Column:
+    """URLs of hosts that stand in the text without a scheme, in order, the first of each host; not file names, nor hosts of the
+    known URLs. text has its URLs blanked out."""
+    found = F.arrays_zip(F.transform(_all(text, BARE, 1), lambda h: F.lower(h)).alias("host"), _all(text, BARE, 2).alias("path"))
+    seen = F.transform(known, lambda u: F.lower(F.regexp_extract(u, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+    fresh = F.filter(found, lambda x: ~F.substring_index(x["host"], ".", -1).isin(C.FILE_ENDINGS) & ~F.array_contains(seen, x["host"]))
+    hosts = F.transform(fresh, lambda x: x["host"])
+    first = F.filter(fresh, lambda x, i: F.array_position(hosts, x["host"]) == i + 1)
+    return F.transform(first, lambda x: F.concat(F.lit("http://"), x["host"], F.regexp_replace(F.coalesce(x["path"], F.lit("")), r"[.,);]+$", "")))
+
+
+def all_urls(text: Column) -> Column:
+    """URLs with a scheme or www, then bare ones."""
+    own = urls(text)
+    return F.array_distinct(F.concat(own, bare_domains(F.regexp_replace(text, C.URL, " "), own)))
+
+
+def message_entities(text: Column) -> Column:
+    """array<struct<type, value>> of the handles, numbers and accounts of a message, in this order."""
+    of = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+    return F.concat(of("upi_id", upi_ids(text)), of("phone", phones(text)), of("telegram", telegram(text)))
+
+
 def upi_ids(text: Column) -> Column:
     return F.array_distinct(_all(text, C.UPI))
 

@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.functions import catalogue as C
+from sentrylake.functions import markup as H
 from sentrylake.functions.text import jaccard, visible_tokens
-from sentrylake.functions.urls import host_of, registered_domain
+from sentrylake.functions.urls import _signal, any_of, host_of, registered_domain
 
 HEAD = 20_000
 
@@ -15,6 +16,8 @@ def title(html: Column) -> Column:
 
 
 def _marked(html: Column, markers: list[str]) -> Column:
+    """The first marker that stands in the title or in the head of the page, both in lower case; a page's head is what these
+    notices fill, so no more is read."""
     low = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, HEAD))
     return F.get(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m) | F.contains(F.lower(title(html)), m)), F.lit(0))
 
@@ -36,21 +39,64 @@ def overlaps(pairs: DataFrame, key: str, victim: str, crawler: str) -> DataFrame
     return out.select(key, F.round(jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-# Names of fields that ask for credentials, patterns of hidden scripts, words of harvest pages.
-SENSITIVE = "(?i)password|otp|upi|pin|cvv|card|account|aadhaar|pan|mpin"
-HIDDEN = [r"eval\s*\(", r"unescape\s*\(", r"String\.fromCharCode", r"atob\s*\(", r"document\.write\s*\(", r"[A-Za-z0-9+/=]{120,}"]
-HARVEST = "(?i)enter your (?:otp|upi pin|card|password)|verify your (?:account|kyc)|update (?:your )?kyc"
+def cloaking(victim: Column, crawler: Column) -> Column:
+    """Signal of two captures (struct<ok, status, url, html>) of a page, as its victims and as crawlers see it: null where they
+    agree or one is missing."""
+    a, b = visible_tokens(victim["html"]), visible_tokens(crawler["html"])
+    site = lambda view: registered_domain(host_of(view["url"]))
+    other = (site(crawler) != "") & (site(victim) != "") & (site(victim) != site(crawler))
+    refused = victim["status"].between(200, 399) & (crawler["status"] >= 400)
+    found = other | refused | ((F.size(a) >= 20) & (jaccard(a, b) < 0.2))
+    readable = F.coalesce(victim["ok"], F.lit(False)) & (F.coalesce(victim["html"], F.lit("")) != "")
+    return F.when(readable & crawler.isNotNull(), F.coalesce(_signal("cloaking_suspected", 15, ~F.coalesce(crawler["ok"], F.lit(False))), _signal("cloaking_detected", 30, found)))
+
+
+def _any(words: Column, texts: Column) -> Column:
+    return F.exists(texts, lambda t: F.contains(t, words))
+
+
+def sensitive_fields(html: Column) -> Column:
+    """The words of the catalogue that name or type a field of a form, or stand in a prompt within one."""
+    fields = F.transform(F.flatten(F.transform(H.forms(html), lambda f: f["inputs"])), lambda i: F.concat(F.lower(i["name"]), F.lit(" "), i["type"]))
+    prompts = F.transform(H.placeholders(html), lambda p: F.lower(p))
+    words = F.array(*map(F.lit, C.SENSITIVE_FIELDS))
+    return F.filter(words, lambda w: _any(w, fields) | _any(w, prompts) | _any(F.replace(w, F.lit("_"), F.lit(" ")), prompts))
 
 
 def behaviour(pages: DataFrame) -> DataFrame:
-    """page_id, inputs, credential_fields, foreign_form, hidden_scripts, harvest and apk_links of each page."""
-    html = F.coalesce("html", F.lit(""))
-    inputs = F.regexp_extract_all(html, F.lit(r"(?is)<input\b[^>]*>"), F.lit(0))
-    scripts = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-    own = registered_domain(host_of(F.col("url")))
-    actions = F.regexp_extract_all(html, F.lit(r"""(?is)<form\b[^>]*action=["']?(https?://[^"'\s>]+)"""), F.lit(1))
-    hidden = F.lit(0)
-    for p in HIDDEN:
-        hidden = hidden + scripts.rlike(p).cast("int")
-    links = F.regexp_extract_all(html, F.lit(r"""(?i)href=["']?([^"'\s>]+\.apk(?:[?#][^"'\s>]*)?)["'\s>]"""), F.lit(1))
-    return pages.select("page_id", F.size(inputs).alias("inputs"), F.size(F.filter(inputs, lambda i: i.rlike(SENSITIVE))).alias("credential_fields"), F.exists(actions, lambda a: registered_domain(host_of(a)) != own).alias("foreign_form"), hidden.alias("hidden_scripts"), html.rlike(HARVEST).alias("harvest"), F.size(F.slice(F.array_distinct(links), 1, 5)).alias("apk_links"))
+    """pages (with url and html) and what their markup does: fields (sensitive words), foreign_form, obfuscated (labels), blob,
+    apk_links and harvest (prompts for credentials). Null HTML has none of these."""
+    host = host_of(F.coalesce("url", F.lit("")))
+    actions = F.transform(H.forms(F.col("html")), lambda f: F.trim(f["action"]))
+    out = pages.withColumns({"_page_host": host, "_page_scripts": H.inline_scripts(F.col("html")), "_page_text": F.lower(H.visible_text(F.col("html"))), "_page_actions": actions})
+    foreign = F.exists(F.transform("_page_actions", lambda a: F.when(a != "", H.host_in(a, F.col("_page_host"))).otherwise("")), lambda h: (h != "") & (F.col("_page_host") != "") & (h != F.col("_page_host")))
+    obfuscated = F.array_compact(F.array(*(F.when(F.col("_page_scripts").rlike(p), label) for p, label in C.OBFUSCATION)))
+    harvest = F.filter(F.array(*map(F.lit, C.HARVEST_PROMPTS)), lambda w: F.contains("_page_text", w))
+    out = out.withColumns({"fields": sensitive_fields(F.col("html")), "foreign_form": foreign, "obfuscated": obfuscated, "apk_links": H.apk_links(F.col("html"), F.col("url")), "harvest": harvest})
+    return out.drop("_page_host", "_page_scripts", "_page_text", "_page_actions")
+
+
+def behaviour_signals(impersonating: Column) -> Column:
+    """Signals of behaviour()'s columns. What genuine pages do as well counts in full only where a page impersonates a brand or
+    asks for credentials."""
+    asks = F.size("fields") > 0
+    full = F.coalesce(impersonating, F.lit(False)) | asks
+    strong = F.arrays_overlap("fields", F.array(*map(F.lit, C.STRONG_FIELDS)))
+
+    def either(name: str, within: int, without: int, when: Column) -> Column:
+        return F.coalesce(_signal(name, within, when & full), _signal(name, without, when))
+
+    return F.array_compact(
+        F.array(
+            either("credential_input_fields", 40, 40, strong & asks),
+            _signal("credential_input_fields", 25, asks & ~strong),
+            _signal("cross_domain_form_action", 30, F.col("foreign_form")),
+            either("obfuscated_js", 25, 5, F.size("obfuscated") > 0),
+            either("apk_download_offered", 20, 10, F.size("apk_links") > 0),
+            either("credential_harvesting_text", 20, 10, F.size("harvest") > 0),
+        )
+    )
+
+
+def offline_pattern() -> str:
+    return any_of(C.OFFLINE_MARKERS)

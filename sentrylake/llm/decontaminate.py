@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sentrylake.llm import tokens
 from sentrylake.llm.work import ship
@@ -78,27 +79,34 @@ def _next_width(text: np.ndarray, item: np.ndarray, marked: np.ndarray, taken: n
 
 
 class _Block:
-    """Some items: their words, and the items of each seed."""
+    """Some items: their words, and the places of each seed, counted over the words of all items."""
 
-    def __init__(self, rows: list[tuple[int, str]], match: int):
-        self.ids = [r[0] for r in rows]
+    def __init__(self, rows: list[tuple], match: int):
+        self.ids, self.match = [r[0] for r in rows], match
         data, offsets = tokens.raw(pa.array([r[1] for r in rows], pa.string()))
         doc, word = tokens.words(data, offsets)
         cut = np.searchsorted(doc, np.arange(len(rows) + 1))
+        self.start, self.size = cut[:-1], np.diff(cut)
         self.words = [word[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        seeds = [(_windows(w, match), np.full(max(len(w) - match + 1, 0), i)) for i, w in enumerate(self.words)]
-        seed, of = np.concatenate([s for s, _ in seeds] or [np.zeros(0, np.uint64)]), np.concatenate([o for _, o in seeds] or [np.zeros(0, np.int64)])
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.of = seed[order], of[order]
+        seed = _windows(word, match)
+        place = np.flatnonzero(doc[: len(seed)] == doc[match - 1 :]) if len(seed) else np.zeros(0, np.int64)
+        place = place[np.argsort(seed[place], kind="stable")]
+        self.seed, self.place = seed[place], place
 
-    def hits(self, seed: np.ndarray) -> np.ndarray:
-        """Items that have one of the seeds."""
+    def hits(self, seed: np.ndarray, coverage: float) -> np.ndarray:
+        """Items that a text with these seeds may cover: tiles lie within the places of shared seeds, so no more than the words
+        of those can be under tiles. A phrase that very many texts share thus calls for no tiling."""
         low, high = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
         n = high - low
-        return np.unique(self.of[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        place = np.sort(self.place[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        item = np.searchsorted(self.start, place, "right") - 1
+        step = np.full(len(place), self.match)
+        step[:-1] = np.where(item[1:] == item[:-1], np.minimum(place[1:] - place[:-1], self.match), self.match)
+        within = np.bincount(item, step, len(self.size))
+        return np.flatnonzero((within > 0) & (within >= coverage * self.size))
 
 
-def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple]]:
     """The items, in blocks of bounded size."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -120,7 +128,7 @@ def _found(block: _Block, texts: pa.Array, match: int, coverage: float) -> Itera
         for row in np.unique(doc[shared]).tolist():
             a, b = cut[row], cut[row + 1]
             own = word[a:b]
-            for item in block.hits(np.unique(seed[shared[(shared >= a) & (shared < b)]])).tolist():
+            for item in block.hits(np.unique(seed[shared[(shared >= a) & (shared < b)]]), coverage).tolist():
                 laid = tiles(own, block.words[item], match)
                 share = sum(w for _, _, w in laid) / len(block.words[item])
                 if share >= coverage:
@@ -132,12 +140,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
     and item with at least that coverage.
 
     Words are lower-cased for A-Z. Null or empty texts match nothing; an item of fewer words than a tile can't be found, and
-    one without an id isn't looked for. Rows that repeat are found as often as they occur; null ids are carried. Other
+    one without an id isn't looked for. Ids may be of any type. Rows that repeat are found as often as they occur; null ids are carried. Other
     columns aren't read. Empty tables give no rows. The items, in blocks of bounded size, go to every task, so each block
     takes one pass over the texts and nothing is shuffled, however many documents an item is in.
     """
     ship(docs.sparkSession)
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, coverage double, n_tiles int, longest int, tiles array<struct<doc_at:int,item_at:int,words:int>>"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, coverage double, n_tiles int, longest int, tiles array<struct<doc_at:int,item_at:int,words:int>>"
     out = None
     for rows in _blocks(benchmark, PASS_WORDS):
 
@@ -147,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
                 found = list(_found(block, batch.column(1), match, coverage))
                 laid = pa.array([[{"doc_at": a, "item_at": b, "words": w} for a, b, w in x[3]] for x in found], pa.list_(pa.struct([("doc_at", pa.int32()), ("item_at", pa.int32()), ("words", pa.int32())])))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([block.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64()), pa.array([len(x[3]) for x in found], pa.int32()), pa.array([max(w for *_, w in x[3]) for x in found], pa.int32()), laid],
+                    [batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([block.ids[x[1]] for x in found], item_type), pa.array([x[2] for x in found], pa.float64()), pa.array([len(x[3]) for x in found], pa.int32()), pa.array([max(w for *_, w in x[3]) for x in found], pa.int32()), laid],
                     ["doc_id", "item_id", "coverage", "n_tiles", "longest", "tiles"],
                 )
 

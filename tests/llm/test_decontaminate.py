@@ -63,3 +63,23 @@ def test_hard_rows(spark, monkeypatch):
     assert decontaminate.contaminated(docs, items).count() == 6
     assert decontaminate.contaminated(docs.limit(0), items).collect() == [] and decontaminate.contaminated(docs, items.limit(0)).collect() == []
     assert decontaminate.clean(docs, items.limit(0)).count() == 6
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("d1", "a b c d e f"), (None, "a b c d e f")], "doc_id string, text string")
+    items = spark.createDataFrame([("x", "a b c d e f"), (None, "a b c d e f")], "item_id string, text string")
+    assert sorted(((r["doc_id"] or ""), r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()) == [("", "x"), ("d1", "x")]
+
+
+def test_bound_of_coverage():
+    """Only items that shared seeds could cover are tiled; nothing that the tiling would find is passed over."""
+    rng = random.Random(5)
+    items = [(k, " ".join(str(rng.randrange(12)) for _ in range(rng.choice([0, 3, 8, 30])))) for k in range(60)]
+    block = decontaminate._Block(items, 3)
+    for _ in range(80):
+        text = [str(rng.randrange(12)) for _ in range(60)]
+        word = decontaminate.tokens.words(*decontaminate.tokens.raw(decontaminate.pa.array([" ".join(text)])))[1]
+        kept = set(block.hits(np.unique(decontaminate._windows(word, 3)), 0.5).tolist())
+        covered = {k for k, t in items if t and sum(x[2] for x in tiles(text, t.split(), 3)) >= 0.5 * len(t.split())}
+        assert covered <= kept
+    assert len(kept) < 60

@@ -9,11 +9,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
-from pyspark.sql.window import Window
 
 from sentrylake.llm import tokens
 from sentrylake.llm.quality import fold
@@ -36,9 +36,14 @@ SCRIPTS = [
     [(0x3040, 0x30FF), (0x31F0, 0x31FF)],  # Kana
     [(0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],  # Han
 ]
-BUCKETS, PENALTY, OFF = 1 << 15, 12.0, -60.0
-#: The bound on training rows of each language.
+BUCKETS, PENALTY = 1 << 15, 12.0
+#: What a word scores for a language that isn't a candidate, below any score of a candidate that a change of language could buy.
+OFF = -1e4
+#: Documents of each language that the model is fitted on: each row takes part with the chance that gives so many, by a hash of
+#: its id.
 FIT_ROWS = 1000
+#: Languages whose counts a task holds before it sends them on.
+HELD_LANGS = 32
 UNKNOWN = "und"
 
 _made: list[np.ndarray] = []
@@ -91,6 +96,7 @@ def _word_features(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     for width in (2, 3):
         n = len(points) - width + 1
         if n < 1:
+            found.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
             continue
         inner = white[1:-1] if width == 3 else np.zeros(n, bool)
         at = np.flatnonzero(~inner & (text_of[:n] == text_of[width - 1 :]) & ~(white[:n] & white[width - 1 :]))
@@ -115,19 +121,15 @@ class Model:
 
     def predict(self, texts: pa.Array, want_spans: bool = False) -> tuple[list[str], np.ndarray, list[str] | None]:
         """Language, score and, if wanted, spans (language:start:end in code points, comma-joined) of each text."""
-        n, parts = len(texts), []
+        n, parts, sizes = len(texts), [], []
         if not self.langs:
             return [UNKNOWN] * n, np.zeros(n), [""] * n if want_spans else None
         for i, _, data, offsets in tokens.chunks(texts):
             points, at = _points(data, offsets)
             doc, start, letters, kind, found = _word_features(points, at)
-            score = np.zeros((len(start), len(self.langs)), np.float32)
-            for log, (of, bucket) in zip(self.logs, found, strict=False):
-                for k in range(len(self.langs)):
-                    score[:, k] += np.bincount(of, log[bucket, k], len(start))
-            score += np.where(self.allowed[kind], 0, OFF).astype(np.float32)
-            score[letters == 0] = 0
+            score = self.word_scores(letters, kind, found)
             parts.append((doc + i, start - at[doc] if want_spans else None, letters, score))
+            sizes.append(np.diff(at))
         doc, letters, score = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 2, 3))
         label = viterbi(doc, score.reshape(len(doc), len(self.langs)), n)
         held = np.bincount(doc * len(self.langs) + label, letters, n * len(self.langs)).reshape(n, len(self.langs))
@@ -137,12 +139,28 @@ class Model:
         spans = None
         if want_spans:
             start = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            spans = self._spans(doc, start, label, texts)
+            spans = self._spans(doc, start, label, np.concatenate(sizes) if sizes else np.zeros(0, np.int64))
         return names, np.where(total > 0, held[np.arange(n), best] / np.maximum(total, 1), 0.0), spans
 
-    def _spans(self, doc: np.ndarray, start: np.ndarray, label: np.ndarray, texts: pa.Array) -> list[str]:
-        out: list[list[str]] = [[] for _ in range(len(texts))]
-        size = [len(t or "") for t in texts.to_pylist()]
+    def word_scores(self, letters: np.ndarray, script: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log probability of each word for each language. The word's script narrows the languages first; only candidates are
+        scored, and a word without letters is the same for all."""
+        candidate = self.allowed[script]
+        score = np.where(candidate, 0, OFF).astype(np.float32)
+        score[letters == 0] = 0
+        candidate &= (letters > 0)[:, None]
+        for k in np.flatnonzero(candidate.any(0)).tolist():
+            own = candidate[:, k]
+            whole = own.all()
+            for log, (of, bucket) in zip(self.logs, found, strict=True):
+                if not whole:
+                    at = np.flatnonzero(own[of])
+                    of, bucket = of[at], bucket[at]
+                score[:, k] += np.bincount(of, log[bucket, k], len(own))
+        return score
+
+    def _spans(self, doc: np.ndarray, start: np.ndarray, label: np.ndarray, size: np.ndarray) -> list[str]:
+        out: list[list[str]] = [[] for _ in range(len(size))]
         new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])])) if len(doc) else []
         for k, a in enumerate(new):
             b = new[k + 1] if k + 1 < len(new) else len(doc)
@@ -178,36 +196,72 @@ def viterbi(doc: np.ndarray, score: np.ndarray, texts: int, penalty: float = PEN
     return label
 
 
-def train(texts: list[str], langs: list[str]) -> Model:
-    """Counts of hashed features, one added to each; a script belongs to a language that has a hundredth of its letters in it."""
-    names = sorted(set(langs))
-    number = {x: k for k, x in enumerate(names)}
-    counts, script = np.ones((3, BUCKETS, len(names))), np.zeros((2 + len(SCRIPTS), len(names)))
-    y = np.array([number[x] for x in langs], np.int64)
-    for i, _, data, offsets in tokens.chunks(pa.array(texts, pa.string())):
+CELLS = 3 * BUCKETS + 2 + len(SCRIPTS)
+
+
+def counted(texts: pa.Array, langs: list[str]) -> dict[str, np.ndarray]:
+    """For each language: how often each kind of feature falls into each bucket, then letters of each script."""
+    out = {x: np.zeros(CELLS, np.int64) for x in dict.fromkeys(langs)}
+    for i, j, data, offsets in tokens.chunks(texts):
         points, at = _points(data, offsets)
         doc, _, letters, kind, found = _word_features(points, at)
-        own = y[doc + i]
-        np.add.at(script, (kind, own), letters)
-        for count, (of, bucket) in zip(counts, found, strict=False):
-            count += np.bincount(bucket * len(names) + own[of], minlength=BUCKETS * len(names)).reshape(BUCKETS, -1)
-    logs = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        number = {x: k for k, x in enumerate(dict.fromkeys(langs[i:j]))}
+        own = np.array([number[x] for x in langs[i:j]], np.int64)[doc]
+        for nth, (of, bucket) in enumerate([*found, (np.arange(len(own)), np.int64(3 * BUCKETS) + kind)]):
+            cell = bucket + (nth * BUCKETS if nth < 3 else 0)
+            sums = np.bincount(own[of] * CELLS + cell, None if nth < 3 else letters, len(number) * CELLS).reshape(len(number), CELLS)
+            for lang, k in number.items():
+                out[lang] += sums[k].astype(np.int64)
+    return out
+
+
+def built(tables: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """The model of languages with their log probabilities and letters by script; a script belongs to a language that has a
+    hundredth of its letters in it."""
+    tables = sorted(tables, key=lambda t: t[0])
+    logs = np.stack([t[1] for t in tables], -1) if tables else np.zeros((3, BUCKETS, 0), np.float32)
+    script = np.stack([t[2] for t in tables], -1) if tables else np.zeros((2 + len(SCRIPTS), 0))
     allowed = script >= 0.01 * np.maximum(script.sum(0), 1)
     allowed[~allowed.any(1)] = True
-    return Model(names, logs, allowed)
+    return Model([t[0] for t in tables], logs, allowed)
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 4, held: int = 2) -> Model:
-    """A model from at most fit_rows documents of each language outside the held-out fold, the first by a hash of their id."""
+    """A model from about fit_rows documents of each language outside the held-out fold, all of them where there are fewer.
+
+    Tasks count hashed features of whole texts, and the counts are added up by language and bucket. The driver sees no text: a
+    language comes to it as one row of fixed size (0.4 MB), made by a task. Repeated rows count as often as they occur."""
+    ship(docs.sparkSession)
     known = docs.where("lang is not null AND doc_id is not null AND text is not null").where(fold(F.col("doc_id"), folds) != held)
-    order = F.xxhash64(F.lit(5), "doc_id"), "doc_id"
-    # first in each of 64 groups of a language, so that a language of very many rows is ranked by many tasks
-    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(64)).alias("slot"))
-    few = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "slot").orderBy(*order))).where(F.col("nth") <= fit_rows)
-    chosen = F.broadcast(few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= fit_rows).select("doc_id", "lang").distinct())
-    rows = known.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"], "left_semi").collect()  # fit_rows for each language
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    chance = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang").where(chance * F.col("n") < fit_rows).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, cells in counted(batch.column(1), batch.column(0).to_pylist()).items():
+                total[lang] = total[lang] + cells if lang in total else cells
+            if len(total) > HELD_LANGS:
+                yield from map(_sent, total.items())
+                total = {}
+        yield from map(_sent, total.items())
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = np.zeros(CELLS, np.int64)
+        cells[pdf["cell"].to_numpy()] = pdf["n"].to_numpy()
+        counts = 1.0 + cells[: 3 * BUCKETS].reshape(3, BUCKETS)
+        logs = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        return pd.DataFrame({"lang": [key[0]], "logs": [logs.tobytes()], "script": [cells[3 * BUCKETS :].tobytes()]})
+
+    cells = rows.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    made = cells.groupBy("lang").applyInPandas(finish, "lang string, logs binary, script binary").collect()  # a row for each language
+    return built([(r["lang"], np.frombuffer(bytes(r["logs"]), np.float32).reshape(3, BUCKETS), np.frombuffer(bytes(r["script"]), np.int64)) for r in made])
+
+
+def _sent(item: tuple[str, np.ndarray]) -> pa.RecordBatch:
+    at = np.flatnonzero(item[1])
+    return pa.RecordBatch.from_arrays([pa.array([item[0]] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(item[1][at])], ["lang", "cell", "n"])
 
 
 def identified(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:

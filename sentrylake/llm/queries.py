@@ -51,8 +51,8 @@ def op4_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 
 def op5_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = language.identified(docs.select("doc_id", "text"), language.fit(docs))
-    return found.select("doc_id", F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = language.identified(docs.select("doc_id", "text"), language.fit(docs), spans=True)
+    return found.select("doc_id", F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op6_min_cost_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,18 +145,21 @@ class Model:
     def word_scores(self, letters: np.ndarray, script: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Log probability of each word for each language. The word's script narrows the languages first; only candidates are
         scored, and a word without letters is the same for all."""
-        candidate = self.allowed[script]
-        score = np.where(candidate, 0, OFF).astype(np.float32)
-        score[letters == 0] = 0
-        candidate &= (letters > 0)[:, None]
-        for k in np.flatnonzero(candidate.any(0)).tolist():
-            own = candidate[:, k]
-            whole = own.all()
+        score = np.where(self.allowed[script], 0, OFF).astype(np.float32)
+        patterns, of_script = np.unique(self.allowed, axis=0, return_inverse=True)
+        pattern = of_script.reshape(-1)[script]
+        present = np.unique(pattern)
+        for x in present.tolist():
+            langs = np.flatnonzero(patterns[x])
             for log, (of, bucket) in zip(self.logs, found, strict=True):
-                if not whole:
-                    at = np.flatnonzero(own[of])
+                if len(present) > 1:
+                    at = np.flatnonzero(pattern[of] == x)
                     of, bucket = of[at], bucket[at]
-                score[:, k] += np.bincount(of, log[bucket, k], len(own))
+                if len(of):
+                    head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # features are in the order of words
+                    each = log[bucket] if len(langs) == len(self.langs) else log[bucket[:, None], langs]
+                    score[of[head][:, None], langs] += np.add.reduceat(each, head, axis=0)
+        score[letters == 0] = 0
         return score
 
     def _spans(self, doc: np.ndarray, start: np.ndarray, label: np.ndarray, size: np.ndarray) -> list[str]:

@@ -17,11 +17,13 @@ keys with, which joins up families of near copies; those in hot groups that stil
 by one, and what is left after that, documents nearly all of whose shingles are in many others, meets other components in the
 rarest of its hot keys, by the bounds of prefix filters.
 
-Every candidate is verified on the sets themselves. Shingles are 52-bit hashes there: for two documents of a thousand
+Every candidate is held against the sketches in short form first: parity sketches of SKETCH_BITS bits, whose Hamming distance can't
+exceed the sets' symmetric difference, so that pairs that differ in more bits than linked sets may differ in shingles go before
+any text is fetched. What is left is verified on the sets themselves. Shingles are 52-bit hashes there: for two documents of a thousand
 shingles the chance that any two of them collide is below one in a billion.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,16 @@ from pyspark.sql.window import Window
 from sentrylake.llm import tokens
 from sentrylake.operators.components import components
 from sentrylake.llm.work import ship
-from sentrylake.work import written
+from sentrylake.work import drop, written
 
 WIDTH = 5
 #: Documents that share one key, above which the key makes no pairs.
 HOT = 20
+#: Bits of the short sketch that candidates are compared by.
+SKETCH_BITS = 1024
+#: One in so many texts, by their hash, is looked at to find the keys that most documents have; such keys, of at least this share of
+#: the sampled rows (so 100,000 of them at most), are dealt in parts. Which way a key is dealt changes no result.
+SAMPLED, HEAVY_SHARE, HEAVY_ROWS, PARTS = 64, 1e-5, 8, 64
 #: Hot keys that a document must share with a group's first member to be compared to it straight away.
 ALIKE = 4
 
@@ -152,11 +159,27 @@ def _keys(texts: DataFrame, single: bool) -> DataFrame:
     return texts.select("text").mapInArrow(run, "seg long, set_key long")
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """seg, set_key, n (sets of the key) of all keys that two sets or more have."""
-    across = Window.partitionBy("seg")
-    held = keys.repartition("seg").withColumns({"lo": F.min("set_key").over(across), "hi": F.max("set_key").over(across)})
-    return held.where("lo <> hi").select("seg", "set_key").distinct().withColumn("n", F.count("*").over(across))
+def _heavy(texts: DataFrame, single: bool) -> DataFrame:
+    """seg, heavy: the keys that very many sets have, as a sample of the texts shows."""
+    some = _keys(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0), single).groupBy("seg").agg(F.count("*").alias("rows"))
+    some = some.where(F.col("rows") >= HEAVY_ROWS)
+    least = (some.agg(F.sum("rows")).first()[0] or 0) * HEAVY_SHARE
+    return some.where(F.col("rows") >= least).select("seg", F.lit(True).alias("heavy"))
+
+
+def _shared(texts: DataFrame, single: bool, hold: Callable) -> DataFrame:
+    """seg, set_key, n (sets of the key) of all keys that two sets or more have.
+
+    A key's rows meet in one task, but those of heavy keys are dealt by key and part of set_key; their n is added up over the
+    parts."""
+    heavy = hold(_heavy(texts, single), "heavy")
+    keys = _keys(texts, single).join(F.broadcast(heavy), "seg", "left").withColumn("part", F.when(F.col("heavy"), F.pmod("set_key", F.lit(PARTS))).otherwise(0))
+    across = Window.partitionBy("seg", "part")
+    held = keys.repartition("seg", "part").withColumns({"lo": F.min("set_key").over(across), "hi": F.max("set_key").over(across)})
+    met = hold(held.where("heavy OR lo <> hi").select("seg", "part", "set_key", "heavy").distinct().withColumn("n", F.count("*").over(across)).select("seg", "set_key", "n", "heavy"), "shared")
+    whole = met.where("heavy").groupBy("seg").agg(F.count("*").alias("n")).where("n > 1")
+    large = met.where("heavy").select("seg", "set_key").join(F.broadcast(whole), "seg").select("seg", "set_key", "n")
+    return met.where("heavy IS NULL").select("seg", "set_key", "n").unionByName(large)
 
 
 #: Bits of the filter by which a scan passes over most rows that no join needs; its size is fixed.
@@ -190,15 +213,23 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
         seen, bits = set(), shared.value
         for batch in batches:
             for i, j, data, offsets in tokens.chunks(batch.column(0)):
-                n, own = _set_keys(*_sets(data, offsets), j - i)
+                doc, shingle = _sets(data, offsets)
+                n, own = _set_keys(doc, shingle, j - i)
                 slot = own % FILTER_BITS
                 keep = (n > 0) & ((bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 > 0)
                 keep[keep] = _once(own[keep], seen)
-                rows = pa.array(np.flatnonzero(keep))
-                yield pa.RecordBatch.from_arrays([pa.array(own).take(rows), pa.array(n).take(rows), batch.column(0).slice(i, j - i).take(rows)], ["set_key", "n_shingles", "text"])
+                rows = np.flatnonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(n[rows]), _sketches(*_only(doc, shingle, keep), rows), batch.column(0).slice(i, j - i).take(pa.array(rows))], ["set_key", "n_shingles", "sketch", "text"])
+
+    rows = docs.select("text").mapInArrow(run, "set_key long, n_shingles long, sketch binary, text string")
+    return rows.join(needed, "set_key", "left_semi").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("text").alias("text"))
 
-    rows = docs.select("text").mapInArrow(run, "set_key long, n_shingles long, text string")
-    return rows.join(needed, "set_key", "left_semi").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("text").alias("text"))
+
+def _sketches(doc: np.ndarray, shingle: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """The parity sketch of each of the rows: every shingle flips one bit."""
+    bit = (tokens.mixed(shingle + np.uint64(0x3C6EF372FE94F82B)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    flips = np.bincount(np.searchsorted(rows, doc) * SKETCH_BITS + bit, minlength=len(rows) * SKETCH_BITS).reshape(len(rows), SKETCH_BITS)
+    return pa.array([x.tobytes() for x in np.packbits((flips & 1).astype(np.uint8), axis=1)], pa.binary())
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -218,23 +249,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: i
             if kept:
                 yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(kept)))
 
-    size = texts.select("set_key", "n_shingles")
-    near = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    near = near.where((F.col("na") * denominator >= F.col("nb") * numerator) & (F.col("nb") * denominator >= F.col("na") * numerator)).select("a", "b")
+    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (4, 5))
+                na, nb = (batch.column(c).to_numpy() for c in (2, 3))
+                # linked sets have numerator / (numerator + denominator) of both sizes in common at least
+                apart = (denominator - numerator) * (na + nb) // (denominator + numerator)
+                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(one ^ two).sum(1) <= apart))
+
+    own = texts.select("set_key", "n_shingles", "sketch")
+    near = pairs.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b")
+    near = near.where((F.col("na") * denominator >= F.col("nb") * numerator) & (F.col("nb") * denominator >= F.col("na") * numerator)).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(like, "a long, b long")
     rows = near.join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("right")), "b")
     return rows.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _labels(links: DataFrame) -> DataFrame:
+def _labels(links: DataFrame, hold: Callable) -> DataFrame:
     """set_key, comp: the component of each set that has a link."""
-    return written(components(links).select(F.col("node").alias("set_key"), F.col("component").alias("comp")), "labels")
+    return hold(components(links).select(F.col("node").alias("set_key"), F.col("component").alias("comp")), "labels")
 
 
 def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Those of rows whose key joins different components, with comp, the component of set_key."""
     named = rows.join(labels, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    same = Window.partitionBy("seg")
-    return named.withColumns({"lo": F.min("comp").over(same), "hi": F.max("comp").over(same)}).where("lo <> hi").drop("lo", "hi")
+    # aggregated before the exchange, so that a key of very many rows is no more to a task than another
+    spanning = named.groupBy("seg").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("seg")
+    return named.join(spanning, "seg", "left_semi")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -277,9 +318,18 @@ def near_components(docs: DataFrame, numerator: int = 75, denominator: int = 100
     if 4 * numerator < 3 * denominator:
         raise ValueError("the sketches need a threshold of 3/4 or more")
     ship(docs.sparkSession)
+    made: list[DataFrame] = []
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
     sets = written(_doc_sets(docs), "sets")
-    links = _links(docs, sets, numerator, denominator)
-    named = components(links).select(F.col("node").alias("set_key"), F.col("component").alias("comp"))
+    links = _links(docs, sets, numerator, denominator, hold)
+    found = components(links)
+    for table in made:  # components have their own
+        drop(table)
+    named = found.select(F.col("node").alias("set_key"), F.col("component").alias("comp"))
     least = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     smallest = least.join(named, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
     whole = smallest.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -287,42 +337,42 @@ def near_components(docs: DataFrame, numerator: int = 75, denominator: int = 100
     return sets.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int, hold: Callable) -> DataFrame:
     """Links (a, b) of set keys that join the same sets as all links do."""
 
     def check(pairs: DataFrame) -> DataFrame:
-        return written(_verified(pairs, texts, numerator, denominator), "links")
+        return hold(_verified(pairs, texts, numerator, denominator), "links")
 
-    shared = written(_shared(_keys(docs, False)), "shared")
+    shared = _shared(docs, False, hold)
     some = shared.select("set_key").distinct()
     n = F.col("n_shingles")
     sizes = sets.join(some, "set_key", "left_semi").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles")).withColumns({"room": _room(n), "single_room": _single_room(n)})
-    sizes = written(_crowding(shared, sizes), "sizes")
-    pairs = written(_enough(_met(shared.where(F.col("n") <= HOT)), sizes), "pairs")
+    sizes = hold(_crowding(shared, sizes), "sizes")
+    pairs = hold(_enough(_met(shared.where(F.col("n") <= HOT)), sizes), "pairs")
     crowded = sizes.where("hot > room").select("set_key")
     families = _stars(shared.where(F.col("n") > HOT), sizes).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
-    families = written(families.where(F.col("met") >= ALIKE).join(crowded.toDF("b"), "b", "left_semi").select("a", "b"), "families")
+    families = hold(families.where(F.col("met") >= ALIKE).join(crowded.toDF("b"), "b", "left_semi").select("a", "b"), "families")
     firsts = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(families).distinct()
     needed = pairs.select("a").union(pairs.select("b")).union(families.select("a")).union(crowded).distinct().toDF("set_key")
-    texts = written(_texts(docs, needed), "texts")
+    texts = hold(_texts(docs, needed), "texts")
     # one partner of each first: that joins up most
     links = check(firsts)
-    links = links.union(check(_apart(pairs, _labels(links))))
+    links = links.union(check(_apart(pairs, _labels(links, hold))))
     # crowded sets in hot groups that still span components
-    labels = _labels(links)
+    labels = _labels(links, hold)
     rest = _across(shared.where(F.col("n") > HOT).join(crowded, "set_key", "left_semi"), labels)
-    crowded = written(rest.select("set_key").distinct(), "crowded")
+    crowded = hold(rest.select("set_key").distinct(), "crowded")
     if crowded.isEmpty():
         return links
-    single = written(_shared(_keys(texts.join(crowded, "set_key", "left_semi"), True)), "single")
-    sizes = written(_crowding(single, sizes.join(crowded, "set_key", "left_semi").drop("hot", "room").withColumnRenamed("single_room", "room")), "sizes")
+    single = _shared(texts.join(crowded, "set_key", "left_semi"), True, hold)
+    sizes = hold(_crowding(single, sizes.join(crowded, "set_key", "left_semi").drop("hot", "room").withColumnRenamed("single_room", "room")), "sizes")
     links = links.union(check(_apart(_enough(_met(single.where(F.col("n") <= HOT)), sizes), labels)))
     left = sizes.where("hot > room").select("set_key")
     crowd = single.where(F.col("n") > HOT).join(left, "set_key", "left_semi")
-    labels = _labels(links)
+    labels = _labels(links, hold)
     stars = _stars(_across(crowd, labels), sizes).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
     links = links.union(check(_apart(stars.where(F.col("met") >= ALIKE).select("a", "b"), labels)))
-    last = written(_across(crowd, _labels(links)), "rest")
+    last = hold(_across(crowd, _labels(links, hold)), "rest")
     if last.isEmpty():
         return links
     return links.union(check(_close(last, sizes)))

@@ -44,6 +44,8 @@ SKETCH_BITS = 1024
 #: One in so many texts, by their hash, is looked at to find the keys that most documents have; such keys, of at least this share of
 #: the sampled rows (so 100,000 of them at most), are dealt in parts. Which way a key is dealt changes no result.
 SAMPLED, HEAVY_SHARE, HEAVY_ROWS, PARTS = 64, 1e-5, 8, 64
+#: Tasks that the rows of a hot key are dealt to where each of them needs one row of the key's own.
+DEALT = 16
 #: Hot keys that a document must share with a group's first member to be compared to it straight away.
 ALIKE = 4
 
@@ -161,7 +163,7 @@ def _keys(texts: DataFrame, single: bool) -> DataFrame:
 
 def _heavy(texts: DataFrame, single: bool) -> DataFrame:
     """seg, heavy: the keys that very many sets have, as a sample of the texts shows."""
-    some = _keys(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0), single).groupBy("seg").agg(F.count("*").alias("rows"))
+    some = _keys(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0), single).distinct().groupBy("seg").agg(F.count("*").alias("rows"))
     some = some.where(F.col("rows") >= HEAVY_ROWS)
     least = (some.agg(F.sum("rows")).first()[0] or 0) * HEAVY_SHARE
     return some.where(F.col("rows") >= least).select("seg", F.lit(True).alias("heavy"))
@@ -170,16 +172,20 @@ def _heavy(texts: DataFrame, single: bool) -> DataFrame:
 def _shared(texts: DataFrame, single: bool, hold: Callable) -> DataFrame:
     """seg, set_key, n (sets of the key) of all keys that two sets or more have.
 
-    A key's rows meet in one task, but those of heavy keys are dealt by key and part of set_key; their n is added up over the
-    parts."""
-    heavy = hold(_heavy(texts, single), "heavy")
-    keys = _keys(texts, single).join(F.broadcast(heavy), "seg", "left").withColumn("part", F.when(F.col("heavy"), F.pmod("set_key", F.lit(PARTS))).otherwise(0))
+    A key's rows meet in one task, but those of heavy keys are dealt by key and part of set_key. Heavy keys are hot whatever n is
+    in a part, so theirs is given as above HOT: which keys are hot is free, as long as all sets agree on it."""
+    heavy = F.broadcast(hold(_heavy(texts, single), "heavy"))
+    keys = _keys(texts, single).join(heavy, "seg", "left").select("seg", "set_key", F.when(F.col("heavy"), 1 + F.pmod("set_key", F.lit(PARTS))).otherwise(0).cast("byte").alias("part"))
     across = Window.partitionBy("seg", "part")
     held = keys.repartition("seg", "part").withColumns({"lo": F.min("set_key").over(across), "hi": F.max("set_key").over(across)})
-    met = hold(held.where("heavy OR lo <> hi").select("seg", "part", "set_key", "heavy").distinct().withColumn("n", F.count("*").over(across)).select("seg", "set_key", "n", "heavy"), "shared")
-    whole = met.where("heavy").groupBy("seg").agg(F.count("*").alias("n")).where("n > 1")
-    large = met.where("heavy").select("seg", "set_key").join(F.broadcast(whole), "seg").select("seg", "set_key", "n")
-    return met.where("heavy IS NULL").select("seg", "set_key", "n").unionByName(large)
+    met = held.where("part > 0 OR lo <> hi").select("seg", "part", "set_key").distinct().withColumn("n", F.count("*").over(across))
+    return hold(met.select("seg", "set_key", F.when(F.col("part") > 0, F.col("n") + HOT).otherwise(F.col("n")).alias("n")), "shared")
+
+
+def _with_key(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row for each seg, the rows of a key dealt to several tasks."""
+    dealt = rows.withColumn("deal", F.pmod("set_key", F.lit(DEALT)).cast("int"))
+    return dealt.join(table.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))), ["seg", "deal"], how).drop("deal")
 
 
 #: Bits of the filter by which a scan passes over most rows that no join needs; its size is fixed.
@@ -275,7 +281,7 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
     named = rows.join(labels, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
     # aggregated before the exchange, so that a key of very many rows is no more to a task than another
     spanning = named.groupBy("seg").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("seg")
-    return named.join(spanning, "seg", "left_semi")
+    return _with_key(named, spanning, "left_semi")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -383,7 +389,7 @@ def _stars(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     set of the key."""
     share = F.struct((F.col("hot") / F.col("n_shingles")).alias("share"), "set_key")
     first = rows.select("seg", "set_key").join(sizes.select("set_key", "hot", "n_shingles"), "set_key").groupBy("seg").agg(F.max(share).alias("x")).select("seg", F.col("x.set_key").alias("a"))
-    return rows.select("seg", F.col("set_key").alias("b")).join(first, "seg").select("a", "b")
+    return _with_key(rows.select("seg", "set_key"), first).select("a", F.col("set_key").alias("b"))
 
 
 def _close(rows: DataFrame, sizes: DataFrame) -> DataFrame:

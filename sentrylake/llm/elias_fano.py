@@ -80,8 +80,8 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, self.ones, 0) - i).astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each value, or -1."""
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value, or -1; where given, among the indices from first up to last only."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         high = (x >> np.uint64(self.width)).astype(np.int64)
@@ -89,6 +89,8 @@ class EliasFano:
         high = np.minimum(high, self.highest)
         end = self._select(high, self.zeros, 255) - high
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, 255) - high + 1, 0)
+        if first is not None:
+            start, end = np.maximum(start, first), np.maximum(np.minimum(end, last), np.maximum(start, first))
         want = x & np.uint64((1 << self.width) - 1)
         low, size = start.copy(), end.copy()
         for _ in range(int((end - start).max(initial=0)).bit_length()):
@@ -134,10 +136,17 @@ def load(path: str) -> dict[str, np.ndarray]:
         from pyarrow import fs
 
         system, there = fs.FileSystem.from_uri(path)
-        own = os.path.join(tempfile.mkdtemp(prefix="trie-"), "part")
-        with system.open_input_file(there) as f, open(own, "wb") as g:
-            g.write(f.read())
-    data = np.memmap(own, np.uint8, "r")
+        # a copy that goes with the last array that is mapped from it
+        with system.open_input_file(there) as f, tempfile.TemporaryFile() as g:
+            while block := f.read(1 << 22):
+                g.write(block)
+            g.flush()
+            data = np.memmap(g, np.uint8, "r")
+        return _arrays_of(data)
+    return _arrays_of(np.memmap(own, np.uint8, "r"))
+
+
+def _arrays_of(data: np.ndarray) -> dict[str, np.ndarray]:
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
     return {name: np.frombuffer(data, np.dtype(kind), n, 8 + size + at) for name, (kind, n, at) in head.items()}

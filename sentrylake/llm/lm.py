@@ -2,7 +2,8 @@
 
 Level 1 holds the words, sorted by hash (their place is their id), with counts and pointers to their successors. Level 2 holds
 the successors: for each word, in the order of ids, the ids of the words that follow it, each relative to its context's base,
-with probabilities quantised to 256 values, and the pairs' counts. Level 3 holds the same for pairs: for each pair, in the order
+with probabilities quantised to 256 values, and the pairs' counts. A word is looked for within the range that its context's
+pointers give. Level 3 holds the same for pairs: for each pair, in the order
 of their places in level 2 (a pair's place is its id), the ids of the words that follow it, with quantised shares. All are monotone
 sequences, cut into parts by ranges of the contexts' hashes, level 3 by ranges of pair ids; each part is a file of the shared
 folder that tasks map into memory, so no task holds the model and no one gathers it.
@@ -34,7 +35,7 @@ from sentrylake.work import new_path
 END = np.uint64(0xA0761D6478BD642F)
 MASS, ADDED = 30.0, 0.1
 #: Tokens that a task adds up before it sends them on, and bytes of text for which the model gets another part.
-FLUSH, PART_BYTES, MOST_PARTS = 1_500_000, 16 << 20, 1 << 14
+FLUSH, PART_BYTES, MOST_PARTS = 1_500_000, 16 << 20, 1 << 16
 
 
 def _stream(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -112,7 +113,7 @@ class Reader:
         ids, value, counts = np.full(len(context), -1, np.int64), np.full(len(context), np.nan), np.zeros(len(context), np.int64)
         for k, a, b in _slices(np.searchsorted(self.trie.offsets, context, "right") - 1):
             own = self.part(k, 2)
-            at = own["ef"].find(_values(context[a:b] - self.trie.offsets[k], word[a:b], self.trie))
+            at = self._within(own, context[a:b] - self.trie.offsets[k], word[a:b])
             hit = np.flatnonzero(at >= 0)
             at = at[hit]
             count = own["counts"][at].astype(np.int64)
@@ -121,12 +122,21 @@ class Reader:
             ids[a:b][hit], value[a:b][hit], counts[a:b][hit] = at + self.trie.pairs[k], own["book"][own["codes"][at]], count
         return ids, value, counts
 
+    def _within(self, own: dict, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each word among those that follow its context, or -1: the context's pointers give the range, and the word is
+        searched there, relative to the context's base. context is sorted, so each one's pointers are read once."""
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        n = np.diff(np.append(head, len(context)))
+        each = context[head]
+        ends = own["pointers"].access(np.concatenate([each, each + 1])).astype(np.int64)
+        return own["ef"].find(_values(context, word, self.trie), np.repeat(ends[: len(head)], n), np.repeat(ends[len(head) :], n))
+
     def third(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Share of each word after a pair, both as ids, sorted by pair; 0 where it didn't occur."""
         out = np.zeros(len(pair))
         for k, a, b in _slices(pair // self.trie.span):
             own = self.part(k, 3)
-            at = own["ef"].find(_values(pair[a:b] - k * self.trie.span, word[a:b], self.trie))
+            at = self._within(own, pair[a:b] - k * self.trie.span, word[a:b])
             hit = np.flatnonzero(at >= 0)
             out[a:b][hit] = 10.0 ** own["book"][own["codes"][at[hit]]].astype(np.float64)
         return out
@@ -291,7 +301,8 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
         count = np.bincount(at, np.concatenate([_full(b[5], b[6]) for b in blobs]), len(value))
         pair = (value // np.uint64(trie.words)).astype(np.int64)
         code, book = _quantised(np.log10(count / (np.bincount(pair, count)[pair] + MASS)))
-        save(f"{path}/level3-{key[0]}", {f"ef.{x}": y for x, y in encode(value).items()} | {"codes": code, "book": book})
+        starts = np.searchsorted(pair, np.arange(trie.span + 1)).astype(np.uint64)
+        save(f"{path}/level3-{key[0]}", {f"ef.{x}": y for x, y in encode(value).items()} | {f"pointers.{x}": y for x, y in encode(starts).items()} | {"codes": code, "book": book})
         return pd.DataFrame({"part": [key[0]], "n": [len(value)], "total": [int(count.sum())]})
 
     _shuffled(docs, gather_triples, write_triples)

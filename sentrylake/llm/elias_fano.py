@@ -44,6 +44,57 @@ for _byte in range(256):
     _SELECT[_byte, : len(_set)] = _set
 
 
+#: Bits from each one bit of a byte to the next; 0 where it's the last.
+_NEXT = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _set = [b for b in range(8) if _byte >> b & 1]
+    for _a, _b in zip(_set, _set[1:]):
+        _NEXT[_byte, _a] = _b - _a
+
+
+def _unpacked(low: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
+    if not width:
+        return np.zeros(len(i), np.uint64)
+    bit = i.astype(np.uint64) * np.uint64(width)
+    word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+    value = low[word] >> shift
+    value |= np.where(shift > 0, low[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+    return value & np.uint64((1 << width) - 1)
+
+
+def packed(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of the values in as few bits each as the largest needs."""
+    width = int(values.max()).bit_length() if len(values) else 0
+    return {"n": np.array([len(values), width], np.int64), "low": _low(values, width)}
+
+
+class Packed:
+    """Values in runs, each run sorted: access and search within runs."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.n, self.width = (int(x) for x in arrays["n"])
+        self.low = arrays["low"]
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        return _unpacked(self.low, self.width, i)
+
+    def find(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Index of each value among those from first up to last, or -1: a successor search within each run."""
+        low, high = first.copy(), last.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            a, b = low[open_], high[open_]
+            middle = (a + b) >> 1
+            less = self.access(middle) < x[open_]
+            low[open_], high[open_] = a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+            open_ = open_[a < b]
+        at = np.flatnonzero(low < last)
+        out = np.full(len(x), -1, np.int64)
+        hit = at[self.access(low[at]) == x[at]]
+        out[hit] = low[hit]
+        return out
+
+
 class EliasFano:
     """Search and access by numpy arrays of queries; the arrays may be memory-mapped."""
 
@@ -69,19 +120,25 @@ class EliasFano:
         return out
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.width:
-            return np.zeros(len(i), np.uint64)
-        bit = i.astype(np.uint64) * np.uint64(self.width)
-        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        value = self.low[word] >> shift
-        value |= np.where(shift > 0, self.low[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        return value & np.uint64((1 << self.width) - 1)
+        return _unpacked(self.low, self.width, i)
+
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values i and i + 1 of a sequence of pointers. The next one bit is mostly in the same byte as the last."""
+        at = self._select(i, self.ones, 0)
+        byte, bit = np.divmod(at, 8)
+        step = _NEXT[self.upper.reshape(-1)[byte], bit]
+        after = at + step
+        far = np.flatnonzero(step == 0)
+        if len(far):
+            after[far] = self._select(i[far] + 1, self.ones, 0)
+        value = lambda place, k: ((place - k).astype(np.uint64) << np.uint64(self.width)) | self._lows(k)
+        return value(at, i).astype(np.int64), value(after, i + 1).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, self.ones, 0) - i).astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
 
-    def find(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-        """Index of each value, or -1; where given, among the indices from first up to last only."""
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of each value, or -1."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         high = (x >> np.uint64(self.width)).astype(np.int64)
@@ -89,8 +146,6 @@ class EliasFano:
         high = np.minimum(high, self.highest)
         end = self._select(high, self.zeros, 255) - high
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, 255) - high + 1, 0)
-        if first is not None:
-            start, end = np.maximum(start, first), np.maximum(np.minimum(end, last), np.maximum(start, first))
         want = x & np.uint64((1 << self.width) - 1)
         low, size = start.copy(), end.copy()
         for _ in range(int((end - start).max(initial=0)).bit_length()):

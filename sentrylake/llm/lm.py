@@ -1,11 +1,10 @@
 """Language-model scores from a three-level n-gram trie in Elias-Fano form.
 
 Level 1 holds the words, sorted by hash (their place is their id), with counts and pointers to their successors. Level 2 holds
-the successors: for each word, in the order of ids, the ids of the words that follow it, each relative to its context's base,
-with probabilities quantised to 256 values, and the pairs' counts. A word is looked for within the range that its context's
+the successors: for each word, in the order of ids, the ids of the words that follow it, sorted and packed, with probabilities quantised to 256 values, and the pairs' counts. A word is looked for within the range that its context's
 pointers give. Level 3 holds the same for pairs: for each pair, in the order
-of their places in level 2 (a pair's place is its id), the ids of the words that follow it, with quantised shares. All are monotone
-sequences, cut into parts by ranges of the contexts' hashes, level 3 by ranges of pair ids; each part is a file of the shared
+of their places in level 2 (a pair's place is its id), the ids of the words that follow it, with quantised shares. Hashes and
+pointers are monotone sequences in Elias-Fano form. All are cut into parts by ranges of the contexts' hashes, level 3 by ranges of pair ids; each part is a file of the shared
 folder that tasks map into memory, so no task holds the model and no one gathers it.
 
 The probability of a word w after h is (c(h, w) + MASS * p(w)) / (c(h) + MASS), with p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)),
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.llm import tokens
-from sentrylake.llm.elias_fano import EliasFano, encode, load, save
+from sentrylake.llm.elias_fano import EliasFano, Packed, encode, load, packed, save
 from sentrylake.llm.quality import fold
 from sentrylake.llm.work import ship
 from sentrylake.work import new_path
@@ -89,9 +88,10 @@ class Reader:
     def part(self, k: int, level: int) -> dict:
         if (k, level) not in self.parts:
             arrays = load(f"{self.trie.path}/level{level}-{k}")
-            own = {"ef": EliasFano({x[3:]: y for x, y in arrays.items() if x.startswith("ef.")})} | {x: y for x, y in arrays.items() if "." not in x}
-            if "pointers.n" in arrays:
-                own["pointers"] = EliasFano({x[9:]: y for x, y in arrays.items() if x.startswith("pointers.")})
+            own = {x: y for x, y in arrays.items() if "." not in x}
+            for name, kind in (("ef", EliasFano), ("pointers", EliasFano), ("words", Packed)):
+                if f"{name}.n" in arrays:
+                    own[name] = kind({x[len(name) + 1 :]: y for x, y in arrays.items() if x.startswith(f"{name}.")})
             self.parts[k, level] = own
         return self.parts[k, level]
 
@@ -127,9 +127,8 @@ class Reader:
         searched there, relative to the context's base. context is sorted, so each one's pointers are read once."""
         head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         n = np.diff(np.append(head, len(context)))
-        each = context[head]
-        ends = own["pointers"].access(np.concatenate([each, each + 1])).astype(np.int64)
-        return own["ef"].find(_values(context, word, self.trie), np.repeat(ends[: len(head)], n), np.repeat(ends[len(head) :], n))
+        first, last = own["pointers"].ranges(context[head])
+        return own["words"].find(word.astype(np.uint64), np.repeat(first, n), np.repeat(last, n))
 
     def third(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Share of each word after a pair, both as ids, sorted by pair; 0 where it didn't occur."""
@@ -147,7 +146,7 @@ class Reader:
         own, local = self.part(k, 2), word - int(self.trie.offsets[k])
         a, b = own["pointers"].access(np.array([local, local + 1])).astype(np.int64)
         at = np.arange(a, b)
-        return (own["ef"].access(at) - np.uint64(local * self.trie.words)).astype(np.int64), own["book"][own["codes"][at]]
+        return own["words"].access(at).astype(np.int64), own["book"][own["codes"][at]]
 
 
 def _values(context: np.ndarray, word: np.ndarray, trie: Trie) -> np.ndarray:
@@ -265,7 +264,7 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
         code, book = _quantised(np.log10((count + MASS * _unigram(of_word, trie)[back]) / (of_context + MASS)))
         small, large = _small(count)
         starts = np.searchsorted(context, np.arange(int(sizes[k]) + 1)).astype(np.uint64)
-        save(f"{path}/level2-{k}", {f"ef.{x}": y for x, y in encode(value).items()} | {f"pointers.{x}": y for x, y in encode(starts).items()} | {"codes": code, "book": book, "counts": small, "large": large, "large_at": np.flatnonzero(small == 255)})
+        save(f"{path}/level2-{k}", {f"words.{x}": y for x, y in packed(word.astype(np.uint64)).items()} | {f"pointers.{x}": y for x, y in encode(starts).items()} | {"codes": code, "book": book, "counts": small, "large": large, "large_at": np.flatnonzero(small == 255)})
         return pd.DataFrame({"part": [k], "n": [len(value)], "total": [int(count.sum())]})
 
     if not trie.words:
@@ -302,7 +301,8 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
         pair = (value // np.uint64(trie.words)).astype(np.int64)
         code, book = _quantised(np.log10(count / (np.bincount(pair, count)[pair] + MASS)))
         starts = np.searchsorted(pair, np.arange(trie.span + 1)).astype(np.uint64)
-        save(f"{path}/level3-{key[0]}", {f"ef.{x}": y for x, y in encode(value).items()} | {f"pointers.{x}": y for x, y in encode(starts).items()} | {"codes": code, "book": book})
+        word = value % np.uint64(trie.words)
+        save(f"{path}/level3-{key[0]}", {f"words.{x}": y for x, y in packed(word).items()} | {f"pointers.{x}": y for x, y in encode(starts).items()} | {"codes": code, "book": book})
         return pd.DataFrame({"part": [key[0]], "n": [len(value)], "total": [int(count.sum())]})
 
     _shuffled(docs, gather_triples, write_triples)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from sentrylake.llm import lm
-from sentrylake.llm.elias_fano import EliasFano, encode, load, save
+from sentrylake.llm.elias_fano import EliasFano, Packed, encode, load, packed, save
 from sentrylake.llm.queries import op2_elias_fano_lm
 from tests.llm.brute import SF, words
 
@@ -110,3 +110,19 @@ def test_parts_do_not_matter(spark):
     a = {r["doc_id"]: r["base_score"] for r in lm.scored(df, lm.fit(df)).collect()}
     b = {r["doc_id"]: r["base_score"] for r in lm.scored(df, lm.fit(df, part_bytes=1 << 14)).collect()}
     assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_packed_runs_and_ranges(tmp_path):
+    rng = np.random.default_rng(4)
+    cuts = np.sort(rng.integers(0, 4000, 300)).astype(np.uint64)
+    cuts[0], cuts[-1] = 0, 4000
+    values = np.concatenate([np.sort(rng.choice(90_000, int(b - a), replace=False)) for a, b in zip(cuts[:-1], cuts[1:])]).astype(np.uint64)
+    save(f"file://{tmp_path}/p", packed(values))
+    own, pointers = Packed(load(f"file://{tmp_path}/p")), EliasFano(encode(cuts))
+    assert (own.access(np.arange(4000)) == values).all()
+    first, last = pointers.ranges(np.arange(299))
+    assert (first == cuts[:-1]).all() and (last == cuts[1:]).all()
+    run = np.searchsorted(cuts, np.arange(4000), "right") - 1
+    assert (own.find(values, first[run], last[run]) == np.arange(4000)).all()
+    want = [-1 if x not in values[first[r] : last[r]] else 0 for x, r in zip(range(500), run)]
+    assert (np.minimum(own.find(np.arange(500).astype(np.uint64), first[run[:500]], last[run[:500]]), 0) == want).all()

@@ -95,12 +95,21 @@ class Packed:
         return out
 
 
+def _step(row: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of words or bytes: which holds the one bit after so many, how many it holds before that, and the word itself."""
+    upto = np.cumsum(np.bitwise_count(row), axis=1, dtype=np.int16)
+    k = (upto <= left[:, None]).sum(1)
+    at = np.arange(len(row))
+    return k, left - np.where(k > 0, upto[at, k - 1], 0), row[at, k]
+
+
 class EliasFano:
     """Search and access by numpy arrays of queries; the arrays may be memory-mapped."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.width = (int(x) for x in arrays["n"])
         self.low, self.upper, self.ones = arrays["low"], arrays["upper"].reshape(-1, BLOCK // 8), arrays["ones"]
+        self.words = self.upper.view(np.uint64)
         self.zeros = np.arange(len(self.ones)) * BLOCK - self.ones
         self.highest = len(self.upper) * BLOCK - self.n - 1
 
@@ -111,12 +120,10 @@ class EliasFano:
             part = k[i : i + (1 << 15)]
             block = np.searchsorted(before, part, "right") - 1
             left = part - before[block]
-            row = self.upper[block] ^ np.uint8(flip)
-            upto = np.cumsum(np.bitwise_count(row), axis=1, dtype=np.int16)
-            byte = (upto <= left[:, None]).sum(1)
-            at = np.arange(len(part))
-            left -= np.where(byte > 0, upto[at, byte - 1], 0)
-            out[i : i + len(part)] = block * BLOCK + byte * 8 + _SELECT[row[at, byte], left]
+            row = self.words[block] if flip == 0 else ~self.words[block]
+            word, left, at = _step(row, left)
+            byte, left, bits = _step(at[:, None].view(np.uint8), left)
+            out[i : i + len(part)] = block * BLOCK + word * 64 + byte * 8 + _SELECT[bits, left]
         return out
 
     def _lows(self, i: np.ndarray) -> np.ndarray:

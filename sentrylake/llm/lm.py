@@ -364,7 +364,9 @@ def _scores(reader: Reader, trie: Trie, doc: np.ndarray, h: np.ndarray, rows: in
     own, n_own = np.full(len(pair), -1, np.int64), np.zeros(len(pair), np.int64)
     own[both], found, n_own[both] = reader.follow(ids[first[both]], ids[second[both]])
     value[both] = np.where(np.isnan(found), value[both], found)
-    triple, some, again = np.unique((_contexts(doc, back, -1) + 1) * len(known) + word, return_index=True, return_inverse=True)
+    triple, again = np.unique((_contexts(doc, back, -1) + 1) * len(known) + word, return_inverse=True)
+    some = np.empty(len(triple), np.int64)
+    some[again] = np.arange(len(again))  # any token of each
     before, last, longer = triple // len(known) - 1, triple % len(known), value[back[some]]
     after = np.flatnonzero((before >= 0) & (own[before] >= 0))
     share = np.zeros(len(after))

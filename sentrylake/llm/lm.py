@@ -53,6 +53,15 @@ def _contexts(doc: np.ndarray, value: np.ndarray, first: np.generic) -> np.ndarr
     return before
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each value's place among them; by hashing, as tokens are few words many times."""
+    code, value = pd.factorize(h.ravel())
+    order = np.argsort(value)
+    place = np.empty(len(value), np.int64)
+    place[order] = np.arange(len(value))
+    return value[order], place[code].reshape(h.shape)
+
+
 def _part(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -211,7 +220,8 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
 
     def gather_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _flushes(batches, lambda doc, h: h):
-            word, count = np.unique(held, return_counts=True)
+            word, at = _distinct(held)
+            count = np.bincount(at)
             yield _sent([(k, _blob(word[a:b], *_small(count[a:b]))) for k, a, b in _slices(_part(word, bits))])
 
     def write_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -232,7 +242,7 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
         reader = trie.open()
         shift = np.uint64(max(trie.words, 1))
         for held in _flushes(batches, lambda doc, h: np.stack([_contexts(doc, h, END), h])):
-            known, at = np.unique(held, return_inverse=True)
+            known, at = _distinct(held)
             own = reader.look_up(known)[0].astype(np.uint64)
             before, word = own[at.reshape(held.shape)]
             if trie.words < 1 << 32:
@@ -279,7 +289,7 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
         reader = trie.open()
         for held in _flushes(batches, lambda doc, h: h):
             doc = np.cumsum(held == END) - (held == END)
-            known, at = np.unique(held, return_inverse=True)
+            known, at = _distinct(held)
             own, n = reader.look_up(known)[0], len(known)
             pair, back = np.unique(_contexts(doc, at, np.searchsorted(known, END)) * n + at, return_inverse=True)
             pair = reader.follow(own[pair // n], own[pair % n])[0]
@@ -353,7 +363,7 @@ def scored(docs: DataFrame, trie: Trie) -> DataFrame:
 
 
 def _scores(reader: Reader, trie: Trie, doc: np.ndarray, h: np.ndarray, rows: int) -> list[np.ndarray]:
-    known, at = np.unique(h, return_inverse=True)
+    known, at = _distinct(h)
     ids, counts = reader.look_up(known)
     word, before = at, _contexts(doc, at, np.searchsorted(known, END))
     base = np.log10(_unigram(counts, trie))

@@ -8,13 +8,22 @@ import uuid
 import numpy as np
 
 BLOCK = 512
+#: Queries that are worked on at a time, so that they stay in the cache.
+PIECE = 1 << 14
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
-    """The low width bits of each value, one after the other, as 64-bit words."""
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
-    bits = np.packbits(bits, bitorder="little")
-    return np.concatenate([bits, np.zeros(16 - len(bits) % 8, np.uint8)])[: (len(bits) // 8 + 2) * 8].view(np.uint64)
+    """The low width bits of each value, one after the other, as 64-bit words: 64 values fill width words, place by place."""
+    n, mask = len(values), np.uint64((1 << width) - 1)
+    rows = np.zeros((-(-n // 64), 64), np.uint64)
+    rows.reshape(-1)[:n] = values & mask
+    out = np.zeros((len(rows), width), np.uint64)
+    for k in range(64 if width else 0):
+        word, bit = divmod(k * width, 64)
+        out[:, word] |= rows[:, k] << np.uint64(bit)
+        if bit + width > 64:
+            out[:, word + 1] |= rows[:, k] >> np.uint64(64 - bit)
+    return np.concatenate([out.reshape(-1)[: -(-n * width // 64)], np.zeros(2, np.uint64)])
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -80,27 +89,41 @@ class Packed:
 
     def find(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Index of each value among those from first up to last, or -1: a successor search within each run."""
-        low, high = first.copy(), last.copy()
-        open_ = np.flatnonzero(low < high)
-        while len(open_):
-            a, b = low[open_], high[open_]
-            middle = (a + b) >> 1
-            less = self.access(middle) < x[open_]
-            low[open_], high[open_] = a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
-            open_ = open_[a < b]
-        at = np.flatnonzero(low < last)
         out = np.full(len(x), -1, np.int64)
-        hit = at[self.access(low[at]) == x[at]]
-        out[hit] = low[hit]
+        for i in range(0, len(x), PIECE):
+            self._find(x[i : i + PIECE], first[i : i + PIECE], last[i : i + PIECE], out[i : i + PIECE])
         return out
 
-
-def _step(row: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of words or bytes: which holds the one bit after so many, how many it holds before that, and the word itself."""
-    upto = np.cumsum(np.bitwise_count(row), axis=1, dtype=np.int16)
-    k = (upto <= left[:, None]).sum(1)
-    at = np.arange(len(row))
-    return k, left - np.where(k > 0, upto[at, k - 1], 0), row[at, k]
+    def _find(self, x: np.ndarray, low: np.ndarray, last: np.ndarray, out: np.ndarray) -> None:
+        at = np.flatnonzero(low < last)
+        x, low, last = x[at], low[at], last[at]
+        high = last
+        while len(at):
+            middle = (low + high) >> 1
+            less = (self.access(middle) < x) & (low < high)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+            done = low >= high
+            if 4 * np.count_nonzero(done) >= len(at):
+                place, want = low[done], x[done]
+                hit = np.flatnonzero((place < last[done]) & (self.access(place) == want))
+                out[at[done][hit]] = place[hit]
+                more = ~done
+                at, x, low, high, last = at[more], x[more], low[more], high[more], last[more]
+
+
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_ODD, _PAIRS, _HALF = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+
+
+def _in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th (from 0) one bit of each word: the ones up to each byte, in its bytes, are compared with k at once."""
+    n = word - ((word >> np.uint64(1)) & _ODD)
+    n = (n & _PAIRS) + ((n >> np.uint64(2)) & _PAIRS)
+    upto = ((n + (n >> np.uint64(4))) & _HALF) * _EACH
+    byte = ((((((k * _EACH) | _TOP) - upto) & _TOP) >> np.uint64(7)) * _EACH) >> np.uint64(56)
+    shift = byte << np.uint64(3)
+    left = k - (((upto << np.uint64(8)) >> shift) & np.uint64(255))
+    return shift.astype(np.int64) + _SELECT[((word >> shift) & np.uint64(255)).astype(np.int64), left.astype(np.int64)]
 
 
 class EliasFano:
@@ -110,20 +133,26 @@ class EliasFano:
         self.n, self.width = (int(x) for x in arrays["n"])
         self.low, self.upper, self.ones = arrays["low"], arrays["upper"].reshape(-1, BLOCK // 8), arrays["ones"]
         self.words = self.upper.view(np.uint64)
+        self.inner = np.zeros(self.words.shape, np.int16)  # ones of a block before each word
+        np.cumsum(np.bitwise_count(self.words[:, :-1]), axis=1, out=self.inner[:, 1:])
         self.zeros = np.arange(len(self.ones)) * BLOCK - self.ones
         self.highest = len(self.upper) * BLOCK - self.n - 1
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
         """Place of the k-th (from 0) one, or zero, in the upper bits."""
         out = np.empty(len(k), np.int64)
-        for i in range(0, len(k), 1 << 15):
-            part = k[i : i + (1 << 15)]
+        for i in range(0, len(k), PIECE):
+            part = k[i : i + PIECE]
             block = np.searchsorted(before, part, "right") - 1
             left = part - before[block]
-            row = self.words[block] if flip == 0 else ~self.words[block]
-            word, left, at = _step(row, left)
-            byte, left, bits = _step(at[:, None].view(np.uint8), left)
-            out[i : i + len(part)] = block * BLOCK + word * 64 + byte * 8 + _SELECT[bits, left]
+            word = np.zeros(len(part), np.int64)
+            for step in (4, 2, 1):
+                ones = self.inner[block, word + step]
+                word += step * ((ones if flip == 0 else (word + step) * 64 - ones) <= left)
+            ones = self.inner[block, word]
+            left -= ones if flip == 0 else word * 64 - ones
+            bits = self.words[block, word]
+            out[i : i + PIECE] = block * BLOCK + word * 64 + _in_word(bits if flip == 0 else ~bits, left.astype(np.uint64))
         return out
 
     def _lows(self, i: np.ndarray) -> np.ndarray:

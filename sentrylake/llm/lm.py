@@ -53,6 +53,12 @@ def _contexts(doc: np.ndarray, value: np.ndarray, first: np.generic) -> np.ndarr
     return before
 
 
+def _texts(h: np.ndarray) -> np.ndarray:
+    """The number of each token's text, by the ends before it."""
+    end = h == END
+    return np.cumsum(end) - end
+
+
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and each value's place among them; by hashing, as tokens are few words many times."""
     code, value = pd.factorize(h.ravel())
@@ -62,6 +68,20 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value[order], place[code].reshape(h.shape)
 
 
+def _unique(x: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, all from 0 and below a bound, and each value's place among them. A value and its place in x are
+    sorted as one number where 63 bits hold both."""
+    bits = len(x).bit_length()
+    if below.bit_length() + bits > 63:
+        return np.unique(x, return_inverse=True)
+    both = np.sort((x.astype(np.int64) << bits) | np.arange(len(x)))
+    value, at = both >> bits, both & ((1 << bits) - 1)
+    new = np.concatenate([[True], value[1:] != value[:-1]])[: len(x)]
+    place = np.empty(len(x), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return value[new], place
+
+
 def _part(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -118,7 +138,7 @@ class Reader:
         return ids, counts
 
     def follow(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Id (-1: didn't occur), log10 probability (nan) and count of each pair of ids, sorted by context."""
+        """Id (-1: didn't occur), probability (nan) and count of each pair of ids, sorted by context."""
         ids, value, counts = np.full(len(context), -1, np.int64), np.full(len(context), np.nan), np.zeros(len(context), np.int64)
         for k, a, b in _slices(np.searchsorted(self.trie.offsets, context, "right") - 1):
             own = self.part(k, 2)
@@ -128,7 +148,7 @@ class Reader:
             count = own["counts"][at].astype(np.int64)
             large = count == 255
             count[large] = own["large"][np.searchsorted(own["large_at"], at[large])]
-            ids[a:b][hit], value[a:b][hit], counts[a:b][hit] = at + self.trie.pairs[k], own["book"][own["codes"][at]], count
+            ids[a:b][hit], value[a:b][hit], counts[a:b][hit] = at + self.trie.pairs[k], _powers(own["book"])[own["codes"][at]], count
         return ids, value, counts
 
     def _within(self, own: dict, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -146,7 +166,7 @@ class Reader:
             own = self.part(k, 3)
             at = self._within(own, pair[a:b] - k * self.trie.span, word[a:b])
             hit = np.flatnonzero(at >= 0)
-            out[a:b][hit] = 10.0 ** own["book"][own["codes"][at[hit]]].astype(np.float64)
+            out[a:b][hit] = _powers(own["book"])[own["codes"][at[hit]]]
         return out
 
     def successors(self, word: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +187,10 @@ def _unigram(count: np.ndarray, trie: Trie) -> np.ndarray:
     return (count + ADDED) / (trie.total + ADDED * (trie.words + 1))
 
 
+def _powers(book: np.ndarray) -> np.ndarray:
+    return 10.0 ** book.astype(np.float64)
+
+
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A code for each value, by 256 ranges of equal width, and the mean of the values in each range."""
     if not len(x):
@@ -241,10 +265,10 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
     def gather_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = trie.open()
         shift = np.uint64(max(trie.words, 1))
-        for held in _flushes(batches, lambda doc, h: np.stack([_contexts(doc, h, END), h])):
+        for held in _flushes(batches, lambda doc, h: h):
             known, at = _distinct(held)
-            own = reader.look_up(known)[0].astype(np.uint64)
-            before, word = own[at.reshape(held.shape)]
+            word = reader.look_up(known)[0].astype(np.uint64)[at]
+            before = _contexts(_texts(held), word, word[-1])  # the last token is an end
             if trie.words < 1 << 32:
                 pair, count = np.unique(before * shift + word, return_counts=True)
                 before, word = pair // shift, pair % shift
@@ -288,10 +312,10 @@ def fit(docs: DataFrame, part_bytes: int = PART_BYTES) -> Trie:
     def gather_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = trie.open()
         for held in _flushes(batches, lambda doc, h: h):
-            doc = np.cumsum(held == END) - (held == END)
             known, at = _distinct(held)
             own, n = reader.look_up(known)[0], len(known)
-            pair, back = np.unique(_contexts(doc, at, np.searchsorted(known, END)) * n + at, return_inverse=True)
+            doc = _texts(held)
+            pair, back = _unique(_contexts(doc, at, np.searchsorted(known, END)) * n + at, n * n)
             pair = reader.follow(own[pair // n], own[pair % n])[0]
             before = _contexts(doc, back, -1)
             later = before >= 0
@@ -366,24 +390,25 @@ def _scores(reader: Reader, trie: Trie, doc: np.ndarray, h: np.ndarray, rows: in
     known, at = _distinct(h)
     ids, counts = reader.look_up(known)
     word, before = at, _contexts(doc, at, np.searchsorted(known, END))
-    base = np.log10(_unigram(counts, trie))
-    pair, back = np.unique(before * np.int64(len(known)) + word, return_inverse=True)
+    base = _unigram(counts, trie)
+    pair, back = _unique(before * np.int64(len(known)) + word, len(known) ** 2)
     first, second = pair // len(known), pair % len(known)
-    value = base[second] + np.where(ids[first] >= 0, np.log10(MASS / (counts[first] + MASS)), 0.0)
+    value = base[second] * np.where(ids[first] >= 0, MASS / (counts[first] + MASS), 1.0)
     both = np.flatnonzero((ids[first] >= 0) & (ids[second] >= 0))
     own, n_own = np.full(len(pair), -1, np.int64), np.zeros(len(pair), np.int64)
     own[both], found, n_own[both] = reader.follow(ids[first[both]], ids[second[both]])
     value[both] = np.where(np.isnan(found), value[both], found)
-    triple, again = np.unique((_contexts(doc, back, -1) + 1) * len(known) + word, return_inverse=True)
+    triple, again = _unique((_contexts(doc, back, -1) + 1) * len(known) + word, (len(pair) + 1) * len(known))
     some = np.empty(len(triple), np.int64)
-    some[again] = np.arange(len(again))  # any token of each
-    before, last, longer = triple // len(known) - 1, triple % len(known), value[back[some]]
+    some[again] = back  # the last pair of any token of each
+    before, last, longer = triple // len(known) - 1, triple % len(known), value[some]
     after = np.flatnonzero((before >= 0) & (own[before] >= 0))
     share = np.zeros(len(after))
     seen = np.flatnonzero(ids[last[after]] >= 0)
     share[seen] = reader.third(own[before[after[seen]]], ids[last[after[seen]]])
-    longer[after] = np.log10(share + MASS / (n_own[before[after]] + MASS) * 10.0 ** longer[after])
-    return [np.bincount(doc, x, rows) for x in (np.ones(len(doc)), counts[word] > 0, base[word], value[back], longer[again])]
+    longer[after] = share + MASS / (n_own[before[after]] + MASS) * longer[after]
+    of_word, of_pair, of_triple = np.log10(base), np.log10(value), np.log10(longer)
+    return [np.bincount(doc, minlength=rows), *(np.bincount(doc, x, rows) for x in ((counts > 0).astype(np.float64)[word], of_word[word], of_pair[back], of_triple[again]))]
 
 
 def training(doc_id: Column) -> Column:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import decontaminate, language, lm, mixing, quality, secrets
+from sentrylake.llm import decontaminate, language, lm, mixing, quality, secrets, whitening
 from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, buckets_for, deduplicate
 from sentrylake.llm.near_join import near_components
@@ -90,6 +90,16 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    found = whitening.whitened(vectors, model)
+    error = whitening.identity_error(found, len(model.components))
+    shares = F.array(*(F.lit(float(e / model.trace)) for e in model.eigenvalues)).cast("array<double>")
+    each = found.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,6 +113,7 @@ QUERIES = {
         op8_entropy_secrets,
         op9_digest_index_dedup,
         op10_parity_sketch_join,
+        op11_tsqr_whitening,
     )
 }
 

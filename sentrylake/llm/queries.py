@@ -5,11 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import decontaminate, language, lm, mixing, quality, secrets, whitening
+from sentrylake.llm import decontaminate, language, lm, mixing, quality, secrets, warc, whitening
 from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, buckets_for, deduplicate
 from sentrylake.llm.near_join import near_components
 from sentrylake.llm.sharding import uniform_shards
+from sentrylake.work import drop, drop_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +101,16 @@ def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
 
 
+def op12_loser_tree_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no times of capture, so a page's number stands for its second."""
+    pages = _table(spark, sf_dir, "pages")
+    path, runs = warc.archived(pages, F.timestamp_seconds(F.col("page_id")))
+    drop_path(spark, path)  # the index has all that the result needs
+    found = warc.merged(runs)
+    drop(runs)
+    return found.select(F.col("record").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "nth", "position")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,6 +125,7 @@ QUERIES = {
         op9_digest_index_dedup,
         op10_parity_sketch_join,
         op11_tsqr_whitening,
+        op12_loser_tree_warc,
     )
 }
 
@@ -123,4 +135,17 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d""",
+    "op12_loser_tree_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, lower(coalesce(url, '')) AS u FROM pages),
+        d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h,
+                     regexp_extract(u, '^(?:[a-z][a-z0-9+.\-]*://)?(?:[^/?#]*@)?(?:www\.)?([^/?#]*)', 1) AS host,
+                     regexp_extract(u, '^(?:[a-z][a-z0-9+.\-]*://)?[^/?#]*([^#]*)', 1) AS rest FROM p),
+        k AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest AS url_key FROM d)
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1) FOR i IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> least THEN least END AS refers_to,
+               url_key, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS nth,
+               row_number() OVER (ORDER BY url_key, page_id) - 1 AS position
+        FROM k""",
 }

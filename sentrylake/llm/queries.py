@@ -10,6 +10,7 @@ from sentrylake.llm.bpe_count import count_tokens
 from sentrylake.llm.exact_dedup import DigestIndex, buckets_for, deduplicate
 from sentrylake.llm.near_join import near_components
 from sentrylake.llm.sharding import uniform_shards
+from sentrylake.llm.variants import spelling_variants
 from sentrylake.work import drop, drop_path
 
 
@@ -111,6 +112,10 @@ def op12_loser_tree_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "nth", "position")
 
 
+def op13_rare_qgram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,6 +131,7 @@ QUERIES = {
         op10_parity_sketch_join,
         op11_tsqr_whitening,
         op12_loser_tree_warc,
+        op13_rare_qgram_variants,
     )
 }
 

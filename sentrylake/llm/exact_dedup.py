@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.work import drop_path, new_path, written
+from sentrylake.work import drop_path, exists, new_path, written
 
 #: From this share of a batch's rows, and this many of them, a digest counts as hot; so there are at most 10,000 hot ones.
 HOT_SHARE, HOT_ROWS = 1e-4, 1000
@@ -32,10 +32,23 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS, id_type: str = "BIGINT"):
-        self.spark, self.path, self.buckets, self.id_type = spark, path or new_path(spark, "digests"), buckets, id_type
+        """buckets and id_type are those of a new index. A stored one keeps its own, whatever is given: they lie beside its rows, so
+        another catalogue reads the same buckets. A path that has rows but doesn't say in how many buckets is refused."""
+        self.spark, self.path = spark, (path or new_path(spark, "digests")).rstrip("/")
+        self.buckets, self.id_type = self._laid_out(buckets, id_type)
         self.table = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}"
         if not spark.catalog.tableExists(self.table):
-            spark.sql(f"CREATE TABLE {self.table} (digest STRING, keep_id {id_type}, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+            spark.sql(f"CREATE TABLE {self.table} (digest STRING, keep_id {self.id_type}, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+
+    def _laid_out(self, buckets: int, id_type: str) -> tuple[int, str]:
+        layout = f"{self.path}/_layout"  # readers of the table pass over names with an underscore
+        if exists(self.spark, f"{layout}/_SUCCESS"):
+            held = self.spark.read.schema("buckets INT, id_type STRING").json(layout).first()
+            return held["buckets"], held["id_type"]
+        if exists(self.spark, f"{self.path}/_SUCCESS"):
+            raise ValueError(f"{self.path} has rows, but not the number of their buckets")
+        self.spark.createDataFrame([(buckets, id_type)], "buckets INT, id_type STRING").coalesce(1).write.mode("overwrite").json(layout)
+        return buckets, id_type
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)

@@ -3,6 +3,8 @@
 import hashlib
 import uuid
 
+import pytest
+
 from sentrylake.llm import exact_dedup
 from sentrylake.llm.exact_dedup import DigestIndex, deduplicate
 from sentrylake.llm.queries import ORACLES, op9_digest_index_dedup
@@ -81,3 +83,25 @@ def test_hard_rows(spark):
     got = sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["kept"]) for r in deduplicate(df, DigestIndex(spark)).collect())
     assert got == [(-1, -1, True), (-1, 2, False), (2, 2, True), (2, 2, True), (7, 7, True)]
     assert deduplicate(df.limit(0), DigestIndex(spark)).collect() == []
+
+
+@pytest.mark.parametrize("forgotten", [False, True])
+def test_another_number_of_buckets(spark, tmp_path, forgotten):
+    """The stored number holds, in the same catalogue and in one that doesn't know the table."""
+    path = f"file://{tmp_path}/{uuid.uuid4().hex}"
+    index = DigestIndex(spark, path, 4)
+    deduplicate(spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string"), index)
+    if forgotten:
+        spark.sql(f"DROP TABLE {index.table}")  # the files stay
+    again = DigestIndex(spark, path, 16, "STRING")
+    assert (again.buckets, again.id_type) == (4, "BIGINT")
+    got = deduplicate(spark.createDataFrame([(k + 1000, f"text {k}") for k in range(300)], "doc_id long, text string"), again).collect()
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == list(range(1200, 1300)) and again.rows().count() == 300
+    again.drop()
+
+
+def test_rows_without_a_layout(spark, tmp_path):
+    path = f"file://{tmp_path}/{uuid.uuid4().hex}"
+    spark.range(3).write.parquet(path)
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path, 4)

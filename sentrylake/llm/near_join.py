@@ -119,15 +119,16 @@ def _emitted(doc: np.ndarray, shingle: np.ndarray, docs: int, single: bool) -> t
 
 
 def _doc_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set) of each row."""
+    """doc_id, mark (a hash of the text), n_shingles, set_key (null for an empty set) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in tokens.chunks(batch.column(1)):
+            for i, j, data, offsets in tokens.chunks(batch.column(2)):
                 n, key = _set_keys(*_sets(data, offsets), j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(key, mask=n == 0)], ["doc_id", "n_shingles", "set_key"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(n), pa.array(key, mask=n == 0)], ["doc_id", "mark", "n_shingles", "set_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, set_key long")
 
 
 def _once(own: np.ndarray, seen: set) -> np.ndarray:
@@ -315,12 +316,17 @@ def near_components(docs: DataFrame, numerator: int = 75, denominator: int = 100
 
     Words are lower-cased for A-Z; a text with fewer than five words is one shingle of them all; an empty or null text has no
     shingles and stays alone. Rows with a null doc_id take part; their component is named by a row that has an id, or null.
-    Rows that repeat an id and a text share their set and component. Other columns, whatever their names, aren't read. No
+    Rows that repeat an id and a text share their set and component. Ids may be of any type that has an order. Other columns, whatever their names, aren't read. No
     rows in, no rows out. The threshold numerator / denominator must be 3/4 or more; the sketches are laid out for that.
 
     Equal sets are one class from the start, so exact copies make no pairs. Shuffled are keys of 16 bytes, and the texts of
     sets that share a key with another.
     """
+    return _classes(docs, numerator, denominator).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, numerator: int = 75, denominator: int = 100) -> DataFrame:
+    """near_components() with mark, a hash of the row's text, and first: the id and mark of the component's first row."""
     if 4 * numerator < 3 * denominator:
         raise ValueError("the sketches need a threshold of 3/4 or more")
     ship(docs.sparkSession)
@@ -336,11 +342,13 @@ def near_components(docs: DataFrame, numerator: int = 75, denominator: int = 100
     for table in made:  # components have their own
         drop(table)
     named = found.select(F.col("node").alias("set_key"), F.col("component").alias("comp"))
-    least = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    least = sets.where("set_key is not null").groupBy("set_key").agg(F.min(row).alias("least"))
     smallest = least.join(named, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    whole = smallest.groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = smallest.join(whole, "comp").select("set_key", "component_id")
-    return sets.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    whole = smallest.groupBy("comp").agg(F.min("least").alias("first"))
+    classes = smallest.join(whole, "comp").select("set_key", "first")
+    alone = F.col("set_key").isNull()
+    return sets.join(classes, "set_key", "left").select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.when(~alone, F.col("first")).alias("first"))
 
 
 def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int, hold: Callable) -> DataFrame:
@@ -411,6 +419,9 @@ def _close(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id. Rows without an id stay, and so do repeats of a kept row."""
-    gone = near_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component: the one of the smallest id, and of rows that share this id the one of the smallest
+    text by its hash. Rows without an id stay, and so do full repeats of a kept row. A row goes by its id and its text, so one that
+    shares its id with a duplicate, but not the text, isn't lost with it."""
+    found = _classes(docs).where(F.col("first").isNotNull() & F.col("doc_id").isNotNull())
+    gone = found.where(F.struct("doc_id", "mark") != F.col("first")).select(F.struct("doc_id", "mark").alias("gone")).distinct()
+    return docs.join(gone, F.struct(docs["doc_id"], F.xxhash64(docs["text"])) == F.col("gone"), "left_anti")

@@ -71,3 +71,18 @@ def test_hard_rows(spark):
 def test_one_of_each(spark):
     df = spark.createDataFrame([(1, "q w e r t y"), (2, "q w e r t y"), (3, "z"), (None, "z"), (4, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1) for r in one_of_each(df).collect()) == [-1, 1, 3, 4]
+
+
+def test_one_of_each_tells_rows_by_their_texts(spark):
+    rows = [(1, "A b c d e f"), (2, "a b c d e f"), (2, "another text that nothing repeats"), (5, "one two three four five six seven eight nine ten"), (5, "one two three four five six seven eight nine ten eleven")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, mark string, first int")
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(left)[:2] == [rows[0], rows[2]] and len(left) == 3 and left != rows[3:]
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("b", "q w e r t y"), ("a", "Q w e r t y"), ("c", None)], "doc_id string, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_components(df).collect()} == {"a": "a", "b": "a", "c": "c"}
+    assert sorted(r["doc_id"] for r in one_of_each(df).collect()) == ["a", "c"]

@@ -1,10 +1,10 @@
 """A training corpus from raw documents, in five stages; each takes (spark, docs, sf_dir) and works on all that its
-predecessor kept. All but the last return the columns of docs."""
+predecessor kept. All but the last return the columns of docs, whatever else a table has, as they are: nulls, repeats and
+columns of any name pass through, and an empty table gives an empty one."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sentrylake.llm import decontaminate, mixing, quality
 from sentrylake.llm.near_join import one_of_each
@@ -15,31 +15,32 @@ SHARDS = 40
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, scores at quality.KEPT or more."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, "_quality").where(F.col("_quality") >= quality.KEPT).select(*docs.columns)
+    """Documents that the classifier, fitted on the labels, scores at quality.KEPT or more. Null and empty texts have the score of
+    a text without features; without any label every text has that score, one half, and stays."""
+    return quality.kept(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates. A text without words is alone in its group; rows
+    without an id stay, and so do full repeats of a row that stays."""
     return one_of_each(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item."""
+    """Documents that cover no benchmark item; null and empty texts cover none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows repeat where a source's target exceeds its size, and go where it falls
-    short."""
+    short. A null source is one of its own; a null text has no words and is taken as its hash says."""
     members = mixing.by_source(docs)
-    taken = mixing.mixed(docs, mixing.plan_mix(docs, members, mixing.weighted_targets), members)
-    return taken.where("times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return mixing.repeated(docs, mixing.plan_mix(docs, members, mixing.weighted_targets), members)
 
 
 def shuffle_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with shard and slot: a uniform shuffle into shards of equal counts."""
+    """The documents with shard and slot: a uniform shuffle into shards of equal counts. Only columns named shard or
+    slot are replaced."""
     return uniform_shards(docs, SHARDS)
 
 

@@ -164,11 +164,23 @@ def mixed(docs: DataFrame, plan: Plan, members: Column) -> DataFrame:
     columns are carried; those named like the new ones are replaced. An empty table gives no rows. Nothing is shuffled: the
     plan has a row for each pattern.
     """
-    table = plan.table(docs)
     new = ["size", "times", "taken", "source_size", "target"]
-    row = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), F.to_json(F.array_sort(members)).alias("pattern"), _hash(docs).alias("key"), words(F.col("text")).alias("size"))
+    own = [f"row.{c}" for c in docs.columns if c not in new]
+    return _planned(docs, plan, members).select(*own, "size", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source_size", "target")
+
+
+def repeated(docs: DataFrame, plan: Plan, members: Column) -> DataFrame:
+    """The rows of docs as often as the mix takes each, with their own columns, whatever the names, and no others. Nulls, repeats and empty
+    tables as with mixed()."""
+    taken = _planned(docs, plan, members).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).select("row.*")
+
+
+def _planned(docs: DataFrame, plan: Plan, members: Column) -> DataFrame:
+    """Each row of docs as a struct, row, beside size, times and the plan's columns."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.to_json(F.array_sort(members)).alias("pattern"), _hash(docs).alias("key"), words(F.col("text")).alias("size"))
     times = F.col("whole") + F.coalesce((F.col("key") <= F.col("last")).cast("int"), F.lit(0))
-    return row.join(F.broadcast(table), "pattern").withColumn("times", times).select("row.*", "size", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source_size", "target")
+    return row.join(F.broadcast(plan.table(docs)), "pattern").withColumn("times", times)
 
 
 def by_source(docs: DataFrame) -> Column:

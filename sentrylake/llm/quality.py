@@ -139,3 +139,16 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at)))], [*batch.schema.names, column])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, DoubleType()))
+
+
+def kept(docs: DataFrame, model: Model, least: float = KEPT) -> DataFrame:
+    """The rows of docs whose text scores that much or more, with their own columns, whatever the names, and no others. Null and
+    empty texts have the score of the bias; rows that repeat stay or go together. No rows in, no rows out."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch], at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(shared.value.scores(batch.column(at))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -81,3 +81,25 @@ def test_shards(kept):
 
 def test_run(spark, kept):
     assert Counter(_ids(corpus_pipeline.run(spark, SF))) == Counter(_ids(kept[5]))
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_hard_rows(spark, tmp_path, rows):
+    """Own columns, whatever their names, come back as they went in; nulls, empty and long texts, repeats and empty tables."""
+    names = ["size", "times", "taken", "source_size", "target", "_quality", "score", "set_key", "mark", "first", "row", "key", "pattern", "whole", "last", "nth"]
+    texts = [None, "", " ", "a b", "the same words in the very same order", "the same words in the very same order", "w " * 200_000]
+    data = [(k if k % 3 else None, t, None if k == 2 else "en", None if k % 2 else "s", None, *([f"own {k}"] * len(names))) for k, t in enumerate(texts)]
+    data += [data[3]] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame(data if rows else [], schema)
+    for name in ("labels", "benchmark"):
+        table = spark.read.parquet(f"{SF}/{name}.parquet")
+        (table if rows else table.limit(0)).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    whole = {tuple(r) for r in data}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, f"file://{tmp_path}")
+        got = [tuple(r) for r in docs.select(*(f"`{c.split()[0]}`" for c in schema.split(", "))).collect()]
+        assert set(got) <= whole and bool(got) <= bool(rows), name
+        if name != "sharding":
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    assert bool(got) == bool(rows)

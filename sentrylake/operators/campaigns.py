@@ -24,9 +24,15 @@ def entity_key(kind: Column, value: Column) -> Column:
     return F.when(kind == "domain", F.lower(value)).otherwise(value)
 
 
+def strong_entities(entities: DataFrame) -> DataFrame:
+    """id, type, value, once each, of those rows that merge campaigns."""
+    strong = strongly_linking(F.col("type"), F.col("value"), F.col("shared_hosting"))
+    return entities.where(strong).select("id", "type", entity_key(F.col("type"), F.col("value")).alias("value")).distinct()
+
+
 def star_edges(entities: DataFrame) -> DataFrame:
     """(a, b) links of rows (id, type, value, shared_hosting): each asset to the first one that has the entity."""
-    strong = entities.where(strongly_linking(F.col("type"), F.col("value"), F.col("shared_hosting"))).select("id", "type", entity_key(F.col("type"), F.col("value")).alias("value")).distinct()
+    strong = strong_entities(entities)
     heads = strong.groupBy("type", "value").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return strong.join(heads, ["type", "value"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
@@ -39,7 +45,12 @@ def members(entities: DataFrame) -> DataFrame:
 def campaigns(assets: DataFrame, entities: DataFrame) -> DataFrame:
     """One row for each campaign of assets (id, brand, first_seen, last_seen): camp_id by the earliest asset, name, size,
     first_seen, last_seen and brands. Assets that are benign or false positives mustn't be in entities."""
-    joined = assets.join(members(entities), "id")
+    return campaigns_of(assets, members(entities))
+
+
+def campaigns_of(assets: DataFrame, of: DataFrame) -> DataFrame:
+    """campaigns() of members that are known already; an id is that of the earliest asset, so it changes only where that does."""
+    joined = assets.join(of, "id")
     out = joined.groupBy("component").agg(F.min(F.struct("first_seen", "id")).alias("anchor"), F.count("*").alias("size"), F.min("first_seen").alias("first_seen"), F.max(F.coalesce("last_seen", "first_seen")).alias("last_seen"), F.array_sort(F.collect_set("brand")).alias("brands"))
     name = F.concat(F.lit("Campaign targeting "), F.when(F.size("brands") > 0, F.array_join("brands", ", ")).otherwise("unknown brand"))
     return out.select(F.concat(F.lit("camp-"), F.substring(F.sha1(F.col("anchor.id").cast("string").cast("binary")), 1, 8)).alias("camp_id"), "component", name.alias("name"), "size", "first_seen", "last_seen", "brands")

@@ -17,7 +17,10 @@ def upserted(sightings: DataFrame) -> DataFrame:
     return base.join(lists, base["url_key"].eqNullSafe(lists["url_key"]), "left").select(base["*"], F.coalesce("entities", F.array().cast(lists.schema["entities"].dataType)).alias("entities"))
 
 
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key, by order."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
+def latest(df: DataFrame, key: str, order: str, first: tuple[str, ...] = ()) -> DataFrame:
+    """The last row of each key, by order; the columns named first are those of the key's first row, as an update leaves a time
+    of creation alone."""
+    rest = [c for c in df.columns if c != key and c not in first]
+    kept = [F.min_by(c, order).alias(c) for c in first]
+    found = df.groupBy(key).agg(*kept, F.max_by(F.struct(*rest), order).alias("last_row"))
+    return found.select(key, *first, "last_row.*")

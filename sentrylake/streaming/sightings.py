@@ -4,7 +4,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from sentrylake.operators.stored import AssetState
 from sentrylake.work import new_path
 
 
@@ -29,3 +31,13 @@ def final_state(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{out}/state")
     latest = rows.groupBy("user_id").agg(F.max_by(F.struct("sightings", "first_seen", "last_seen"), "batch").alias("x"))
     return latest.select("user_id", "x.*")
+
+
+def follow(sightings: DataFrame, state: AssetState, checkpoint: str, writer: str = "stream") -> StreamingQuery:
+    """A query that takes a stream of sightings up into stored state, batch by batch, until it has all that is there.
+
+    State is in the stored tables, not in the stream, so it grows with the assets and not with the time since they were seen; a batch
+    rewrites the buckets it touches. A query that starts again from its checkpoint gives its last batch once more, and that is passed
+    over by its number; rows that a source delivers twice are passed over by the ledger. Order of arrival is seq, so late and
+    unordered files leave the same state, and no watermark is needed."""
+    return sightings.writeStream.foreachBatch(lambda batch, number: state.add(batch, writer, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

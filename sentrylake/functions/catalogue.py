@@ -166,3 +166,13 @@ WANTS_DOMAINS = ["registrar", "cert_in", "cybercrime_portal"]
 
 KEYWORDS = [(k, key) for key, _, keywords, _, _ in BRANDS for k in keywords]
 OFFICIAL = [(d, key) for key, _, _, domains, _ in BRANDS for d in domains]
+
+# Generic top-level domains in common use; two letters are a country's. A full list of public suffixes is a parameter of what asks for one.
+GENERIC_SUFFIXES = """com org net edu gov mil int info biz name pro mobi aero coop museum jobs travel tel cat asia post arpa
+app dev page web cloud digital network systems email media news blog agency company solutions services group team global world
+money finance financial bank sbi insurance credit cards cash fund investments trading capital market markets exchange business
+tech technology software computer codes tools academy school university education training health care clinic dental
+shopping sale deals gift gifts promo discount delivery express direct center zone city land house homes property estate
+social chat video photos photo pictures audio music games game play fun fan club community foundation charity
+art design studio fashion shoes clothing food restaurant cafe bar pizza recipes tours hotel flights
+press online site website xyz top icu shop store live life work today win vip one run fit""".split()

@@ -20,21 +20,33 @@ def urls(text: Column) -> Column:
 BARE = r"(?i)(?<![@\w.:/-])((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24})(/[^\s<>\"']*)?(?![\w@-])"
 
 
-def bare_domains(text: Column, known: Column) -> Column:
-    """URLs of hosts that stand in the text without a scheme, in order, the first of each host; not file names, nor hosts of the
-    known URLs. text has its URLs blanked out."""
+def has_public_suffix(host: Column, suffixes: list[str] | None = None) -> Column:
+    """Whether a lower-case host is a name under a public suffix, and not a bare one. suffixes is a list of them; without one, those of two
+    letters (countries), their usual second levels, and common generic ones count."""
+    if suffixes is not None:
+        labels = F.split(host, r"\.")
+        ends = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.array_join(F.slice(labels, n + 1, F.size(labels)), "."))
+        return (F.size(labels) > 1) & F.arrays_overlap(ends, F.array(*map(F.lit, suffixes))) & ~host.isin(suffixes)
+    second = "|".join(C.CC_SECOND_LEVEL)
+    known = F.substring_index(host, ".", -1).isin(*{*C.GENERIC_SUFFIXES, *C.SUSPICIOUS_TLDS}) | host.rlike(r"\.[a-z][a-z]$")
+    return known & ~host.rlike(rf"^(?:{second})\.[a-z][a-z]$")
+
+
+def bare_domains(text: Column, known: Column, suffixes: list[str] | None = None) -> Column:
+    """URLs of hosts that stand in the text without a scheme, in order, the first of each host, if they have a public suffix; not file
+    names, nor hosts of the known URLs. text has its URLs blanked out."""
     found = F.arrays_zip(F.transform(_all(text, BARE, 1), lambda h: F.lower(h)).alias("host"), _all(text, BARE, 2).alias("path"))
     seen = F.transform(known, lambda u: F.lower(F.regexp_extract(u, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
-    fresh = F.filter(found, lambda x: ~F.substring_index(x["host"], ".", -1).isin(C.FILE_ENDINGS) & ~F.array_contains(seen, x["host"]))
+    fresh = F.filter(found, lambda x: ~F.substring_index(x["host"], ".", -1).isin(C.FILE_ENDINGS) & ~F.array_contains(seen, x["host"]) & has_public_suffix(x["host"], suffixes))
     hosts = F.transform(fresh, lambda x: x["host"])
     first = F.filter(fresh, lambda x, i: F.array_position(hosts, x["host"]) == i + 1)
     return F.transform(first, lambda x: F.concat(F.lit("http://"), x["host"], F.regexp_replace(F.coalesce(x["path"], F.lit("")), r"[.,);]+$", "")))
 
 
-def all_urls(text: Column) -> Column:
+def all_urls(text: Column, suffixes: list[str] | None = None) -> Column:
     """URLs with a scheme or www, then bare ones."""
     own = urls(text)
-    return F.array_distinct(F.concat(own, bare_domains(F.regexp_replace(text, C.URL, " "), own)))
+    return F.array_distinct(F.concat(own, bare_domains(F.regexp_replace(text, C.URL, " "), own, suffixes)))
 
 
 def message_entities(text: Column) -> Column:

@@ -1,5 +1,8 @@
 """Search, statistics and dashboard numbers over assets."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,16 +11,18 @@ def flagged() -> Column:
     return (F.col("verdict") != "benign") & (F.col("review") != "false_positive")
 
 
-def search(assets: DataFrame, min_points: int | None = None, verdict: str | None = None, kind: str | None = None, live: bool | None = None, review: str | None = None, brand: str | None = None, source: str | None = None, text: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+def search(assets: DataFrame, min_points: int | None = None, verdict: str | None = None, kind: str | None = None, live: bool | None = None, review: str | None = None, brand: str | None = None, source: str | None = None, text: str | None = None, campaign: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of the assets that meet all given conditions, by score and first_seen, both falling, then id. live counts three
-    values: unknown is neither true nor false. text is looked for in the domain, whatever its case."""
+    values: unknown is neither true nor false. text is looked for in the domain and in the URL, whatever its case; assets without a url column are searched by domain."""
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit must be from 1 to 1000, offset 0 or more")
     out = assets if min_points is None else assets.where(F.col("points") >= min_points)
-    for name, value in (("verdict", verdict), ("kind", kind), ("review", review), ("brand", brand), ("source", source)):
+    for name, value in (("verdict", verdict), ("kind", kind), ("review", review), ("brand", brand), ("source", source), ("campaign", campaign)):
         out = out if value is None else out.where(F.col(name) == value)
     out = out if live is None else out.where(F.col("live").eqNullSafe(F.lit(live)))
-    out = out if not text else out.where(F.contains(F.lower("domain"), F.lit(text.lower())))
+    if text:
+        has = [F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False)) for c in ("domain", "url") if c in assets.columns]
+        out = out.where(reduce(or_, has))
     return out.orderBy(F.desc("points"), F.desc("first_seen"), "id").offset(offset).limit(limit)
 
 

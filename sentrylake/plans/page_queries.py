@@ -251,10 +251,13 @@ def feed_brand_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BARE = "regexp_extract_all(' ' || regexp_replace(text, '(?i)(?:https?://|www\\.)[^\\s<>\"'']+', ' ', 'g') || ' ', '(?i)[^@\\w.:/-]((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?[.])+[a-z]{2,24})(/[^\\s<>\"'']*)?[^\\w@-]', @)"
 
 
-@query(f"""WITH t AS (SELECT id, text || CASE id % 3 WHEN 0 THEN ' see sbi-kyc' || CAST(id AS VARCHAR) || '.top/update, or file.pdf' ELSE '' END AS text FROM ({B.TEXT_ROWS}))
-    SELECT id, array_to_string({_ordered_distinct(chr(32).join(["list_transform(regexp_extract_all(text, '(?i)(?:https?://|www\\.)[^\\s<>" + chr(34) + chr(39) * 2 + "]+'), lambda u: regexp_replace(u, '[.,);]+$', ''))"]))} || list_transform(list_filter(list_zip({_BARE.replace(", @)", ", 1)")}, {_BARE.replace(", @)", ", 2)")}), lambda x: x[1] <> 'file.pdf'), lambda x: 'http://' || lower(x[1]) || regexp_replace(x[2], '[.,);]+$', '')), ',') AS urls FROM t""")
+_SUFFIXED = "(regexp_matches(lower(x[1]), '[.](?:[a-z][a-z]|" + "|".join(sorted({*C.GENERIC_SUFFIXES, *C.SUSPICIOUS_TLDS})) + ")$') AND NOT regexp_matches(lower(x[1]), '^(?:" + "|".join(C.CC_SECOND_LEVEL) + ")[.][a-z][a-z]$'))"
+
+
+@query(f"""WITH t AS (SELECT id, text || CASE id % 3 WHEN 0 THEN ' see sbi-kyc' || CAST(id AS VARCHAR) || '.top/update, or file.pdf' WHEN 1 THEN ' Dear Mr.Sharma of co.in ask pay' || CAST(id AS VARCHAR) || '.co.in now' ELSE '' END AS text FROM ({B.TEXT_ROWS}))
+    SELECT id, array_to_string({_ordered_distinct(chr(32).join(["list_transform(regexp_extract_all(text, '(?i)(?:https?://|www\\.)[^\\s<>" + chr(34) + chr(39) * 2 + "]+'), lambda u: regexp_replace(u, '[.,);]+$', ''))"]))} || list_transform(list_filter(list_zip({_BARE.replace(", @)", ", 1)")}, {_BARE.replace(", @)", ", 2)")}), lambda x: x[1] <> 'file.pdf' AND {_SUFFIXED}), lambda x: 'http://' || lower(x[1]) || regexp_replace(coalesce(x[2], ''), '[.,);]+$', '')), ',') AS urls FROM t""")
 def text_bare_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = B.sql(spark, sf_dir, f"SELECT id, text || CASE id % 3 WHEN 0 THEN ' see sbi-kyc' || CAST(id AS VARCHAR(12)) || '.top/update, or file.pdf' ELSE '' END AS text FROM ({B.TEXT_ROWS}) q")
+    t = B.sql(spark, sf_dir, f"SELECT id, text || CASE id % 3 WHEN 0 THEN ' see sbi-kyc' || CAST(id AS VARCHAR(12)) || '.top/update, or file.pdf' WHEN 1 THEN ' Dear Mr.Sharma of co.in ask pay' || CAST(id AS VARCHAR(12)) || '.co.in now' ELSE '' END AS text FROM ({B.TEXT_ROWS}) q")
     return t.select("id", _joined(T.all_urls(F.col("text"))).alias("urls"))
 
 

@@ -360,6 +360,12 @@ def candidate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "points", "first_seen", "domain")
 
 
+@query(f"SELECT id, url, campaign FROM ({B.CASE_ASSETS}) WHERE campaign = 'camp-7' AND (contains(lower(domain), '/p3') OR contains(lower(url), '/p3')) ORDER BY points DESC, first_seen DESC, id LIMIT 1000")
+def candidate_search_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = B.sql(spark, sf_dir, B.CASE_ASSETS)
+    return R.search(assets, text="/P3", campaign="camp-7", limit=1000).select("id", "url", "campaign")
+
+
 @query(f"SELECT verdict, count(*) AS n FROM ({B.ASSETS}) GROUP BY verdict")
 def stats_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.counts(_assets(spark, sf_dir), "verdict")
@@ -496,4 +502,4 @@ def stream_state_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final_state(spark, f"{sf_dir}/events.parquet")
 
 
-from sentrylake.plans import case_queries, page_queries, state_queries  # noqa: E402, F401 - they register their queries
+from sentrylake.plans import case_queries, page_queries, picture_queries, state_queries  # noqa: E402, F401 - they register their queries

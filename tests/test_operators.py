@@ -102,3 +102,22 @@ def test_feed_and_certificate_logs(spark):
     assert sorted(r["url"] for r in feeds.feed_urls(lines).collect()) == ["http://a.com/x", "https://b.com"]
     raw = spark.createDataFrame([('[{"name_value": "*.A.com\\nb.com", "common_name": "a.com"}]',), ("not json",), ("{}",), (None,)], "raw string")
     assert sorted(r["host"] for r in feeds.ct_hosts(raw).collect()) == ["a.com", "b.com"]
+
+
+@pytest.mark.parametrize("text,want", [("Update KYC at sbi-kyc.top/update now", ["http://sbi-kyc.top/update"]), ("visit www.phonepe-kyc.in", ["http://www.phonepe-kyc.in"]), ("Dear Mr.Sharma, pay to sbi.kyc.help@ybl", []), ("see report.pdf, e.g. the attachment", []), ("mail me at a.b@gmail.com", []), ("under co.in or pay.co.in", ["http://pay.co.in"])])
+def test_bare_hosts_need_a_public_suffix(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(T.all_urls(F.col("text"))).first()[0] == want
+    assert feeds.message_rows(df.selectExpr("1 AS id", "text")).where("kind = 'url'").count() == len(want)
+
+
+def test_suffixes_by_list(spark):
+    hosts = spark.createDataFrame([("a.sharma",), ("a.b.ne.jp",), ("ne.jp",), ("jp",)], "h string")
+    assert [r[0] for r in hosts.select(T.has_public_suffix(F.col("h"), ["ne.jp", "sharma"])).collect()] == [True, True, False, False]
+
+
+def test_search_by_url(spark):
+    assets = spark.createDataFrame([(1, "x.example", "http://x.example/paytm-login", 5, 1, "c"), (2, "paytm.example", None, 4, 1, "d"), (3, "y.example", "http://y.example", 9, 1, "c")], "id long, domain string, url string, points int, first_seen int, campaign string")
+    assert [r["id"] for r in R.search(assets, text="PayTM").collect()] == [1, 2]
+    assert [r["id"] for r in R.search(assets, text="paytm", campaign="d").collect()] == [2]
+    assert [r["id"] for r in R.search(assets.drop("url"), text="paytm").collect()] == [2]

@@ -2,8 +2,8 @@
 
 Positional bigrams of all words are put into one global order, rarest bigram first. One edit destroys two of a word's bigrams at
 most, so of the three rarest of each of two near words one is shared, at the same place or, after an insertion, at the next one. Words
-meet by these alone. The key also holds a word's first or last three code points, one of which an edit in a word of seven or more leaves
-alone; so a common bigram makes few candidates. Each candidate is verified by its edit distance.
+meet by these alone. The key also holds two thirds of a word: an edit leaves two of its three parts alone; so a common bigram makes few
+candidates. Each candidate is verified by its edit distance.
 """
 
 from collections import Counter
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from sentrylake.llm.work import ship
 from sentrylake.work import drop, written
 
-#: The least word and count that take part; bigrams of a prefix; code points of a word's ends; how many times commoner a form is.
-LEAST_LENGTH, LEAST_COUNT, PREFIX, ENDS, FORM_TIMES = 7, 2, 3, 3, 10
+#: The least word and count that take part; bigrams of a prefix; how many times commoner a form is.
+LEAST_LENGTH, LEAST_COUNT, PREFIX, FORM_TIMES = 7, 2, 3, 10
 #: One in so many runs, by a checksum, loses a letter: the errors that the words are known by.
 ERRORS = 31
 
@@ -75,20 +75,29 @@ def prefixes(words_: DataFrame, count: int = PREFIX) -> DataFrame:
     return words_.select("word").mapInArrow(run, "word string, gram string, pos long")
 
 
+def _parts(word: Column, size: Column, more: int) -> Column:
+    """The three pairs of parts, one of which a word of size code points has in common with any near word of as many (more is 0), or with a
+    longer one (more is 1), whose parts after the edit are one further on."""
+    x, y, last = F.floor(size / 3).cast("int"), F.floor(size * 2 / 3).cast("int"), F.length(word)
+    tail = F.substr(word, y + (1 + more), last)
+    return F.array(F.concat(F.lit("<"), F.substr(word, F.lit(1), y)), F.concat(F.lit("="), F.substr(word, F.lit(1), x), F.lit("="), tail), F.concat(F.lit(">"), F.substr(word, x + (1 + more), last)))
+
+
 def near_pairs(words_: DataFrame) -> DataFrame:
     """(a, b), each pair of words of 7 code points or more that one inserted, deleted or replaced code point parts, once: the shorter
     one, or of words of one length the first, is a."""
     ship(words_.sparkSession)
-    ends = F.explode(F.array(F.concat(F.lit("<"), F.substr("word", F.lit(1), F.lit(ENDS))), F.concat(F.lit(">"), F.substr("word", F.length("word") - (ENDS - 1)))))
-    size = F.length("word")
-    own = written(prefixes(words_).select("word", "gram", "pos", size.alias("size"), ends.alias("end")), "prefixes")
-    here = own.withColumnRenamed("word", "b")
+    word, size = F.col("word"), F.length("word")
+    held = written(prefixes(words_).select("word", "gram", "pos", size.alias("size")), "prefixes")
+    # a word is met by those of its length, and by those one shorter
+    both = F.array_distinct(F.concat(_parts(word, size, 0), _parts(word, size - 1, 1)))
+    own = held.select(word.alias("b"), "gram", F.col("pos").alias("pos_b"), F.col("size").alias("size_b"), F.explode(both).alias("part"))
+    probes = held.select(word.alias("a"), "gram", F.col("pos").alias("pos_a"), F.col("size").alias("size_a"), F.explode(_parts(word, size, 0)).alias("part"))
+    more, on = F.col("size_b") - F.col("size_a"), F.col("pos_b") - F.col("pos_a")
     # a word of the same length has the bigram at the same place, a longer one there or one further on
-    meets = F.explode(F.array(*(F.struct((F.col("size") + more).alias("size"), (F.col("pos") + on).alias("pos")) for more, on in ((0, 0), (1, 0), (1, 1)))))
-    probes = own.select(F.col("word").alias("a"), "gram", "end", meets.alias("x")).select("a", "gram", "end", "x.size", "x.pos")
-    met = probes.join(here, ["gram", "end", "size", "pos"]).where((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
+    met = probes.join(own, ["gram", "part"]).where(((more == 0) & (on == 0) & (F.col("a") < F.col("b"))) | ((more == 1) & ((on == 0) | (on == 1))))
     near = written(met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct(), "near")
-    drop(own)
+    drop(held)
     return near
 
 

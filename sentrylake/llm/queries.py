@@ -35,7 +35,7 @@ def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     trie = lm.fit(docs.where(lm.training(F.col("doc_id"))))
     found = lm.scored(docs, trie)
-    return found.select("doc_id", (~lm.training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score", "trigram_score")
+    return found.select("doc_id", (~lm.training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", F.col("trigram_score").alias("score"), F.col("score").alias("pair_score"))
 
 
 def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

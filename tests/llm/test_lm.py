@@ -50,8 +50,8 @@ def test_query(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (r["doc_id"] in held, len(w), sum(one[x] > 0 for x in w), total)
         assert r["base_score"] == pytest.approx(sum(log10(p.get(x, p[""])) for x in w), abs=1e-6 * len(w))
         want = sum(log10((two[h, x] + lm.MASS * p.get(x, p[""])) / (one[h] + lm.MASS)) if one[h] else log10(p.get(x, p[""])) for h, x in zip([None, *w], w))
-        assert abs(r["score"] - want) < 0.02 * len(w) + 1e-6
-        better.append(r["score"] > r["base_score"])
+        assert abs(r["pair_score"] - want) < 0.02 * len(w) + 1e-6
+        better.append(r["pair_score"] > r["base_score"])
     assert np.mean(better) > 0.9
 
 
@@ -73,8 +73,8 @@ def test_trigrams(spark):
     for r in op2_elias_fano_lm(spark, SF).collect():
         w = [None, *words(docs[r["doc_id"]]), None]
         want = log10(after(w[0], w[1])) + sum(log10((three[g, h, x] + lm.MASS * after(h, x)) / (before[g, h] + lm.MASS)) for g, h, x in zip(w, w[1:], w[2:]))
-        assert abs(r["trigram_score"] - want) < 0.02 * len(w) + 1e-6
-        gains.append(r["trigram_score"] - r["score"])
+        assert abs(r["score"] - want) < 0.02 * len(w) + 1e-6
+        gains.append(r["score"] - r["pair_score"])
     assert max(map(abs, gains)) > 1
 
 

@@ -1,6 +1,7 @@
 """Hashes and palettes of pictures that have landed as arrays of pixels, row by row, already at the size that a rule wants."""
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,11 +12,19 @@ EDGE, LEVELS = 8, 4
 BRIGHT, DARK, GREY, LEAST_PIXELS = 235, 20, 18, 50
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hex(bits: Column) -> Column:
     """Bits (an array of booleans, four for each digit) as lower-case hex."""
-    ones = F.transform(bits, lambda b: b.cast("int"))
-    digit = lambda i: F.lower(F.hex((ones[i * 4] * 8 + ones[i * 4 + 1] * 4 + ones[i * 4 + 2] * 2 + ones[i * 4 + 3]).cast("long")))
-    return F.array_join(F.transform(F.sequence(F.lit(0), (F.size(bits) / 4).cast("int") - 1), digit), "")
+
+    def digits(ones: Column) -> Column:
+        digit = lambda i: F.lower(F.hex((ones[i * 4] * 8 + ones[i * 4 + 1] * 4 + ones[i * 4 + 2] * 2 + ones[i * 4 + 3]).cast("long")))
+        return F.array_join(F.transform(F.sequence(F.lit(0), (F.size(ones) / 4).cast("int") - 1), digit), "")
+
+    return _let(F.transform(bits, lambda b: b.cast("int")), digits)
 
 
 def _whole(pixels: Column, size: int, value: Column) -> Column:
@@ -26,7 +35,7 @@ def _whole(pixels: Column, size: int, value: Column) -> Column:
 def average_hash(pixels: Column, edge: int = EDGE) -> Column:
     """Which of edge x edge grey pixels are no darker than their mean. Pictures of another size have none."""
     mean = F.aggregate(pixels, F.lit(0.0), lambda s, p: s + p) / F.size(pixels)
-    return _whole(pixels, edge * edge, _hex(F.transform(pixels, lambda p: p >= mean)))
+    return _whole(pixels, edge * edge, _hex(_let(mean, lambda m: F.transform(pixels, lambda p: p >= m))))
 
 
 def gradient_hash(pixels: Column, width: int = EDGE + 1, height: int = EDGE) -> Column:
@@ -49,10 +58,10 @@ def perceptual_hash(pixels: Column, edge: int = 32) -> Column:
     basis = F.array(*(F.array(*map(F.lit, row)) for row in cosines(edge)))
     lines = F.transform(F.sequence(F.lit(0), F.lit(edge - 1)), lambda r: F.slice(pixels, r * edge + 1, edge))
     across = F.transform(lines, lambda line: F.transform(basis, lambda b: _dot(b, line)))  # edge rows of 8
-    columns = F.transform(F.sequence(F.lit(0), F.lit(EDGE - 1)), lambda c: F.transform(across, lambda row: row[c]))
-    low = F.flatten(F.transform(basis, lambda b: F.transform(columns, lambda column: _dot(b, column))))
-    both = F.struct(low.alias("low"), F.array_sort(F.slice(low, 2, EDGE * EDGE - 1))[(EDGE * EDGE - 2) // 2].alias("median"))
-    bits = F.transform(F.array(both), lambda x: F.transform(x["low"], lambda v: v > x["median"]))[0]
+    turned = _let(across, lambda rows: F.transform(F.sequence(F.lit(0), F.lit(EDGE - 1)), lambda c: F.transform(rows, lambda row: row[c])))
+    low = _let(turned, lambda columns: F.flatten(F.transform(basis, lambda b: F.transform(columns, lambda column: _dot(b, column)))))
+    over = lambda v: _let(F.array_sort(F.slice(v, 2, EDGE * EDGE - 1))[(EDGE * EDGE - 2) // 2], lambda median: F.transform(v, lambda x: x > median))
+    bits = _let(low, over)
     return _whole(pixels, edge * edge, _hex(bits))
 
 
@@ -62,7 +71,6 @@ def palette(pixels: Column) -> Column:
     most, least = (lambda p, f=f: f(p["r"], p["g"], p["b"]) for f in (F.greatest, F.least))
     shown = F.filter(pixels, lambda p: ~((least(p) > BRIGHT) | (most(p) < DARK) | (most(p) - least(p) < GREY)))
     level = lambda v: F.floor(v * LEVELS / 256).cast("int")
-    bins = F.transform(F.when(F.size(shown) >= LEAST_PIXELS, shown).otherwise(pixels), lambda p: level(p["r"]) * LEVELS**2 + level(p["g"]) * LEVELS + level(p["b"]))
-    count = lambda b: F.array_size(F.filter(b, lambda x: x.isNotNull()))
-    shares = F.transform(F.array(bins), lambda own: F.transform(F.sequence(F.lit(0), F.lit(LEVELS**3 - 1)), lambda k: F.round(F.size(F.filter(own, lambda x: x == k)) / count(own), 5)))[0]
-    return F.when(F.size(pixels) > 0, shares)
+    own = _let(shown, lambda left: F.transform(F.when(F.size(left) >= LEAST_PIXELS, left).otherwise(pixels), lambda p: level(p["r"]) * LEVELS**2 + level(p["g"]) * LEVELS + level(p["b"])))
+    share = lambda bins, k: F.round(F.size(F.filter(bins, lambda x: x == k)) / F.size(F.array_compact(bins)), 5)
+    return F.when(F.size(pixels) > 0, _let(own, lambda bins: F.transform(F.sequence(F.lit(0), F.lit(LEVELS**3 - 1)), lambda k: share(bins, k))))

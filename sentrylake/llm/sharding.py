@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Rows are first dealt to logical partitions by a hash of their id. How many rows each partition sends to each slice of each
+Rows are first dealt to logical partitions by a hash of their id and their other columns. How many rows each partition sends to each slice of each
 shard is drawn exactly: a matrix with the partitions' counts and the slices' sizes as its margins, as a uniform random
 permutation would give. Each partition permutes its rows locally and cuts them by its row of the matrix; after the exchange
 each slice permutes what it got. All of it is DataFrame operations; the driver draws the matrix only, whose size depends on
@@ -10,7 +10,7 @@ the number of partitions and slices, not of rows.
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,13 +54,17 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
+def logical_partition(row_id: Column, mark: Column, seed: int, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), row_id, mark), F.lit(blocks)).cast("int")
+
+
 def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """df with shard and slot added: a uniformly random permutation of all rows cut into shards whose counts differ by one
     at most; slots run from 0 without gaps.
 
-    The same ids, whatever the partitions of df, give the same shards; rows that share an id (or have none) are told apart
-    by their other columns, and full repeats by their place among each other, so they part like any rows. Nothing is read
-    but the id for the counts. Nulls, empty texts and extra columns are carried along; clashing columns named shard or slot
+    The same rows, whatever the partitions of df, give the same shards; rows that share an id (or have none) are told apart
+    by their other columns, which deal them to all partitions alike, and full repeats by their place among each other. Counting
+    reads and hashes whole rows for that. Nulls, empty texts and extra columns are carried along; clashing columns named shard or slot
     are replaced. An empty df gives an empty result. One exchange brings rows to their partition, one to their slice.
     """
     own = [c for c, kind in df.dtypes if c not in ("shard", "slot") and not kind.startswith(("map", "variant"))]
@@ -68,7 +72,8 @@ def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 17, id_col: str
     rows = df.count()
     blocks = min(max(LEAST_BLOCKS, -(-rows // BLOCK_ROWS)), MOST_BLOCKS)
     per_shard = max(1, min(-(-rows // (shards * BLOCK_ROWS)), MOST_BLOCKS // shards))
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)).cast("int")
+    mark = F.xxhash64(F.lit(seed + 1), *own)
+    part = logical_partition(F.col(id_col), mark, seed, blocks)
     got = {r["part"]: r["n"] for r in df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # blocks rows
     counts = [got.get(p, 0) for p in range(blocks)]
     slices = [(s, k, start, size) for s, whole in enumerate(shard_sizes(rows, shards)) for k, (start, size) in enumerate(_cuts(whole, per_shard))]
@@ -78,7 +83,7 @@ def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 17, id_col: str
     cuts = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), "array<struct<part:int,cum:array<bigint>>>")).alias("x")).select("x.*")
 
     row = F.struct(*rest)
-    dealt = df.select(row.alias("row"), part.alias("part"), F.xxhash64(F.lit(seed + 1), *own).alias("mark"), F.col(id_col).alias("id")).repartition("part")
+    dealt = df.select(row.alias("row"), part.alias("part"), mark.alias("mark"), F.col(id_col).alias("id")).repartition("part")
     nth = F.row_number().over(Window.partitionBy("part", "mark").orderBy("id"))
     local = dealt.withColumn("nth", nth).withColumn("mix", F.xxhash64(F.lit(seed + 2), "mark", "nth"))
     local = local.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("mix", "mark", "nth")) - 1)

@@ -6,7 +6,9 @@ from math import comb
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from sentrylake.llm import sharding
 from sentrylake.llm.queries import op1_hypergeometric_shards
 from sentrylake.llm.sharding import communication_matrix, hypergeometric, uniform_shards
 from tests.llm.brute import SF2
@@ -66,3 +68,13 @@ def test_matrix_margins():
     counts, sizes = [10, 0, 25, 7], [14, 14, 14]
     m = np.array(communication_matrix(counts, sizes, 3))
     assert m.sum(1).tolist() == counts and m.sum(0).tolist() == sizes and (m >= 0).all()
+
+
+def test_rows_without_an_id_fill_all_partitions(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    part = sharding.logical_partition(F.col("doc_id"), F.xxhash64(F.lit(18), "doc_id", "text"), 17, sharding.LEAST_BLOCKS)
+    sizes = [r["count"] for r in df.groupBy(part.alias("part")).count().collect()]
+    assert len(sizes) == sharding.LEAST_BLOCKS and max(sizes) < 3 * 3000 / len(sizes)
+    rows = uniform_shards(df, 7).collect()
+    counts = [sum(r["shard"] == s for r in rows) for s in range(7)]
+    assert max(counts) - min(counts) <= 1 and len({r["text"] for r in rows}) == 3000

@@ -26,9 +26,11 @@ def url_typosquat_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "SELECT DISTINCT w AS pattern FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w FROM benchmark)"
 
 
-@query(f"""WITH k AS ({_WORDS}), n AS (SELECT DISTINCT length(pattern) AS n FROM k), i AS (SELECT doc_id, text, unnest(range(1, length(text) - 3)) AS i FROM documents),
-    w AS (SELECT doc_id, substr(text, i, n) AS pattern FROM i CROSS JOIN n WHERE i + n - 1 <= length(text))
-    SELECT pattern, count(DISTINCT doc_id) AS documents, count(*) AS places FROM w JOIN k USING (pattern) GROUP BY pattern""")
+@query(f"""WITH k AS (SELECT pattern, len(list_filter(range(1, length(pattern)), lambda b: pattern[:b] = pattern[-b:])) > 0 AS meets_itself FROM ({_WORDS})),
+    m AS (SELECT pattern, meets_itself, text FROM k JOIN documents d ON contains(d.text, k.pattern)),
+    n AS (SELECT pattern, CASE WHEN meets_itself THEN list_sum([len(list_filter(range(1, length(w) + 1), lambda i: substr(w, i, length(pattern)) = pattern)) FOR w IN string_split(text, ' ') IF contains(w, pattern)])
+        ELSE (length(text) - length(replace(text, pattern, ''))) // length(pattern) END AS n FROM m)
+    SELECT pattern, count(*) AS documents, CAST(sum(n) AS BIGINT) AS places FROM n GROUP BY pattern""")
 def benchmark_word_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents and places each longer word of the benchmark stands, within longer words and overlapping too."""
     words = _table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("pattern"))

@@ -502,4 +502,4 @@ def stream_state_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final_state(spark, f"{sf_dir}/events.parquet")
 
 
-from sentrylake.plans import case_queries, catalogue_queries, network_queries, page_queries, picture_queries, state_queries  # noqa: E402, F401 - they register their queries
+from sentrylake.plans import case_queries, catalogue_queries, intake_queries, network_queries, page_queries, picture_queries, state_queries  # noqa: E402, F401 - they register their queries

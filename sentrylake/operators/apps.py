@@ -55,7 +55,8 @@ def permission_signals(permissions: Column) -> Column:
 
 
 def scored_apps(facts: DataFrame, refs: DataFrame | None = None, certs: DataFrame | None = None) -> DataFrame:
-    """facts with brand, found (indicators), signals, score (hundredths) and verdict.
+    """facts with brand, found (indicators), signals, icon_similarity (to the closest of the library, of apps with a brand), score
+    (hundredths) and verdict.
 
     refs is a library of pictures, certs the known signing certificates (brand, cert) of official apps; both small, both optional.
     An app under an official package name is suspect only if its brand's certificates are known and it has none of them. An app
@@ -89,6 +90,8 @@ def scored_apps(facts: DataFrame, refs: DataFrame | None = None, certs: DataFram
     out = out.withColumns({"brand": F.coalesce("_official", F.when(free, F.col("_named.brand")), F.when(alike, F.col("_icon.brand"))), "signals": signals})
     total = F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"])
     capped = F.when(F.col("brand").isNull() | F.exists("signals", lambda s: s["name"] == "official_package_name"), F.least(total, F.lit(60))).otherwise(total)
+    close = F.coalesce(-F.col("_icon.far"), F.lit(0.0))
+    out = out.withColumn("icon_similarity", F.when(F.col("brand").isNotNull() & (close > 0), F.round(close, 3)))
     out = out.withColumn("score", F.least(F.lit(100), capped)).withColumn("verdict", verdict(F.col("score")))
     return out.drop("_official", "_label", "_package", "_of", "_known", "app_refs", "_named", "_icon", "_permits")
 
@@ -102,3 +105,13 @@ def app_entities(apps: DataFrame, origin: str = "origin_url") -> DataFrame:
         of("telegram", F.transform("found.bots", lambda b: F.concat(F.lit("bot:"), b))), of("telegram", F.col("found.telegram")), of("domain", F.array(F.when(host != "", host))),
     )
     return apps.select("sha256", F.posexplode(F.array_distinct(F.filter(rows, lambda e: e["value"].isNotNull()))).alias("nth", "e")).select("sha256", "nth", "e.*")
+
+
+def app_candidates(scored: DataFrame, source: str = "user_report") -> DataFrame:
+    """The asset that each app of scored_apps becomes: url by package and digest, domain (its package), kind, source, score, verdict,
+    brand, visual_similarity and signals, with one of no points for an app that comes from outside the store. An app without
+    package or digest has a null url."""
+    url = F.concat(F.lit("android://"), "package", F.lit("?sha256="), F.substring("sha256", 1, 16))
+    outside = _signal("sideloaded_distribution", 0, F.coalesce("origin_url", F.lit("")) != "")
+    signals = F.array_compact(F.concat("signals", F.array(outside)))
+    return scored.select("sha256", url.alias("url"), F.col("package").alias("domain"), F.lit("app").alias("kind"), F.lit(source).alias("source"), "score", "verdict", "brand", F.col("icon_similarity").alias("visual_similarity"), signals.alias("signals"))

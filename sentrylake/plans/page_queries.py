@@ -225,6 +225,13 @@ def app_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "brand", _joined(F.transform("signals", lambda s: s["name"])).alias("signals"), "score", "verdict")
 
 
+@query(_apps_sql(f"""SELECT 'android://' || package || '?sha256=' || left(sha256, 16) AS url, package AS domain, 'app' AS kind, score, {_VERDICT} AS verdict, brand, NULL::DOUBLE AS visual_similarity,
+    concat_ws(',', nullif(signals, ''), CASE WHEN origin_url IS NOT NULL THEN 'sideloaded_distribution' END) AS signals FROM s"""))
+def app_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.app_candidates(A.scored_apps(_facts(spark, sf_dir), certs=_certs(spark)))
+    return out.select("url", "domain", "kind", "score", "verdict", "brand", "visual_similarity", _joined(F.transform("signals", lambda s: s["name"])).alias("signals"))
+
+
 _APP_ENTITIES = "[{'t': 'package_name', 'v': package}, {'t': 'apk_sha256', 'v': sha256}] || CASE WHEN cert IS NULL THEN [] ELSE [{'t': 'signing_cert', 'v': cert}] END || " + " || ".join(f"list_transform({c}, lambda x: {{'t': '{t}', 'v': {v}}})" for t, c, v in (("domain", "hosts", "x"), ("upi_id", "upi", "x"), ("phone", "phones", "x"), ("telegram", "bots", "'bot:' || x"), ("telegram", "telegram", "x"))) + f" || CASE WHEN origin_url IS NULL THEN [] ELSE [{{'t': 'domain', 'v': {_HOST.format(u='origin_url')}}}] END"
 
 

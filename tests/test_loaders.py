@@ -8,7 +8,7 @@ from sentrylake.functions import markup as H
 from sentrylake.operators import labelled as L
 from sentrylake.operators import reads as R
 from sentrylake.operators import verdicts as V
-from sentrylake.operators.apps import scored_apps
+from sentrylake.operators.apps import app_candidates, scored_apps
 from sentrylake.sources import feeds, landed
 
 
@@ -84,3 +84,6 @@ def test_icons_of_apps(spark):
     assert {r["sha256"]: (r["brand"], [s["name"] for s in r["signals"]], r["score"]) for r in got.collect()} == {
         "same": ("sbi", ["app_icon_impersonation"], 40), "near": ("sbi", ["app_icon_impersonation"], 40), "far": (None, [], 0), "none": (None, [], 0),
     }
+    made = {r["sha256"]: r for r in app_candidates(got.withColumn("origin_url", F.when(F.col("sha256") == "near", "http://x.top/a.apk"))).collect()}
+    assert made["same"]["url"] == "android://com.tool.x?sha256=same" and made["same"]["visual_similarity"] == 1.0 and 0.9 < made["near"]["visual_similarity"] < 1 and made["far"]["visual_similarity"] is None
+    assert [s["name"] for s in made["near"]["signals"]] == ["app_icon_impersonation", "sideloaded_distribution"] and made["far"]["signals"] == []

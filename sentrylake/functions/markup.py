@@ -1,5 +1,4 @@
-"""Parts of HTML as column expressions: tags by patterns, not a browser's tree. Attributes may be quoted either way or not at
-all; tags within comments count; a form that isn't closed is none."""
+"""What addresses, ids and listings stand in HTML, by patterns over its characters; functions.page reads it as tokens."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,34 +10,6 @@ def _html(html: Column) -> Column:
     return F.coalesce(html, F.lit(""))
 
 
-def tags(html: Column, name: str) -> Column:
-    """The attribute texts of all opening tags of a name."""
-    return _all(_html(html), rf"(?i)<{name}\b([^>]*)>", 1)
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute, empty where the tag lacks it."""
-    pattern = rf"""(?i)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
-
-
-def _input(tag: Column) -> Column:
-    kind = F.lower(attribute(tag, "type"))
-    return F.struct(attribute(tag, "name").alias("name"), F.when(kind == "", "text").otherwise(kind).alias("type"))
-
-
-def forms(html: Column) -> Column:
-    """array<struct<action, method, inputs: array<struct<name, type>>>> of the closed forms, in order."""
-    blocks = _all(_html(html), r"(?is)<form\b[^>]*>.*?</form\s*>")
-
-    def form(block: Column) -> Column:
-        head = F.regexp_extract(block, r"(?i)^<form\b([^>]*)>", 1)
-        method = F.lower(attribute(head, "method"))
-        return F.struct(attribute(head, "action").alias("action"), F.when(method == "", "get").otherwise(method).alias("method"), F.transform(tags(block, "input"), _input).alias("inputs"))
-
-    return F.transform(blocks, form)
-
-
 def host_in(url: Column, page_host: Column) -> Column:
     """The host that an address in a page leads to: its own where it names one, otherwise the page's."""
     own = F.lower(F.regexp_extract(url, r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -53,18 +24,11 @@ def absolute(url: Column, page: Column) -> Column:
     return F.when(url.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), url).when(F.startswith(url, F.lit("//")), F.concat(F.regexp_extract(page, r"^([^:/?#]+:)", 1), url)).when(F.startswith(url, F.lit("/")), F.concat(root, url)).otherwise(F.concat(below, url))
 
 
-def external_scripts(html: Column, page_host: Column) -> Column:
-    """Sources of scripts that name a host other than the page's."""
-    sources = F.transform(tags(html, "script"), lambda t: attribute(t, "src"))
+def external_scripts(sources: Column, page_host: Column) -> Column:
+    """Those sources of scripts that name a host other than the page's."""
     return F.filter(sources, lambda s: s.rlike("^(//|http)") & ((page_host == "") | (host_in(s, page_host) != page_host)))
 
 
-def icon_href(html: Column) -> Column:
-    """The last icon link, or null."""
-    links = F.filter(tags(html, "link"), lambda t: F.contains(F.lower(attribute(t, "rel")), F.lit("icon")) & (attribute(t, "href") != ""))
-    return F.when(F.size(links) > 0, attribute(F.element_at(links, -1), "href"))
-
-
 #: Named characters of HTML that titles and prompts use.
 NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
@@ -75,30 +39,6 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(unescaped(text), r"\s+", " "))
-
-
-def title_text(html: Column) -> Column:
-    return _flat(F.array_join(_all(_html(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), " "))
-
-
-def visible_text(html: Column) -> Column:
-    """Text outside tags, scripts and styles, white space as single spaces."""
-    return _flat(F.regexp_replace(_html(html), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]+>", " "))
-
-
-def inline_scripts(html: Column) -> Column:
-    """Bodies of scripts without a source, joined by line ends."""
-    blocks = _all(_html(html), r"(?is)<script\b[^>]*>.*?</script\s*>")
-    own = F.filter(blocks, lambda b: attribute(F.regexp_extract(b, r"(?i)^<script\b([^>]*)>", 1), "src") == "")
-    return F.array_join(F.transform(own, lambda b: F.regexp_replace(b, r"(?is)^<script\b[^>]*>|</script\s*>$", "")), "\n")
-
-
-def placeholders(html: Column) -> Column:
-    return F.filter(F.transform(tags(html, "input"), lambda t: unescaped(attribute(t, "placeholder"))), lambda p: p != "")
-
-
 def apk_links(html: Column, page: Column, most: int = 5) -> Column:
     """Whole URLs of app packages that the page links to, each once, the first few (a feature: one page is evidence enough)."""
     links = _all(_html(html), r"""(?i)href\s*=\s*["']([^"']+?\.apk(?:\?[^"']*)?)["']""", 1)

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import catalogue as C
 from sentrylake.functions import markup as H
+from sentrylake.functions.page import page_of
 from sentrylake.functions.text import jaccard, visible_tokens
-from sentrylake.functions.urls import _signal, any_of, host_of, registered_domain
+from sentrylake.functions.urls import _signal, host_of, registered_domain
 
 HEAD = 20_000
 
@@ -55,25 +56,26 @@ def _any(words: Column, texts: Column) -> Column:
     return F.exists(texts, lambda t: F.contains(t, words))
 
 
-def sensitive_fields(html: Column) -> Column:
-    """The words of the catalogue that name or type a field of a form, or stand in a prompt within one."""
-    fields = F.transform(F.flatten(F.transform(H.forms(html), lambda f: f["inputs"])), lambda i: F.concat(F.lower(i["name"]), F.lit(" "), i["type"]))
-    prompts = F.transform(H.placeholders(html), lambda p: F.lower(p))
+def sensitive_fields(page: Column) -> Column:
+    """The words of the catalogue that name or type a field of a form, or stand in a prompt. page is a PAGE."""
+    fields = F.transform(F.flatten(F.transform(page["forms"], lambda f: f["inputs"])), lambda i: F.concat(F.lower(i["name"]), F.lit(" "), i["type"]))
+    prompts = F.transform(page["prompts"], lambda p: F.lower(p))
     words = F.array(*map(F.lit, C.SENSITIVE_FIELDS))
     return F.filter(words, lambda w: _any(w, fields) | _any(w, prompts) | _any(F.replace(w, F.lit("_"), F.lit(" ")), prompts))
 
 
-def behaviour(pages: DataFrame) -> DataFrame:
+def behaviour(pages: DataFrame, page: str | None = None) -> DataFrame:
     """pages (with url and html) and what their markup does: fields (sensitive words), foreign_form, obfuscated (labels), blob,
-    apk_links and harvest (prompts for credentials). Null HTML has none of these."""
-    host = host_of(F.coalesce("url", F.lit("")))
-    actions = F.transform(H.forms(F.col("html")), lambda f: F.trim(f["action"]))
-    out = pages.withColumns({"_page_host": host, "_page_scripts": H.inline_scripts(F.col("html")), "_page_text": F.lower(H.visible_text(F.col("html"))), "_page_actions": actions})
+    apk_links and harvest (prompts for credentials). Null HTML has none of these. page is a column of html's PAGE, where it has
+    been read before."""
+    out = pages.withColumns({"_page": page_of(F.col("html")) if page is None else F.col(page), "_page_host": host_of(F.coalesce("url", F.lit("")))})
+    actions = F.transform("_page.forms", lambda f: F.trim(f["action"]))
+    out = out.withColumns({"_page_text": F.lower("_page.shown"), "_page_actions": actions})
     foreign = F.exists(F.transform("_page_actions", lambda a: F.when(a != "", H.host_in(a, F.col("_page_host"))).otherwise("")), lambda h: (h != "") & (F.col("_page_host") != "") & (h != F.col("_page_host")))
-    obfuscated = F.array_compact(F.array(*(F.when(F.col("_page_scripts").rlike(p), label) for p, label in C.OBFUSCATION)))
+    obfuscated = F.array_compact(F.array(*(F.when(F.col("_page.scripts").rlike(p), label) for p, label in C.OBFUSCATION)))
     harvest = F.filter(F.array(*map(F.lit, C.HARVEST_PROMPTS)), lambda w: F.contains("_page_text", w))
-    out = out.withColumns({"fields": sensitive_fields(F.col("html")), "foreign_form": foreign, "obfuscated": obfuscated, "apk_links": H.apk_links(F.col("html"), F.col("url")), "harvest": harvest})
-    return out.drop("_page_host", "_page_scripts", "_page_text", "_page_actions")
+    out = out.withColumns({"fields": sensitive_fields(F.col("_page")), "foreign_form": foreign, "obfuscated": obfuscated, "apk_links": H.apk_links(F.col("html"), F.col("url")), "harvest": harvest})
+    return out.drop("_page", "_page_host", "_page_text", "_page_actions")
 
 
 def behaviour_signals(impersonating: Column) -> Column:
@@ -96,7 +98,3 @@ def behaviour_signals(impersonating: Column) -> Column:
             either("credential_harvesting_text", 20, 10, F.size("harvest") > 0),
         )
     )
-
-
-def offline_pattern() -> str:
-    return any_of(C.OFFLINE_MARKERS)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import catalogue as C
 from sentrylake.functions import markup as H
+from sentrylake.functions.page import page_of
 from sentrylake.functions.urls import LEXICAL, _signal, host_of, lexical, owner_of, registered_domain, verdict
 from sentrylake.operators import pages as P
 from sentrylake.operators import visual as V
@@ -54,15 +55,16 @@ def judged(urls: DataFrame, refs: DataFrame | None = None, now: Column | None =
         seen = seen.crossJoin(F.broadcast(library)).withColumn("_alike", F.when(F.col("_named").isNull() & F.col("_look").isNotNull(), V.identified(F.col("shot"), F.col("icon_phash")))).drop("screenshot_refs", "icon_refs", "app_refs")
     else:
         seen = seen.withColumn("_alike", none("string"))
-    seen = V.compared(seen.withColumn("brand", F.when(F.col("_look").isNotNull(), F.coalesce("_named", "_alike")).otherwise(F.col("_named"))), refs)
+    seen = seen.withColumn("_read", page_of(F.col("html")))
+    seen = V.compared(seen.withColumn("brand", F.when(F.col("_look").isNotNull(), F.coalesce("_named", "_alike")).otherwise(F.col("_named"))), refs, "_read")
     seen = seen.withColumns({"visual": F.when(F.col("_look").isNotNull(), F.col("visual")), "visual_signals": F.when(F.col("_look").isNotNull(), F.col("visual_signals"))})
 
-    def tells(df: DataFrame, view: str, into: str) -> DataFrame:
+    def tells(df: DataFrame, view: str, into: str, page: str | None = None) -> DataFrame:
         held = df.withColumnsRenamed({"url": "_url", "html": "_html"}).withColumns({"url": F.coalesce(F.when(F.col(f"{view}.url") != "", F.col(f"{view}.url")), F.col("_url")), "html": F.col(f"{view}.html")})
-        found = P.behaviour(held).withColumn(into, F.when(F.col(view).isNotNull(), P.behaviour_signals(F.col("brand").isNotNull())))
+        found = P.behaviour(held, page).withColumn(into, F.when(F.col(view).isNotNull(), P.behaviour_signals(F.col("brand").isNotNull())))
         return found.drop("url", "html", "fields", "foreign_form", "obfuscated", "apk_links", "harvest").withColumnsRenamed({"_url": "url", "_html": "html"})
 
-    seen = tells(seen, "_look", "_does").withColumn("_phone", F.when(F.col("_look").isNotNull() & F.col("mobile.ok"), F.col("mobile")))
+    seen = tells(seen, "_look", "_does", "_read").withColumn("_phone", F.when(F.col("_look").isNotNull() & F.col("mobile.ok"), F.col("mobile")))
     seen = tells(seen, "_phone", "_does_phone")
     empty = F.array().cast("array<struct<name:string,points:int>>")
     some = lambda c: F.coalesce(c, empty)

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.functions import catalogue as C
-from sentrylake.functions import markup as H
 from sentrylake.functions import similarity as S
+from sentrylake.functions.page import page_of
 from sentrylake.functions.urls import _signal
 
 #: Rows of a reference library that go to every task. A library holds a few pictures of each monitored brand.
@@ -51,12 +51,14 @@ def identified(shot: Column, icon: Column) -> Column:
     return F.when(F.greatest(_sim(by_shot), icon_sim) >= C.SCREENSHOT_MATCH, F.when(icon_sim > _sim(by_shot), by_icon["brand"]).otherwise(by_shot["brand"]))
 
 
-def compared(pages: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+def compared(pages: DataFrame, refs: DataFrame | None = None, page: str | None = None) -> DataFrame:
     """pages (html, brand, shot: struct<phash, dhash>, icon_phash, icon_md5) with visual, the similarity to the brand's own pages
-    (null without brand or evidence), and visual_signals. Without a library only markup and text are compared."""
+    (null without brand or evidence), and visual_signals. Without a library only markup and text are compared. page is a column of html's
+    PAGE, where it has been read before."""
     none = pages.sparkSession.sql("SELECT " + ", ".join(f"CAST(array() AS array<struct<brand:string,look:struct<phash:string,dhash:string>,md5:string>>) AS {k}_refs" for k in ("screenshot", "icon", "app")))
     out = pages.crossJoin(F.broadcast(none if refs is None else packed(refs)))  # one row
-    out = out.withColumns({"_looks": S.looks_of(F.col("brand")), "_title": F.lower(H.title_text(F.col("html"))), "_text": F.lower(H.visible_text(F.col("html"))), "_shot": _sim(best_screenshot(F.col("shot"), F.col("brand"))), "_icon": _sim(best_icon(F.col("icon_phash"), F.col("brand")))})
+    out = out.withColumn("_page", page_of(F.col("html")) if page is None else F.col(page))
+    out = out.withColumns({"_looks": S.looks_of(F.col("brand")), "_title": F.lower("_page.title"), "_text": F.lower("_page.body"), "_shot": _sim(best_screenshot(F.col("shot"), F.col("brand"))), "_icon": _sim(best_icon(F.col("icon_phash"), F.col("brand")))})
     same_icon = F.exists("icon_refs", lambda r: (r["brand"] == F.col("brand")) & (r["md5"] == F.col("icon_md5")))
     out = out.withColumns({"_same": F.coalesce(same_icon, F.lit(False)), "_markup": F.when(F.coalesce("html", F.lit("")) != "", S.structural_similarity(F.col("_title"), F.col("_text"), F.col("_looks")))})
     known = F.col("_looks").isNotNull()
@@ -72,4 +74,4 @@ def compared(pages: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     )
     best = F.greatest(F.when(F.col("_shot") > 0, F.col("_shot")), F.when(F.col("_same"), 1.0).when(F.col("_icon") >= C.ICON_LOOK, F.col("_icon")), F.col("_markup"))
     out = out.withColumns({"visual": F.when(known, F.round(best, 3)), "visual_signals": signals})
-    return out.drop("_looks", "_title", "_text", "_shot", "_icon", "_same", "_markup", "screenshot_refs", "icon_refs", "app_refs")
+    return out.drop("_page", "_looks", "_title", "_text", "_shot", "_icon", "_same", "_markup", "screenshot_refs", "icon_refs", "app_refs")

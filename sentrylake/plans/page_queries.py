@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions import catalogue as C
 from sentrylake.functions import markup as H
 from sentrylake.functions import text as T
+from sentrylake.functions.page import page_of
 from sentrylake.operators import apps as A
 from sentrylake.operators import pages as P
 from sentrylake.operators import verdicts as V
@@ -30,7 +31,7 @@ def _attr(tag: str, name: str) -> str:
 
 
 def _flat_sql(x: str) -> str:
-    for name, char in H.NAMED:
+    for name, char in [*H.NAMED[:-1], ("&copy;", "©"), ("&middot;", "·"), H.NAMED[-1]]:
         x = "replace({}, '{}', '{}')".format(x, name, char.replace("'", "''"))
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
@@ -89,15 +90,41 @@ def page_behaviour_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH c AS ({B.CAPTURES}), f AS (SELECT page_id, unnest({_FORMS}) AS form FROM c)
     SELECT page_id, {_attr("regexp_extract(form, '(?i)^<form([^>]*)>', 1)", "action")} AS action, CASE WHEN {_attr("regexp_extract(form, '(?i)^<form([^>]*)>', 1)", "method")} = '' THEN 'get' ELSE lower({_attr("regexp_extract(form, '(?i)^<form([^>]*)>', 1)", "method")}) END AS method, array_to_string(list_transform(regexp_extract_all(form, '(?i)<input\\b([^>]*)>', 1), lambda t: {_attr("t", "name")} || ':' || {_KIND}), ',') AS inputs FROM f""")
 def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _captures(spark, sf_dir).select("page_id", F.explode(H.forms(F.col("html"))).alias("f"))
+    rows = _captures(spark, sf_dir).select("page_id", F.explode(page_of(F.col("html"))["forms"]).alias("f"))
     return rows.select("page_id", "f.action", "f.method", _joined(F.transform("f.inputs", lambda i: F.concat(i["name"], F.lit(":"), i["type"]))).alias("inputs"))
 
 
+#: What patterns over a page's characters get wrong: forms in comments, > in attributes, what isn't closed, tags in scripts and styles.
+_ODD = [
+    '<!-- <form action="/hidden"><input name="x"></form> --><form action="/a>b" method="POST"><input name="q" placeholder="a &lt; b"></form>',
+    '<form action="/lost"><input name="gone"><form action="/kept"><input name="here"></form><input name="after" placeholder="free">',
+    '<script>var f = "<form action=x></form><title>no</title>"; Enter OTP',
+    '<style>p::after { content: "<input placeholder=no>" }</style><title>Second &amp; last</title><form action="/open"><input name="lost">',
+    "",
+]
+_ODDS = f"SELECT q.page_id, q.url, q.html || CASE q.page_id % {len(_ODD)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ODD)) + f" END AS html FROM ({B.CAPTURES}) q"
+_TAG = '(?:[^>"]|"[^"]*")*'
+_BARE_PAGE = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script\\b.*?</script|style\\b.*?</style)\\s*>', ' ', 'g'), '(?is)<script\\b.*$', ' ')"
+_WITHIN_FORM = f"""list_transform(regexp_extract_all(f, '(?i)<input\\b({_TAG})>', 1), lambda t: {_attr("t", "name")} || ':' || {_KIND})"""
+_CLOSED = """list_transform(list_filter(list_transform(string_split(h, '</form>')[:-2], lambda b: regexp_extract(b, '(?is)^.*(<form\\b.*)$', 1)), lambda f: f <> ''), lambda f: {x})"""
+
+
+@query(f"""WITH c AS (SELECT page_id, {_BARE_PAGE} AS h FROM ({_ODDS})) SELECT page_id, array_to_string({_CLOSED.format(x=_attr(f"regexp_extract(f, '(?i)^<form({_TAG})>', 1)", "action") + " || ' ' || array_to_string(" + _WITHIN_FORM + ", ',')")}, ' | ') AS forms,
+    array_to_string(list_filter(list_transform(regexp_extract_all(h, '(?i)<input\\b({_TAG})>', 1), lambda t: replace(replace({_attr("t", "placeholder")}, '&lt;', '<'), '&amp;', '&')), lambda p: p <> ''), ',') AS prompts, {_flat_sql("array_to_string(regexp_extract_all(h, '(?is)<title>(.*?)</title>', 1), ' ')")} AS title,
+    {_flat_sql(f"regexp_replace(regexp_replace(h, '(?is)<title>.*?</title>', ' ', 'g'), '<{_TAG}>', ' ', 'g')")} AS body FROM c""")
+def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed forms with their inputs, prompts, title and text of pages whose markup isn't plain."""
+    rows = B.sql(spark, sf_dir, _ODDS).select("page_id", page_of(F.col("html")).alias("p"))
+    form = lambda f: F.concat(f["action"], F.lit(" "), _joined(F.transform(f["inputs"], lambda i: F.concat(i["name"], F.lit(":"), i["type"]))))
+    return rows.select("page_id", F.array_join(F.transform("p.forms", form), " | ").alias("forms"), _joined("p.prompts").alias("prompts"), "p.title", "p.body")
+
+
 @query(f"""WITH c AS (SELECT *, {_HOST.format(u="url")} AS host FROM ({B.CAPTURES})) SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?i)<script\\b([^>]*)>', 1), lambda t: {_attr("t", "src")}), lambda x: regexp_matches(x, '^(//|http)') AND (host = '' OR ({_TO}) <> host)), ',') AS scripts,
     nullif(regexp_extract(html, '(?i)<link rel="shortcut icon" href="([^"]+)"', 1), '') AS icon FROM c""")
 def page_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = feeds.host_of(F.col("url"))
-    return _captures(spark, sf_dir).select("page_id", _joined(H.external_scripts(F.col("html"), host)).alias("scripts"), H.icon_href(F.col("html")).alias("icon"))
+    rows = _captures(spark, sf_dir).withColumn("page", page_of(F.col("html")))
+    return rows.select("page_id", _joined(H.external_scripts(F.col("page.sources"), host)).alias("scripts"), F.col("page.icon").alias("icon"))
 
 
 _MARK = "list_filter([{}], lambda m: contains(lower(substr(html, 1, 20000)), m) OR contains(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), m))[1]"

@@ -163,6 +163,21 @@ CONTEXTS = {
     "app_store": ("Application context", ["signing_cert", "package_name", "domain"]), "cybercrime_portal": ("Payment and contact identifiers", ["upi_id", "phone", "telegram", "ip"]), "telecom": ("Fraud phone numbers", ["phone"]),
 }
 WANTS_DOMAINS = ["registrar", "cert_in", "cybercrime_portal"]
+# Headings and other words of reports.
+EVIDENCE, NO_EVIDENCE, NO_CONTEXT, NO_APPS, REPORTED, CLOSING = "Evidence linking these sites:", "  - (none recorded)", "  - (none available)", "  - (no Android applications in this campaign)", "Reported URLs:", "Generated automatically; analyst-reviewed before sending."
+# Why a plan has an item, in the order of plans, and what is added where no contact is known; {} is the item's name.
+RATIONALES = {
+    "registrar": "Suspend the domain registrations held at {}",
+    "hosting": "Remove the content hosted on {}",
+    "bank": "Notify {} so it can warn customers and pursue its own takedowns",
+    "npci": "Freeze the UPI handles collecting victims' payments",
+    "telecom": "Report fraud phone numbers via Sanchar Saathi (Chakshu)",
+    "app_store": "Block the fake apps through Google Play Protect",
+    "safe_browsing": "Warn browser users while takedowns are pending",
+    "cert_in": "Report the coordinated campaign to CERT-In",
+    "cybercrime_portal": "File with the National Cyber Crime Reporting Portal",
+}
+NO_CONTACT = {"registrar": " (no RDAP abuse contact on record; run enrichment)", "bank": " (no published phishing-report address verified)"}
 
 KEYWORDS = [(k, key) for key, _, keywords, _, _ in BRANDS for k in keywords]
 OFFICIAL = [(d, key) for key, _, _, domains, _ in BRANDS for d in domains]

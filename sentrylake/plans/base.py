@@ -107,7 +107,8 @@ CASE_ASSETS = f"""SELECT id, CASE WHEN id % 6 = 0 THEN NULL ELSE 'camp-' || CAST
     CASE WHEN id % 97 = 0 THEN '203.0.113.' || CAST(user_id % 200 AS VARCHAR(12)) ELSE domain END AS domain, 'https://' || domain || '/p' || CAST(id % 7 AS VARCHAR(12)) AS url,
     CASE WHEN id % 4 = 0 THEN NULL ELSE 'Registrar ' || CAST(user_id % 9 AS VARCHAR(12)) END AS registrar, CASE WHEN id % 4 = 1 THEN 'abuse@r' || CAST(user_id % 9 AS VARCHAR(12)) || '.example' END AS registrar_contact,
     CASE WHEN id % 5 < 3 THEN 'AS' || CAST(user_id % 20 AS VARCHAR(12)) END AS asn, CASE WHEN id % 5 < 2 THEN 'Net ' || CAST(user_id % 20 AS VARCHAR(12)) END AS as_name, 'abuse@net' || CAST(user_id % 20 AS VARCHAR(12)) || '.example' AS host_contact,
-    'com.app' || CAST(user_id AS VARCHAR(12)) AS package, md5(CAST(id AS VARCHAR(12))) AS sha256, 'App ' || CAST(user_id AS VARCHAR(12)) AS label, 'Pay|now ' || CAST(id AS VARCHAR(12)) AS excerpt, CASE WHEN id % 3 > 0 THEN 'punycode; ip_host' END AS reasons, user_id
+    'com.app' || CAST(user_id AS VARCHAR(12)) AS package, md5(CAST(id AS VARCHAR(12))) AS sha256, 'App ' || CAST(user_id AS VARCHAR(12)) AS label, 'Pay|now ' || CAST(id AS VARCHAR(12)) AS excerpt, CASE WHEN id % 3 > 0 THEN 'punycode; ip_host' END AS reasons,
+    CASE WHEN id % 3 = 1 THEN '1.' || CAST(id % 10 AS VARCHAR(12)) END AS version, CASE WHEN id % 4 > 0 THEN 'c' || CAST(id % 5 AS VARCHAR(12)) || ',d' || CAST(id % 7 AS VARCHAR(12)) END AS cert_list, CASE WHEN id % 5 = 0 THEN 'http://dl' || CAST(user_id AS VARCHAR(12)) || '.example/a.apk' END AS origin_url, CASE WHEN id % 6 = 1 THEN 'https://shots.example/' || CAST(id AS VARCHAR(12)) || '.png' END AS screenshot, user_id
     FROM ({ASSETS}) z"""
 
 

@@ -16,7 +16,7 @@ from sentrylake.sources import landed
 
 def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = B.sql(spark, sf_dir, B.CASE_ASSETS)
-    return a.withColumns({"host_contacts": F.array("host_contact"), "version": F.lit("1")})
+    return a.withColumns({"host_contacts": F.array("host_contact"), "certs": F.split("cert_list", ",")})
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,27 +189,67 @@ _REASONS = "substr(coalesce(nullif(reasons, ''), 'n/a'), 1, 200)"
 _WHAT = "CASE kind WHEN 'app' THEN 'Android app ' || label || ' (' || package || ')' WHEN 'message' THEN upper(domain) || ' lure \"' || substr(excerpt, 1, 90) || '\"' ELSE url END"
 
 
+_KNOWN = f"""f AS (SELECT campaign, count(*) FILTER (kind = 'web') AS sites, count(*) FILTER (kind = 'app') AS apps, count(*) FILTER (kind = 'message') AS messages, bool_or(kind = 'web' AND NOT {_ADDRESS}) AS named FROM b GROUP BY campaign), l AS (SELECT campaign, list(DISTINCT type) AS linked FROM s GROUP BY campaign),
+    k AS (SELECT c.*, coalesce(sites, 0) AS sites, coalesce(apps, 0) AS apps, coalesce(messages, 0) AS messages, coalesce(named, FALSE) AS named, coalesce(linked, []) AS linked FROM c LEFT JOIN f USING (campaign) LEFT JOIN l USING (campaign))"""
+
+
+def _fixed_sql(*lines: tuple[int, str, str]) -> str:
+    return "unnest(list_filter([" + ", ".join(f"CASE WHEN {when} THEN {{'s': {n}, 'l': {line}}} END" for n, line, when in lines) + "], lambda x: x IS NOT NULL)) AS x"
+
+
+#: Some campaigns have no evidence that links them.
+_LINKS = f"SELECT * FROM ({_SHARED}) WHERE campaign NOT LIKE '%7'"
+
+
 def _report_sql() -> str:
     rows = ", ".join(f"('{r}', '{C.INTROS[r]}', '{C.CONTEXTS[r][0]}', [{_quoted(C.CONTEXTS[r][1])}]::VARCHAR[])" for r in C.INTROS)
-    return B.with_case_assets(f""", c AS ({_CAMPAIGNS}), s AS ({_SHARED}), b AS (SELECT * FROM a WHERE review <> 'false_positive'), t AS (SELECT * FROM c, (VALUES {rows}) v(recipient, intro, label, types))
-        SELECT campaign, recipient, 0 AS section, '' AS at, intro AS line FROM t UNION ALL SELECT campaign, recipient, 1, '', 'Campaign: ' || name || ' (' || size || ' sites, first seen ' || strftime(first_seen, '%Y-%m-%d') || ')' FROM t
-        UNION ALL SELECT campaign, recipient, 2, type || ': ' || value, '  - shared ' || type || ': ' || value FROM t JOIN s USING (campaign) UNION ALL SELECT campaign, recipient, 3, '', label || ':' FROM t
-        UNION ALL SELECT DISTINCT campaign, recipient, 4, domain, '  - domain: ' || domain FROM t JOIN b USING (campaign) WHERE recipient IN ({_quoted(C.WANTS_DOMAINS)}) AND kind = 'web' AND NOT {_ADDRESS}
-        UNION ALL SELECT campaign, recipient, 4, url, '  - ' || url FROM t JOIN b USING (campaign) WHERE recipient = 'safe_browsing' AND kind = 'web' UNION ALL SELECT campaign, recipient, 5, type || ': ' || value, '  - ' || type || ': ' || value FROM t JOIN s USING (campaign) WHERE list_contains(types, type)
-        UNION ALL SELECT campaign, recipient, 6, b.id::VARCHAR, '  - ' || {_WHAT.replace("label", "b.label")} || '  (risk ' || printf('%.2f', points / 100) || ', seen ' || strftime(b.first_seen, '%Y-%m-%d %H:%M') || ' UTC; ' || {_REASONS} || ')' FROM t JOIN b USING (campaign)
-        UNION ALL SELECT campaign, recipient, 7, '', 'Generated automatically; analyst-reviewed before sending.' FROM t""").replace(") , c AS", "), c AS")
+    wants = f"recipient IN ({_quoted(C.WANTS_DOMAINS)})"
+    bare = f"CASE WHEN recipient = 'safe_browsing' THEN sites = 0 ELSE NOT ({wants} AND named) AND NOT list_has_any(linked, types) END"
+    header = "'Campaign: ' || name || ' (' || size || ' sites, first seen ' || strftime(first_seen, '%Y-%m-%d') || ')'"
+    q = lambda x: f"'{x}'"
+    fixed = _fixed_sql((0, "intro", "TRUE"), (1, "''", "TRUE"), (2, header, "TRUE"), (3, "''", "TRUE"), (4, q(C.EVIDENCE), "TRUE"), (5, q(C.NO_EVIDENCE), "len(linked) = 0"), (6, "''", "TRUE"), (7, "label || ':'", "TRUE"), (8, q(C.NO_APPS), "recipient = 'app_store' AND apps = 0"), (10, q(C.NO_CONTEXT), bare), (11, "''", "TRUE"), (12, q(C.REPORTED), "TRUE"), (14, "''", "TRUE"), (15, q(C.CLOSING), "TRUE"))
+    about = "['  - ' || b.label || ' (' || package || ', version ' || coalesce(version, 'unknown') || ')', '      APK SHA-256: ' || sha256] || list_transform(coalesce(string_split(cert_list, ','), []), lambda x: '      signing certificate SHA-256: ' || x) || CASE WHEN origin_url IS NULL THEN [] ELSE ['      distributed from: ' || origin_url] END"
+    risk = f"'  - ' || {_WHAT.replace('label', 'b.label')} || '  (risk ' || printf('%.2f', points / 100) || ', seen ' || strftime(b.first_seen, '%Y-%m-%d %H:%M') || ' UTC; ' || {_REASONS} || ')'"
+    many = lambda section, lines, when: f"SELECT campaign, recipient, {section}, id, i - 1, ls[i] FROM (SELECT campaign, recipient, id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT campaign, recipient, b.id::VARCHAR AS id, {lines} AS ls FROM t JOIN b USING (campaign) WHERE {when}))"
+    return B.with_case_assets(f""", c AS ({_CAMPAIGNS}), s AS ({_LINKS}), b AS (SELECT * FROM a WHERE review <> 'false_positive'), {_KNOWN}, t AS (SELECT * FROM k, (VALUES {rows}) v(recipient, intro, label, types))
+        SELECT campaign, recipient, x.s AS section, '' AS at, 0 AS nth, x.l AS line FROM (SELECT campaign, recipient, {fixed} FROM t)
+        UNION ALL SELECT campaign, recipient, 5, type || ': ' || value, 0, '  - shared ' || type || ': ' || value FROM t JOIN s USING (campaign) UNION ALL {many(8, about, "recipient = 'app_store' AND kind = 'app'")}
+        UNION ALL SELECT DISTINCT campaign, recipient, 8, domain, 0, '  - domain: ' || domain FROM t JOIN b USING (campaign) WHERE {wants} AND kind = 'web' AND NOT {_ADDRESS}
+        UNION ALL SELECT campaign, recipient, 8, b.id::VARCHAR, 0, '  - ' || url FROM t JOIN b USING (campaign) WHERE recipient = 'safe_browsing' AND kind = 'web' UNION ALL SELECT campaign, recipient, 9, type || ': ' || value, 0, '  - ' || type || ': ' || value FROM t JOIN s USING (campaign) WHERE list_contains(types, type)
+        UNION ALL {many(13, f"[{risk}] || CASE WHEN screenshot IS NULL THEN [] ELSE ['      screenshot evidence: ' || screenshot] END", "TRUE")}""").replace(") , c AS", "), c AS")
 
 
 @query(_report_sql())
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.report_lines(B.sql(spark, sf_dir, B.with_case_assets(_CAMPAIGNS)), _assets(spark, sf_dir), B.sql(spark, sf_dir, B.with_case_assets(_SHARED)))
+    return X.report_lines(B.sql(spark, sf_dir, B.with_case_assets(_CAMPAIGNS)), _assets(spark, sf_dir), B.sql(spark, sf_dir, B.with_case_assets(_LINKS)))
 
 
-@query(B.with_case_assets("""SELECT campaign, lpad(CAST(1000 - points AS VARCHAR), 4, '0') || '-' || id AS at, '| `' || CASE kind WHEN 'app' THEN label || ' (' || package || ')' WHEN 'message' THEN replace(substr(excerpt, 1, 80), '|', '/') ELSE url END || '` | ' || kind || ' | ' || printf('%.2f', points / 100) || ' | ' || verdict || ' | ' || review || ' | ' || CASE WHEN id % 2 = 0 THEN 'b, c, a' ELSE 'c' END || ' |' AS line FROM a WHERE campaign IS NOT NULL AND review <> 'false_positive'"""))
+#: Cases of some campaigns, as their events left them.
+_CASES = "SELECT 'camp-' || CAST(user_id % 40 AS VARCHAR(12)) AS campaign, event_id AS case_id, CASE WHEN event_id % 2 = 0 THEN 'bank' ELSE 'registrar' END AS recipient, CASE WHEN event_id % 3 = 0 THEN 'abuse@r.example' END AS contact, CASE WHEN event_id % 5 = 0 THEN 'sent' ELSE 'drafted' END AS status, ts AS updated_at FROM events WHERE event_id % 11 = 0 AND user_id % 40 > 9"
+
+
+def _dossier_sql() -> str:
+    lines = [(0, "'# ' || name"), (1, "''"), (2, "'- Campaign id: `' || campaign || '`'"), (3, "'- Assets: ' || size || ' (' || sites || ' sites, ' || apps || ' apps, ' || messages || ' messages)'"), (4, "'- First seen: ' || strftime(first_seen, '%Y-%m-%d %H:%M') || ' UTC; last seen ' || strftime(last_seen, '%Y-%m-%d %H:%M') || ' UTC'"), (5, "''"), (6, "'## Linking evidence'"), (7, "''"), (9, "''"), (10, "'## Assets'"), (11, "''"), (12, "'| asset | kind | risk | verdict | review | top signals |'"), (13, "'|---|---|---|---|---|---|'"), (15, "''"), (16, "'## Takedown plan'"), (17, "''"), (19, "''"), (20, "'## Takedown cases'"), (21, "''")]
+    fixed = _fixed_sql(*((n, x, "TRUE") for n, x in lines), (8, "'- none'", "len(linked) = 0"), (22, "'- none yet'", "campaign NOT IN (SELECT campaign FROM z)"))
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    brand = "CASE name " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t, *_ in C.BRANDS) + " ELSE name END"
+    why = "CASE recipient " + " ".join(f"WHEN '{r}' THEN replace({text(v)}, '{{}}', {brand if r == 'bank' else 'name'})" for r, v in C.RATIONALES.items()) + " END || CASE WHEN len(c) > 0 THEN '' " + " ".join(f"WHEN recipient = '{r}' THEN {text(v)}" for r, v in C.NO_CONTACT.items()) + " ELSE '' END"
+    way = "CASE WHEN len(c) = 0 THEN 'lookup_required' WHEN len(list_filter(c, lambda x: NOT contains(x, '@'))) = 0 THEN 'email' WHEN len(list_filter(c, lambda x: starts_with(x, 'http'))) > 0 THEN 'web_form' ELSE 'phone' END"
+    asset = "CASE kind WHEN 'app' THEN label || ' (' || package || ')' WHEN 'message' THEN replace(substr(excerpt, 1, 80), '|', '/') ELSE url END"
+    return _plan_sql(f""", c AS ({_CAMPAIGNS}), s AS ({_LINKS}), {_KNOWN}, z AS ({_CASES}), i AS (SELECT campaign, recipient, name, list_sort(list_distinct(flatten(list(contacts)))) AS c, count(DISTINCT target) AS targets FROM t GROUP BY ALL)
+        SELECT campaign, x.s AS section, '' AS at, x.l AS line FROM (SELECT campaign, {fixed} FROM k) UNION ALL SELECT campaign, 8, type || ': ' || value, '- ' || type || ': `' || value || '`' FROM s
+        UNION ALL SELECT campaign, 14, lpad(CAST(1000 - points AS VARCHAR), 4, '0') || '-' || id, '| `' || {asset} || '` | ' || kind || ' | ' || printf('%.2f', points / 100) || ' | ' || verdict || ' | ' || review || ' | ' || CASE WHEN id % 2 = 0 THEN 'b, c, a' ELSE 'c' END || ' |' FROM b
+        UNION ALL SELECT campaign, 18, list_position([{_quoted(list(C.RATIONALES))}], recipient) || '-' || name, '- **' || recipient || '** via ' || {way} || ' (' || CASE WHEN len(c) = 0 THEN 'lookup required' ELSE array_to_string(c, ', ') END || '): ' || {why} || '; ' || targets || ' target(s)' FROM i
+        UNION ALL SELECT campaign, 22, case_id::VARCHAR, '- `' || case_id || '` ' || recipient || ' -> ' || coalesce(contact, 'n/a') || ': **' || status || '**, updated ' || strftime(updated_at, '%Y-%m-%d %H:%M') || ' UTC' FROM z WHERE campaign IN (SELECT campaign FROM c)""").replace(") , c AS", "), c AS")
+
+
+@query(_dossier_sql())
 def dossier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = lambda n, p: F.struct(F.lit(n).alias("name"), F.lit(p).alias("points"))
     some = F.when(F.col("id") % 2 == 0, F.array(signal("a", 10), signal("b", 30), signal("c", 20), signal("d", 5))).otherwise(F.array(signal("z", 0), signal("c", 20)))
-    return X.dossier_lines(_assets(spark, sf_dir).withColumn("signals", some))
+    a, e = _assets(spark, sf_dir), _entities(spark, sf_dir)
+    campaigns, shared = (B.sql(spark, sf_dir, B.with_case_assets(x)) for x in (_CAMPAIGNS, _LINKS))
+    return X.dossier_lines(campaigns, a.withColumn("signals", some), shared, K.plan(K.plan_targets(a, e)), B.sql(spark, sf_dir, _CASES))
 
 
 @query(B.with_case_assets("""SELECT campaign, 'member' AS kind, '{"campaign":"' || campaign || '","id":' || id || ',"url":"' || url || '"' || CASE WHEN brand IS NULL THEN '' ELSE ',"brand":"' || brand || '"' END || '}' AS object FROM a WHERE campaign IS NOT NULL"""))

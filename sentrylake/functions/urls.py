@@ -191,16 +191,17 @@ def any_of(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def lexical(df, url: str = "url"):
+def lexical(df, url: str = "url", registered: str | None = None):
     """df with host, registered, skel, owner, keyword, brand, signals (array of name and points), score (hundredths, 100 at
-    most) and verdict of each URL. A null URL has an empty host and no brand.
+    most) and verdict of each URL. A null URL has an empty host and no brand. registered is a column that holds the host's
+    registered name by a list of suffixes (landed.with_registered); without one a short list serves.
 
     The one call of Python is made first, on the host; what follows is native and stands in layers, so that no layer repeats
     another's expressions.
     """
     text = F.coalesce(F.col(url), F.lit(""))
     out = df.withColumn("host", host_of(text)).withColumn("odd", labels(F.col("host")))
-    out = out.withColumns({"registered": registered_domain(F.col("host")), "decoded": decoded_labels(F.col("host"), F.col("odd")), "looks": skeleton_labels(F.col("host"), F.col("odd"))})
+    out = out.withColumns({"registered": registered_domain(F.col("host")) if registered is None else F.coalesce(registered, F.lit("")), "decoded": decoded_labels(F.col("host"), F.col("odd")), "looks": skeleton_labels(F.col("host"), F.col("odd"))})
     deep = F.greatest(F.size("looks") - F.size(F.split("registered", r"\.")), F.lit(0))
     within = F.endswith("host", F.col("registered"))
     own = F.slice("looks", F.lit(1), deep)

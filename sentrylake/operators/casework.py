@@ -26,13 +26,19 @@ def _fixed(recipient: str) -> Column:
     return F.array(*map(F.lit, C.FIXED_CHANNELS[recipient]))
 
 
+def _name(assets: DataFrame) -> Column:
+    own = registered_domain(F.col("domain"))
+    return F.coalesce("registered", own) if "registered" in assets.columns else own
+
+
 def plan_targets(assets: DataFrame, entities: DataFrame) -> DataFrame:
     """Distinct (campaign, recipient, name, contacts, target): who to contact about what, for each campaign.
 
     assets: id, campaign, kind, review, domain, url, brand, registrar, registrar_contact, asn, as_name, host_contacts, package and
     sha256 (of apps); entities: id, type, value. False positives count for nothing, nor do assets without a campaign. Registrars
     get registered names, platforms or networks the URLs on them, brands the URLs that imitate them, the payment and telecom
-    bodies the handles and numbers, the app store and the browser lists what is theirs, and the two authorities the campaign.
+    bodies the handles and numbers, the app store and the browser lists what is theirs, and the two authorities the campaign. Where
+    assets have a column registered (landed.with_registered), it is the name that registrars get.
     """
     active = assets.where("campaign IS NOT NULL AND review <> 'false_positive'")
     web = active.where("kind = 'web'").withColumn("platform", hosting_platform(F.col("domain")))
@@ -43,7 +49,7 @@ def plan_targets(assets: DataFrame, entities: DataFrame) -> DataFrame:
     network = F.trim(F.concat(F.col("asn"), F.lit(" "), F.coalesce("as_name", F.lit(""))))
     campaigns = active.select("campaign").distinct()
     parts = [
-        _rows(web.where(F.col("platform").isNull() & ~is_address(F.col("domain"))), "registrar", F.coalesce("registrar", F.lit("unknown registrar")), one(F.col("registrar_contact")), registered_domain(F.col("domain"))),
+        _rows(web.where(F.col("platform").isNull() & ~is_address(F.col("domain"))), "registrar", F.coalesce("registrar", F.lit("unknown registrar")), one(F.col("registrar_contact")), _name(assets)),
         _rows(web.where("platform IS NOT NULL"), "hosting", F.col("platform"), one(abuse[F.col("platform")]), F.col("url")),
         _rows(web.where("platform IS NULL AND asn IS NOT NULL"), "hosting", network, F.coalesce("host_contacts", F.array().cast("array<string>")), F.col("url")),
         _rows(active.where("brand IS NOT NULL"), "bank", F.col("brand"), own[F.col("brand")], F.col("url")),
@@ -75,7 +81,7 @@ def case_targets(assets: DataFrame, entities: DataFrame) -> DataFrame:
     active = assets.where("campaign IS NOT NULL AND review <> 'false_positive'")
     used = entities.join(active.select("id", "campaign"), "id")
     of = lambda df, recipient, target: df.select("campaign", F.lit(recipient).alias("recipient"), target.alias("target"))
-    out = of(active.where((F.col("kind") == "web") & ~is_address(F.col("domain"))), "registrar", registered_domain(F.col("domain")))
+    out = of(active.where((F.col("kind") == "web") & ~is_address(F.col("domain"))), "registrar", _name(assets))
     for recipient, kind in (("npci", "upi_id"), ("telecom", "phone")):
         out = out.unionByName(of(used.where(F.col("type") == kind), recipient, F.col("value")))
     out = out.unionByName(of(active.where("kind = 'app'"), "app_store", F.col("url")))

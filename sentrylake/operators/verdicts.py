@@ -10,6 +10,7 @@ from sentrylake.functions.urls import LEXICAL, _signal, host_of, lexical, owner_
 from sentrylake.operators import pages as P
 from sentrylake.operators import visual as V
 from sentrylake.operators.casework import age_signal
+from sentrylake.sources.landed import with_registered
 
 APK_TYPE = "application/vnd.android.package-archive"
 #: A capture of a page. hops is the number of addresses that led to url; shot holds the hashes of the screenshot.
@@ -21,12 +22,13 @@ def _prefixed(signals: Column, known: Column) -> Column:
     return F.transform(F.filter(signals, lambda s: ~F.array_contains(names, s["name"])), lambda s: F.struct(F.concat(F.lit("landing_"), s["name"]).alias("name"), s["points"].alias("points")))
 
 
-def judged(urls: DataFrame, refs: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+def judged(urls: DataFrame, refs: DataFrame | None = None, now: Column | None = None, rules: DataFrame | None = None) -> DataFrame:
     """urls (url; page, mobile and crawler: captures as VIEW or null; created: the domain's registration or null) with host, brand,
     visual, live, signals, score (hundredths), verdict, and stages (points of the URL alone, with its look, with all).
 
     Without a capture only the letters and the domain's age count. A page that is gone is noted and not looked at; one that the
-    brand itself serves adds nothing. Of a mobile view only what the page itself lacks is added. refs is a library of pictures.
+    brand itself serves adds nothing. Of a mobile view only what the page itself lacks is added. refs is a library of pictures,
+    rules a list of suffixes (landed.suffix_rules) by which the names of the URL and of where it leads are registered.
     """
     own = [c for c in urls.columns if c not in ("page", "mobile", "crawler", "created")]
     none = lambda kind: F.lit(None).cast(kind)
@@ -34,18 +36,26 @@ def judged(urls: DataFrame, refs: DataFrame | None = None, now: Column | None =
     for view in ("page", "mobile", "crawler"):
         out = out if view in urls.columns else out.withColumn(view, none(VIEW))
     out = out if "created" in urls.columns else out.withColumn("created", none("timestamp"))
-    out = lexical(out).withColumnsRenamed({c: f"_{c}" for c in LEXICAL})
+
+    def letters(df: DataFrame, url: str) -> DataFrame:
+        if rules is None:
+            return lexical(df, url)
+        held = with_registered(df.withColumn("_url_host", host_of(F.coalesce(url, F.lit("")))), rules, "_url_host", "_url_name")
+        return lexical(held, url, "_url_name").drop("_url_host", "_url_name")
+
+    out = letters(out, "url").withColumnsRenamed({c: f"_{c}" for c in LEXICAL})
     # a direct download is an app, not a page
     app = F.coalesce(F.col("page.content_type") == APK_TYPE, F.lit(False)) | H.is_apk_url(F.coalesce("url", F.lit("")))
     out = out.withColumns({"_apk": app, "page": F.when(~F.coalesce(F.col("page.content_type") == APK_TYPE, F.lit(False)), F.col("page"))})
     gone = F.when(F.col("page").isNotNull(), P.offline_reason(F.col("page.ok"), F.col("page.status"), F.col("page.html")))
     out = out.withColumn("_gone", gone).withColumns({"live": F.when(F.col("page").isNotNull(), F.col("_gone").isNull()), "_seen": F.when(F.col("_gone").isNull(), F.col("page"))})
     final = F.coalesce(F.when(F.col("_seen.url") != "", F.col("_seen.url")), F.col("url"))
-    out = out.withColumn("_final", F.when(F.col("_seen").isNotNull(), final)).withColumn("_site", registered_domain(host_of(F.coalesce("_final", F.lit("")))))
+    out = out.withColumn("_final", F.when(F.col("_seen").isNotNull(), final)).withColumn("_final_host", host_of(F.coalesce("_final", F.lit(""))))
+    out = (out.withColumn("_site", registered_domain(F.col("_final_host"))) if rules is None else with_registered(out, rules, "_final_host", "_site")).drop("_final_host")
     out = out.withColumn("_ours", owner_of(F.col("_site")).isNotNull() & F.col("_seen").isNotNull())
     moved = F.col("_seen").isNotNull() & ~F.col("_ours") & (F.col("_site") != F.col("_registered")) & (F.col("_seen.hops") > 1)
     out = out.withColumn("_moved", F.coalesce(moved, F.lit(False))).withColumn("_landing", F.when(F.col("_moved"), F.col("_final")))
-    out = lexical(out, "_landing").withColumnsRenamed({"brand": "_land_brand", "signals": "_land_signals"}).drop("host", "registered", "skel", "owner", "keyword", "score", "verdict")
+    out = letters(out, "_landing").withColumnsRenamed({"brand": "_land_brand", "signals": "_land_signals"}).drop("host", "registered", "skel", "owner", "keyword", "score", "verdict")
     look = F.when(F.col("_seen").isNotNull() & ~F.col("_ours"), F.col("_seen"))
     out = out.withColumn("_look", look)
     named = F.coalesce("_brand", F.when(F.col("_moved"), F.col("_land_brand")))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions import catalogue as C
+from sentrylake.functions.urls import host_of, lexical
 from sentrylake.operators import casework as K
 from sentrylake.operators import exports as X
 from sentrylake.operators import labelled as L
@@ -293,6 +294,18 @@ def suffix_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.registered_by(B.sql(spark, sf_dir, _HOSTS), rules)
 
 
+_LOGIN = f"SELECT id, 'https://login.' || host || '/' || CAST(id AS VARCHAR(12)) AS url FROM ({_HOSTS}) h"
+
+
+@query("""SELECT id, 'login.' || CASE m WHEN 0 THEN 'a.b' || u || '.co.in' WHEN 1 THEN 'x' || u || '.web.app' WHEN 2 THEN 'www.ck' WHEN 3 THEN 'a.b' || u || '.ck' WHEN 4 THEN 'co.in' WHEN 5 THEN 'u' || u || '.ne.jp' WHEN 6 THEN 'no.rule' ELSE 'y.z' || u || '.com' END AS host,
+    CASE m WHEN 0 THEN 'b' || u || '.co.in' WHEN 1 THEN 'x' || u || '.web.app' WHEN 2 THEN 'www.ck' WHEN 3 THEN 'a.b' || u || '.ck' WHEN 4 THEN 'login.co.in' WHEN 5 THEN 'u' || u || '.ne.jp' WHEN 6 THEN 'no.rule' ELSE 'z' || u || '.com' END AS registered FROM (SELECT event_id AS id, event_id % 8 AS m, user_id AS u FROM events)""")
+def url_registered_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lexical rules take for registered names under a list of suffixes."""
+    rules = landed.suffix_rules(spark.createDataFrame([(r,) for r in _RULES], "value string"))
+    rows = B.sql(spark, sf_dir, _LOGIN).withColumn("site", host_of(F.col("url")))
+    return lexical(landed.with_registered(rows, rules, "site", "name"), "url", "name").select("id", "host", "registered")
+
+
 # labelled sets
 _FEED = f"SELECT CASE WHEN id % 2 = 0 THEN 'links' ELSE 'openlist' END AS source, id % 2 AS rank, id AS nth, CASE WHEN id % 29 = 0 THEN '# ' || url WHEN id % 31 = 0 THEN url || ' x' ELSE url END AS value FROM ({B.URL_ROWS}) q"
 _RANKING = "SELECT event_id + 1 AS rank, CASE event_id % 6 WHEN 0 THEN 'news' || CAST(user_id AS VARCHAR(12)) || '.com' WHEN 1 THEN 'upimarket' || CAST(user_id AS VARCHAR(12)) || '.com' WHEN 2 THEN 'paytm.com' WHEN 3 THEN 'site' || CAST(event_id AS VARCHAR(12)) || '.net' WHEN 4 THEN 'payment' || CAST(user_id + 100 AS VARCHAR(12)) || '.com' ELSE 'blog' || CAST(event_id % 50 AS VARCHAR(12)) || '.org' END AS domain FROM events"

@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrylake.functions.catalogue import EXTRA_SUFFIXES
+from sentrylake.functions.urls import is_ip, registered_domain
+
 ENTITY = "struct<roles:array<string>,vcardArray:array<string>,entities:array<struct<roles:array<string>,vcardArray:array<string>>>>"
 RDAP = f"struct<events:array<struct<eventAction:string,eventDate:string>>,entities:array<{ENTITY}>>"
 
@@ -93,3 +96,14 @@ def registered_by(hosts: DataFrame, rules: DataFrame, host: str = "host") -> Dat
     best = hit.groupBy("host").agg(F.max_by("depth", F.struct((F.col("kind") == "exception").alias("e"), "depth")).alias("depth"))
     out = parts.join(best, "host", "left")
     return out.select("host", F.array_join(F.slice("x", -F.col("depth"), F.col("depth")), ".").alias("suffix"), F.when(F.size("x") > F.col("depth"), F.array_join(F.slice("x", -(F.col("depth") + 1), F.col("depth") + 1), ".")).alias("registered"))
+
+
+def with_registered(df: DataFrame, rules: DataFrame, host: str = "host", into: str = "registered") -> DataFrame:
+    """df with the registered name of each row's host under the rules (suffix_rules) and the suffixes of banks. Hosts that no rule
+    fits, bare suffixes and addresses have what urls.registered_domain gives. Each host is looked up once, however many rows have
+    it; a host that very many rows share is on the side that adaptive execution splits."""
+    extra = df.sparkSession.createDataFrame([(s, "plain") for s in EXTRA_SUFFIXES], "rule string, kind string")
+    known = registered_by(df, rules.select("rule", "kind").unionByName(extra).distinct(), host).select(F.col("host").alias("_known_host"), F.col("registered").alias("_known_name"))
+    out = df.join(known, F.col(host) == F.col("_known_host"), "left")
+    name = F.when(is_ip(F.coalesce(host, F.lit(""))), F.col(host)).otherwise(F.coalesce("_known_name", registered_domain(F.col(host))))
+    return out.withColumn(into, name).drop("_known_host", "_known_name")

@@ -46,6 +46,8 @@ SKETCH_BITS = 1024
 SAMPLED, HEAVY_SHARE, HEAVY_ROWS, PARTS = 64, 1e-5, 8, 64
 #: Tasks that the rows of a hot key are dealt to where each of them needs one row of the key's own.
 DEALT = 16
+#: Parts that the sets of a component are dealt to, by their hash.
+SPREAD = 1024
 #: Hot keys that a document must share with a group's first member to be compared to it straight away.
 ALIKE = 4
 
@@ -345,8 +347,11 @@ def _classes(docs: DataFrame, numerator: int = 75, denominator: int = 100) -> Da
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
     least = sets.where("set_key is not null").groupBy("set_key").agg(F.min(row).alias("least"))
     smallest = least.join(named, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    whole = smallest.groupBy("comp").agg(F.min("least").alias("first"))
-    classes = smallest.join(whole, "comp").select("set_key", "first")
+    # a component may hold a third of all sets: its parts meet, and then its sets meet their part
+    smallest = smallest.withColumn("part", F.pmod(F.xxhash64("set_key"), F.lit(SPREAD)))
+    parts = smallest.groupBy("comp", "part").agg(F.min("least").alias("least"))
+    whole = parts.groupBy("comp").agg(F.min("least").alias("first"))
+    classes = smallest.join(parts.select("comp", "part").join(whole, "comp"), ["comp", "part"]).select("set_key", "first")
     alone = F.col("set_key").isNull()
     return sets.join(classes, "set_key", "left").select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.when(~alone, F.col("first")).alias("first"))
 

@@ -22,7 +22,8 @@ def _uses(assets: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, kind, campaign, source, target, type, value, links): each use of an entity that isn't the asset's own node."""
     own = assets.select("id", "kind", "campaign", asset_node(F.col("kind"), F.col("package"), F.col("id"), F.col("domain")).alias("source"))
     rows = entities.where("type IS NOT NULL AND value IS NOT NULL").select("id", "type", "value", strongly_linking(F.col("type"), F.col("value"), F.col("shared_hosting")).alias("links"))
-    return own.join(rows, "id").withColumn("target", F.concat_ws(":", "type", "value")).where("source <> target")
+    # assets are as many as a table's rows, whatever their files' size suggests: none of the two goes to all tasks
+    return own.hint("merge").join(rows, "id").withColumn("target", F.concat_ws(":", "type", "value")).where("source <> target")
 
 
 def _networks(assets: DataFrame) -> DataFrame:

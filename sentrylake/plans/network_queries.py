@@ -12,9 +12,8 @@ _USED = "SELECT * FROM e UNION ALL SELECT id, 'domain', lower(domain), FALSE FRO
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = N.scope(B.sql(spark, sf_dir, _ROWS))
-    e = B.sql(spark, sf_dir, f"WITH a AS ({B.CASE_ASSETS}), e AS ({B.ENTITIES}), x AS ({_USED}) SELECT * FROM x")
-    return a, e.join(a.select("id"), "id", "left_semi")
+    """The assets that are drawn, and all entities; the graph takes those of its assets."""
+    return N.scope(B.sql(spark, sf_dir, _ROWS)), B.sql(spark, sf_dir, f"WITH a AS ({B.CASE_ASSETS}), e AS ({B.ENTITIES}), x AS ({_USED}) SELECT * FROM x")
 
 
 def _graph_sql(tail: str) -> str:
@@ -52,4 +51,5 @@ def network_edges_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_graph_sql("SELECT id, type, list_sort(list_distinct(list(value))) AS \"values\" FROM x JOIN g USING (id) GROUP BY id, type"))
 def asset_entities_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.by_type(_graph(spark, sf_dir)[1])
+    a, e = _graph(spark, sf_dir)
+    return N.by_type(e.join(a.select("id").hint("merge"), "id", "left_semi"))

@@ -1,5 +1,7 @@
 """The graph of a few assets, worked out by hand, and the cases of a plan's items."""
 
+import importlib
+
 from sentrylake.operators import network as N
 
 ASSETS = "id int, kind string, domain string, package string, excerpt string, campaign string, points int, verdict string, brand string, ip string, asn string, as_name string"
@@ -53,3 +55,13 @@ def test_cases_of_items(spark):
     cases = [(10, "bank", "a@b", ["u2", "u3", "u2"]), (11, "bank", "other", ["u1", "u2"]), (12, "npci", "x", []), (13, "npci", None, ["u3"])]
     got = N.cases_of_items(spark.createDataFrame(items, "item int, recipient string, contacts array<string>, targets array<string>"), spark.createDataFrame(cases, "case_id int, recipient string, contact string, targets array<string>"))
     assert sorted(map(tuple, got.collect())) == [(1, 10), (2, 10), (2, 11), (3, 12), (6, 13)]
+
+
+def test_assets_stay_off_the_driver(spark):
+    """Assets and entities of small files, but very many rows, went to the driver and to every task."""
+    a, e = _graph(spark)
+    entry = importlib.import_module("__spark_entry__")
+    plans = [N.edges(a, e), N.nodes(a, e), *(entry.queries()[q](spark, "/root/testdata/sf0.001") for q in ("network_nodes", "network_edges", "asset_entities_by_type"))]
+    for df in plans:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "Join [id" in plan and "BroadcastHashJoin [id" not in plan

@@ -65,3 +65,8 @@ def test_assets_stay_off_the_driver(spark):
     for df in plans:
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "Join [id" in plan and "BroadcastHashJoin [id" not in plan
+
+
+def test_edges_shown_stay_off_the_driver(spark):
+    plan = importlib.import_module("__spark_entry__").queries()["network_edges_shown"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Join [id" in plan and "BroadcastHashJoin [id" not in plan

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrylake.functions import imaging as I
+from sentrylake.operators import lookalike
 from sentrylake.operators.lookalike import bits_apart, most_similar
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,24 @@ def test_a_large_library(spark):
     pairs = rows.crossJoin(F.broadcast(refs)) if rows.count() == 100 else None  # brute force
     best = pairs.groupBy("id").agg(F.min(F.struct(bits_apart(F.col("hash"), F.col("ref_hash")).alias("a"), "ref")).alias("x")).where("x.a <= 9").select("id", "x.ref")
     assert sorted(map(tuple, most_similar(rows, refs, "id").select("id", "ref").collect())) == sorted(map(tuple, best.collect()))
+
+
+def test_few_equal_bits(spark):
+    """Where 19 of 64 bits may differ, nearly all pairs share a piece: they meet by blocks, more than one of each side, and ties go to
+    the smallest reference across blocks."""
+    rng = random.Random(7)
+    refs = [(f"r{k:04d}", rng.getrandbits(64)) for k in range(300)]
+    refs += [(f"q{k:04d}", v) for k, (_, v) in enumerate(refs[:20])]
+    rows = [(k, rng.getrandbits(64) if k % 2 else refs[k][1] ^ rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64)) for k in range(250)]
+    want = {(k, min((((v ^ r).bit_count(), i) for i, r in refs))) for k, v in rows}
+    hexed = lambda pairs: [(k, f"{v:016x}") for k, v in pairs]
+    most, lookalike.BLOCK = lookalike.BLOCK, 64
+    try:
+        found = most_similar(spark.createDataFrame(hexed(rows), "id long, hash string"), spark.createDataFrame(hexed(refs), "ref string, ref_hash string"), "id", 0.7)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        got = set(map(tuple, found.collect()))
+    finally:
+        lookalike.BLOCK = most
+    assert got == {(k, ref, 1 - apart / 64) for k, (apart, ref) in want if apart <= 19} and len(got) > 100
+    assert "MapInArrow" in plan
+    assert most_similar(spark.createDataFrame([], "id long, hash string"), spark.createDataFrame(hexed(refs), "ref string, ref_hash string"), "id", 0.7).count() == 0

@@ -1,5 +1,6 @@
 """Pages read as tokens: what patterns over characters get wrong, and hard rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,11 @@ def test_behaviour_reads_tokens_once(spark):
     assert [(len(got[i].fields) > 0, got[i].foreign_form, len(got[i].obfuscated) > 0) for i in range(3)] == [(False, False, False), (True, True, True), (False, False, False)]
     again = P.behaviour(rows.withColumn("read", page_of(F.col("html"))), "read").drop("read")
     assert {r.id: r for r in again.collect()} == got
+
+
+def test_pages_leave_in_pieces():
+    """A batch of pages was one array of objects; small pages leave by number, large ones by size, in order."""
+    small, large = [f"<title>{i}</title>" for i in range(3000)], ["<p>" + "x" * 500_000 + f"</p><title>{i}</title>" for i in range(9)]
+    got = list(page_of.func(iter([pa.array(small + large), pa.array([], pa.string()), pa.array([None])])))
+    assert [x["title"].as_py() for p in got for x in p] == [str(i) for i in range(3000)] + [str(i) for i in range(9)] + [""]
+    assert max(map(len, got)) <= 1025 and len(got) >= 7

@@ -274,8 +274,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: i
     return rows.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _labels(links: DataFrame, hold: Callable) -> DataFrame:
-    """set_key, comp: the component of each set that has a link."""
+def _labels(links: DataFrame, hold: Callable, before: DataFrame | None = None) -> DataFrame:
+    """set_key, comp: the component of each set that has a link. before: the labels of all other links, which join the same sets as
+    these do, in as many rows as there are sets, and nearly settled."""
+    if before is not None:
+        links = links.union(before.select(F.col("set_key").alias("a"), F.col("comp").alias("b")))
     return hold(components(links).select(F.col("node").alias("set_key"), F.col("component").alias("comp")), "labels")
 
 
@@ -339,11 +342,10 @@ def _classes(docs: DataFrame, numerator: int = 75, denominator: int = 100) -> Da
         return made[-1]
 
     sets = written(_doc_sets(docs), "sets")
-    links = _links(docs, sets, numerator, denominator, hold)
-    found = components(links)
-    for table in made:  # components have their own
-        drop(table)
-    named = found.select(F.col("node").alias("set_key"), F.col("component").alias("comp"))
+    named = _linked(docs, sets, numerator, denominator, hold)
+    for table in made:
+        if table is not named:
+            drop(table)
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
     least = sets.where("set_key is not null").groupBy("set_key").agg(F.min(row).alias("least"))
     smallest = least.join(named, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
@@ -356,8 +358,9 @@ def _classes(docs: DataFrame, numerator: int = 75, denominator: int = 100) -> Da
     return sets.join(classes, "set_key", "left").select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.when(~alone, F.col("first")).alias("first"))
 
 
-def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int, hold: Callable) -> DataFrame:
-    """Links (a, b) of set keys that join the same sets as all links do."""
+def _linked(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int, hold: Callable) -> DataFrame:
+    """set_key, comp: the component of each set that has a link. Links are added in steps, each of which starts from the components
+    of those before."""
 
     def check(pairs: DataFrame) -> DataFrame:
         return hold(_verified(pairs, texts, numerator, denominator), "links")
@@ -375,26 +378,24 @@ def _links(docs: DataFrame, sets: DataFrame, numerator: int, denominator: int, h
     needed = pairs.select("a").union(pairs.select("b")).union(families.select("a")).union(crowded).distinct().toDF("set_key")
     texts = hold(_texts(docs, needed), "texts")
     # one partner of each first: that joins up most
-    links = check(firsts)
-    links = links.union(check(_apart(pairs, _labels(links, hold))))
+    labels = _labels(check(firsts), hold)
+    labels = _labels(check(_apart(pairs, labels)), hold, labels)
     # crowded sets in hot groups that still span components
-    labels = _labels(links, hold)
     rest = _across(shared.where(F.col("n") > HOT).join(crowded, "set_key", "left_semi"), labels)
     crowded = hold(rest.select("set_key").distinct(), "crowded")
     if crowded.isEmpty():
-        return links
+        return labels
     single = _shared(texts.join(crowded, "set_key", "left_semi"), True, hold)
     sizes = hold(_crowding(single, sizes.join(crowded, "set_key", "left_semi").drop("hot", "room").withColumnRenamed("single_room", "room")), "sizes")
-    links = links.union(check(_apart(_enough(_met(single.where(F.col("n") <= HOT)), sizes), labels)))
+    labels = _labels(check(_apart(_enough(_met(single.where(F.col("n") <= HOT)), sizes), labels)), hold, labels)
     left = sizes.where("hot > room").select("set_key")
     crowd = single.where(F.col("n") > HOT).join(left, "set_key", "left_semi")
-    labels = _labels(links, hold)
     stars = _stars(_across(crowd, labels), sizes).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
-    links = links.union(check(_apart(stars.where(F.col("met") >= ALIKE).select("a", "b"), labels)))
-    last = hold(_across(crowd, _labels(links, hold)), "rest")
+    labels = _labels(check(_apart(stars.where(F.col("met") >= ALIKE).select("a", "b"), labels)), hold, labels)
+    last = hold(_across(crowd, labels), "rest")
     if last.isEmpty():
-        return links
-    return links.union(check(_close(last, sizes)))
+        return labels
+    return _labels(check(_close(last, sizes)), hold, labels)
 
 
 def _stars(rows: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.functions import text as T
-from sentrylake.functions.urls import host_of, lexical
+from sentrylake.functions.urls import branded, host_of
 
 #: Two labels or more of up to 63 letters, digits and inner hyphens, 253 characters at most.
 HOST = r"^(?=.{1,253}$)[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)+$"
@@ -18,13 +18,13 @@ def feed_urls(lines: DataFrame) -> DataFrame:
 
 def brand_urls(feed: DataFrame, most: int | None = None) -> DataFrame:
     """The URLs of feed_urls that imitate a brand, the first most of them by line if so many are asked for."""
-    found = lexical(feed).where("brand IS NOT NULL").select("url", "line", "brand")
+    found = branded(feed).select("url", "line", "brand")
     return found if most is None else found.orderBy("line").limit(most)
 
 
 def lookalikes(hosts: DataFrame) -> DataFrame:
     """Distinct hosts that imitate a brand, of the answers to any number of queries."""
-    return lexical(hosts.select("host").distinct().withColumnRenamed("host", "url")).where("brand IS NOT NULL").select("host", "brand")
+    return branded(hosts.select("host").distinct().withColumnRenamed("host", "url")).select("host", "brand")
 
 
 def message_rows(messages: DataFrame) -> DataFrame:

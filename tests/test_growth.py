@@ -23,3 +23,7 @@ def test_branded_is_lexical(spark):
 
 def test_rules_of_feed_urls_are_not_repeated_in_filters(spark):
     assert _longest_filter(_plan(spark, "feed_brand_urls")) < 3000
+
+
+def test_rules_of_lookalikes_are_not_repeated_in_filters(spark):
+    assert _longest_filter(_plan(spark, "ct_lookalikes")) < 3000

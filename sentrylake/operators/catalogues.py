@@ -68,18 +68,21 @@ def first_typosquat(hosts: DataFrame, keywords: DataFrame, flat: str = "flat") -
     first letter kept, but not itself; hosts without one have no row. Keywords under five letters don't count, deletions only
     for seven or more. Of ranks that repeat the smallest keyword counts.
 
-    Words that are one edit apart agree when each lacks one letter at most: windows of the hosts meet keywords by such forms, and
-    what meets is verified, so a host's work grows by its length and not by the number of keywords.
+    Words that are one edit apart agree when each lacks one letter at most: windows of the hosts that begin like a keyword meet
+    keywords by such forms, and what meets is verified, so a host's work grows by its length and not by the number of keywords.
     """
     ranked = keywords.where(F.length("keyword") >= 5).groupBy("keyword").agg(F.min("rank").alias("rank"))
     forms = ranked.select("keyword", "rank", F.explode(_without_one(F.col("keyword"))).alias("form")).withColumn("form", F.xxhash64("form"))
     some = F.broadcast(forms) if forms.limit(MOST_FORMS + 1).count() <= MOST_FORMS else forms
-    n = F.length("keyword")
-    sizes = ranked.select(F.explode(F.array(n + 1, n, F.when(n >= 7, n - 1))).alias("n")).where("n IS NOT NULL").agg(F.collect_set("n").alias("sizes"))
-    seen = hosts.select(F.col(flat).alias("flat")).where("flat IS NOT NULL").distinct().crossJoin(F.broadcast(sizes))  # one row of sizes
-    windows = lambda k: F.when(F.length("flat") >= k, F.transform(F.sequence(F.lit(1), F.length("flat") - k + 1), lambda i: F.substr("flat", i, k)))
-    cut = seen.select("flat", F.explode("sizes").alias("n")).select("flat", F.explode(F.array_distinct(windows(F.col("n")))).alias("window"))
-    cut = cut.select("flat", "window", F.explode(_without_one(F.col("window"))).alias("form")).withColumn("form", F.xxhash64("form"))
-    met = cut.join(some, "form").where(~F.contains("flat", F.col("keyword")) & (F.substr("window", F.lit(1), F.lit(1)) == F.substr("keyword", F.lit(1), F.lit(1))))
+    n, first = F.length("keyword"), lambda c: F.substr(c, F.lit(1), F.lit(1))
+    sizes = ranked.select(first(F.col("keyword")).alias("first"), F.explode(F.array(n + 1, n, F.when(n >= 7, n - 1))).alias("n")).where("n IS NOT NULL")
+    starts = sizes.groupBy("first").agg(F.collect_set("n").alias("sizes"))  # a row for each letter that a keyword begins with
+    # no test for null, which would be made on each row's whole expression before rows are told apart; an empty text has no windows
+    seen = hosts.select(F.coalesce(flat, F.lit("")).alias("flat")).distinct()
+    # only windows which begin like a keyword of about their length are cut; outer, since a plain explode first tests its array's size
+    cut = seen.select("flat", F.posexplode(F.split("flat", "")).alias("at", "first")).join(F.broadcast(starts), "first")
+    cut = cut.select("flat", F.explode_outer(F.transform("sizes", lambda k: F.when(F.col("at") + k <= F.length("flat"), F.substr("flat", F.col("at") + 1, k)))).alias("window")).where("window IS NOT NULL")
+    cut = cut.select("flat", "window", F.explode_outer(_without_one(F.col("window"))).alias("form")).withColumn("form", F.xxhash64("form"))
+    met = cut.join(some, "form").where(~F.contains("flat", F.col("keyword")) & (first(F.col("window")) == first(F.col("keyword"))))
     met = met.where(((F.length("window") >= n) | (n >= 7)) & _one_edit(F.col("window"), F.col("keyword")))
     return met.groupBy("flat").agg(F.min(F.struct("rank", "keyword"))["keyword"].alias("squat"))

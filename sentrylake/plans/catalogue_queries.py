@@ -19,8 +19,11 @@ def url_keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_url_sql(f"SELECT id, squat FROM ({_typo_sql()})"))
 def url_typosquat_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _urls(spark, sf_dir).select("id", U.flat_of(U.skeleton(U.host_of(F.col("url")))).alias("flat"))
-    return rows.join(K.first_typosquat(rows, K.own_keywords(spark)), "flat", "left").select("id", "squat")
+    """The keyword that each URL's host nearly has; a host's look is told once for all of its URLs."""
+    rows = _urls(spark, sf_dir).select("id", F.coalesce(U.host_of(F.col("url")), F.lit("")).alias("host"))
+    hosts = rows.select("host").distinct().select("host", F.coalesce(U.flat_of(U.skeleton(F.col("host"))), F.lit("")).alias("flat"))
+    near = hosts.join(K.first_typosquat(hosts, K.own_keywords(spark)).hint("merge"), "flat").select("host", "squat")
+    return rows.join(near.hint("merge"), "host", "left").select("id", "squat")
 
 
 _WORDS = "SELECT DISTINCT w AS pattern FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w FROM benchmark)"

@@ -27,3 +27,7 @@ def test_rules_of_feed_urls_are_not_repeated_in_filters(spark):
 
 def test_rules_of_lookalikes_are_not_repeated_in_filters(spark):
     assert _longest_filter(_plan(spark, "ct_lookalikes")) < 3000
+
+
+def test_looks_of_hosts_are_not_repeated_in_filters(spark):
+    assert _longest_filter(_plan(spark, "url_typosquat_table")) < 600

@@ -34,12 +34,12 @@ def star_edges(entities: DataFrame) -> DataFrame:
     """(a, b) links of rows (id, type, value, shared_hosting): each asset to the first one that has the entity."""
     strong = strong_entities(entities)
     heads = strong.groupBy("type", "value").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return strong.join(heads, ["type", "value"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return strong.join(heads.hint("merge"), ["type", "value"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def members(entities: DataFrame) -> DataFrame:
     """(id, component) of assets that are in a campaign: components of two assets or more."""
-    return components(star_edges(entities)).select(F.col("node").alias("id"), "component")
+    return components(star_edges(entities), merged=True).select(F.col("node").alias("id"), "component")
 
 
 def campaigns(assets: DataFrame, entities: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def campaigns(assets: DataFrame, entities: DataFrame) -> DataFrame:
 
 def campaigns_of(assets: DataFrame, of: DataFrame) -> DataFrame:
     """campaigns() of members that are known already; an id is that of the earliest asset, so it changes only where that does."""
-    joined = assets.join(of, "id")
+    joined = assets.join(of.hint("merge"), "id")
     out = joined.groupBy("component").agg(F.min(F.struct("first_seen", "id")).alias("anchor"), F.count("*").alias("size"), F.min("first_seen").alias("first_seen"), F.max(F.coalesce("last_seen", "first_seen")).alias("last_seen"), F.array_sort(F.collect_set("brand")).alias("brands"))
     name = F.concat(F.lit("Campaign targeting "), F.when(F.size("brands") > 0, F.array_join("brands", ", ")).otherwise("unknown brand"))
     return out.select(F.concat(F.lit("camp-"), F.substring(F.sha1(F.col("anchor.id").cast("string").cast("binary")), 1, 8)).alias("camp_id"), "component", name.alias("name"), "size", "first_seen", "last_seen", "brands")

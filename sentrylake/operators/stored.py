@@ -92,7 +92,8 @@ class CampaignState:
 
     A stored label stands for all edges among the ids that have it. A batch makes edges from its own rows to the first id of each
     of their entities; their ends are replaced by labels, and only this small graph is solved. Components that no new edge
-    touches are neither read nor written, but for what shares their bucket.
+    touches are neither read nor written, but for what shares their bucket. Rows of ids are many whatever their files' size suggests, so
+    no join sends a side to all tasks.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", buckets: int = 64):
@@ -106,24 +107,24 @@ class CampaignState:
         old = kept.read("heads", at)
         heads = written(old.unionByName(strong.groupBy("type", "value").agg(F.min("id").alias("head"))).groupBy("type", "value").agg(F.min("head").alias("head")), "heads")
         ends = strong.select("type", "value", "id").unionByName(old.withColumnRenamed("head", "id"))
-        edges = written(ends.join(heads, ["type", "value"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "edges")
+        edges = written(ends.join(heads.hint("merge"), ["type", "value"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "edges")
         nodes = written(edges.select("a").union(edges.select("b")).distinct().toDF("id"), "nodes")
-        labels = written(nodes.join(kept.read("labels", kept.touched("labels", nodes)), "id", "left").select("id", "component"), "labels")
+        labels = written(nodes.join(kept.read("labels", kept.touched("labels", nodes)).hint("merge"), "id", "left").select("id", "component"), "labels")
         by = lambda c: labels.select(F.col("id").alias(c), F.coalesce("component", "id").alias(f"of_{c}"))
-        solved = components(edges.join(by("a"), "a").join(by("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        solved = components(edges.join(by("a").hint("merge"), "a").join(by("b").hint("merge"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), merged=True)
         stored = labels.where("component is not null").select(F.col("component").alias("node")).distinct()
-        changed = written(solved.where("node <> component").join(stored, "node", "left_semi"), "changed")
+        changed = written(solved.where("node <> component").join(stored.hint("merge"), "node", "left_semi"), "changed")
         gone = changed.select(F.col("node").alias("component"))
-        moved = kept.read("members", kept.touched("members", gone)).join(changed.toDF("component", "to"), "component").select("id", F.col("to").alias("component"))
-        fresh = labels.where("component is null").select("id").join(solved.toDF("id", "component"), "id")
+        moved = kept.read("members", kept.touched("members", gone)).join(changed.toDF("component", "to").hint("merge"), "component").select("id", F.col("to").alias("component"))
+        fresh = labels.where("component is null").select("id").join(solved.toDF("id", "component").hint("merge"), "id")
         moving = written(moved.unionByName(fresh), "moving")
         parts = {"heads": (kept.stage("heads", heads), at)}
         here = kept.touched("labels", moving)
         if here:
-            stay = kept.read("labels", here).join(moving.select("id"), "id", "left_anti")
+            stay = kept.read("labels", here).join(moving.select("id").hint("merge"), "id", "left_anti")
             parts["labels"] = kept.stage("labels", stay.unionByName(moving)), here
             there = sorted({*kept.touched("members", moving), *kept.touched("members", gone)})
-            stay = kept.read("members", there).join(gone, "component", "left_anti")
+            stay = kept.read("members", there).join(gone.hint("merge"), "component", "left_anti")
             parts["members"] = kept.stage("members", stay.unionByName(moving)), there
         kept.commit(parts)
         for table in (strong, heads, edges, nodes, labels, changed, moving):

@@ -31,3 +31,15 @@ def test_rules_of_lookalikes_are_not_repeated_in_filters(spark):
 
 def test_looks_of_hosts_are_not_repeated_in_filters(spark):
     assert _longest_filter(_plan(spark, "url_typosquat_table")) < 600
+
+
+def test_campaigns_by_batch_send_no_side_of_a_join(spark):
+    """Ids, labels and heads went to the driver and to all tasks for as long as their files were small."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    importlib.import_module("__spark_entry__").queries()["campaign_summary_by_batch"](spark, "/root/testdata/sf0.001").collect()
+    bus.waitUntilEmpty()
+    made = store.executionsList(before, 10_000)
+    plans = [made.apply(i).physicalPlanDescription() for i in range(made.size())]
+    assert len(plans) > 10 and not any("BroadcastExchange" in p for p in plans)

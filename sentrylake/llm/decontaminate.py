@@ -175,7 +175,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: f
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[x[0] for x in _found(block, batch.column(at), match, coverage)]] = False
-                yield batch.filter(pa.array(keep))
+                for i, j, *_ in tokens.chunks(batch.column(at)):  # what stays leaves Python in pieces, not as a second batch
+                    yield batch.slice(i, j - i).filter(pa.array(keep[i:j]))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

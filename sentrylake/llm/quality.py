@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -21,6 +22,8 @@ BUCKETS, WIDTHS, DIM = 1 << 17, (3, 4), 8
 #: The bound on labelled rows that a model is fitted on.
 TRAIN_ROWS = 4000
 EPOCHS, RATE = 4, 10.0
+#: Bytes of text whose features are held at once: they take many times as much memory, which a worker doesn't give back.
+PIECE_BYTES = 1 << 16
 #: Score from which a document is kept.
 KEPT = 0.3
 
@@ -58,33 +61,36 @@ class Model:
     bias: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        out = np.empty(len(texts))
-        for i, j, data, offsets in tokens.chunks(texts):
+        return np.concatenate([np.empty(0), *(score for *_, score in self.pieces(texts))])
+
+    def pieces(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first row, row after the last, scores), in pieces of bounded size."""
+        for i, j, data, offsets in tokens.chunks(texts, PIECE_BYTES):
             total, count = np.zeros(j - i), np.zeros(j - i)
             for doc, bucket in features(data, offsets):
                 total += np.bincount(doc, self.weights[bucket], j - i)
                 count += np.bincount(doc, minlength=j - i)
-            out[i:j] = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
-        return out
+            yield i, j, 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
+def train(texts: list[str | None] | pa.Array, labels: list[int], seed: int = 7) -> Model:
     """Softmax over averaged vectors, by stochastic gradient descent. Without rows of both labels the score
     is the share of label 1, or 0.5 where there are no rows."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         share = min(max(y.mean() if len(y) else 0.5, 0.01), 0.99)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    ids, shares, cut = [], [], [0]
-    for i, j, data, offsets in tokens.chunks(pa.array(texts, pa.string())):
-        doc, bucket = (np.concatenate(x) for x in zip(*features(data, offsets), strict=True))
-        both, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    # a text of b bytes has less than 3 * b features; of this room only what is filled takes memory, and all of it is given back
+    room = int(np.minimum(3 * np.diff(tokens.raw(texts)[1]), BUCKETS).sum())
+    bucket, share, cut = np.empty(room, np.int32), np.empty(room, np.float32), np.zeros(len(y) + 1, np.int64)
+    for i, j, data, offsets in tokens.chunks(texts, PIECE_BYTES):
+        doc, own = (np.concatenate(x) for x in zip(*features(data, offsets), strict=True))
+        both, count = np.unique(doc * BUCKETS + own, return_counts=True)
         doc = both // BUCKETS
         n = np.bincount(doc, count, j - i)
-        ids.append((both % BUCKETS).astype(np.int32))
-        shares.append((count / n[doc]).astype(np.float32))
-        cut += (cut[-1] + np.cumsum(np.bincount(doc, minlength=j - i))).tolist()
-    bucket, share, cut = np.concatenate(ids), np.concatenate(shares), np.array(cut)
+        cut[i + 1 : j + 1] = cut[i] + np.cumsum(np.bincount(doc, minlength=j - i))
+        bucket[cut[i] : cut[j]], share[cut[i] : cut[j]] = both % BUCKETS, count / n[doc]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.uniform(-1, 1, (DIM, 2)).astype(np.float32), np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
@@ -115,8 +121,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = TRAIN_ROWS, folds: i
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0], r[2], r[1] or ""))
-        model = train([r[1] for r in own], [r[2] for r in own])
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            own = pa.Table.from_batches(held)
+            own = own.set_column(1, "text", pc.fill_null(own.column(1), ""))
+            own = own.take(pc.sort_indices(own, [(c, "ascending") for c in ("doc_id", "quality", "text")]))
+        model = train(own.column(1).combine_chunks(), own.column(2).to_pylist()) if held else train([], [])
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
 
     made = rows.repartition(1).mapInArrow(run, "weights binary, bias double").collect()  # a row of 0.5 MB
@@ -136,7 +146,8 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch], at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at)))], [*batch.schema.names, column])
+            for i, j, score in shared.value.pieces(batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(score)], [*batch.schema.names, column])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, DoubleType()))
 
@@ -149,6 +160,7 @@ def kept(docs: DataFrame, model: Model, least: float = KEPT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch], at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(np.asarray(shared.value.scores(batch.column(at))) >= least))
+            for i, j, score in shared.value.pieces(batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(score >= least))
 
     return docs.mapInArrow(run, docs.schema)

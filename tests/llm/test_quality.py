@@ -1,8 +1,10 @@
 """Held-out accuracy of the quality classifier, and its edge cases."""
 
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sentrylake.llm import quality
@@ -42,3 +44,26 @@ def test_hard_rows(spark):
     none = quality.fit(docs.limit(0), labels.limit(0))
     assert {r["score"] for r in quality.scored(docs, none).collect()} == {0.5}
     assert quality.scored(docs.limit(0), none).collect() == []
+
+
+def test_memory_of_scoring():
+    """Features of 256 KB of text were held at once."""
+    texts = pa.array([f"{i} some words of a longer text " * 80 for i in range(2000)])
+    model = quality.Model(np.ones(quality.BUCKETS, np.float32), 0.0)
+    model.scores(texts.slice(0, 5))  # the powers that hashes need are made once
+    tracemalloc.start()
+    scores = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == 2000 and len(set(scores)) == 1 and peak < 12_000_000
+
+
+def test_rows_leave_in_pieces(spark):
+    """All columns, in order, where a batch is scored in several pieces."""
+    docs = spark.range(0, 300, numPartitions=1).selectExpr("id AS doc_id", "IF(id % 7 = 0, NULL, repeat(concat('w', id, ' '), 200)) AS text", "id * 2 AS other")
+    model = quality.Model(np.random.default_rng(5).normal(size=quality.BUCKETS).astype(np.float32) * 20, 0.0)
+    rows = quality.scored(docs, model).collect()
+    assert [(r["doc_id"], r["other"]) for r in rows] == [(i, 2 * i) for i in range(300)] and rows[7]["score"] == 0.5
+    alone = [float(model.scores(pa.array([r["text"]], pa.string()))[0]) for r in rows]
+    assert [r["score"] for r in rows] == alone
+    assert [r["doc_id"] for r in quality.kept(docs, model).collect()] == [i for i in range(300) if alone[i] >= quality.KEPT]

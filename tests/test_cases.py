@@ -70,4 +70,4 @@ def test_case_targets_are_distinct_before_recipients(spark):
     want |= {(c, "app_store", u) for c, u in urls} | {(c, "registrar", "evil.in") for c in ("c0", "c1")} | {("c0", "npci", "a@b"), ("c1", "telecom", "9")}
     assert got == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.startswith("Union") and "Aggregate" in plan[plan.index("Generate explode") :]
+    assert plan.index("Generate explode") < plan.index("Aggregate")
